@@ -79,6 +79,16 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
+def entry(doc: int | None, offset: int, size: int, tokens: int) -> bytes:
+    """One entry of the index."""
+    return ENTRY.pack(doc is not None, doc or 0, offset, size, tokens)
+
+
+def entries_of(data: bytes) -> list[tuple[bool, int, int, int, int]]:
+    """All entries of an index."""
+    return list(ENTRY.iter_unpack(data))
+
+
 class WordIds:
     """Varint payloads of texts: the library encodes each distinct chunk once.
 
@@ -166,12 +176,12 @@ def write_token_records(docs: DataFrame, tokenizer: str, end_id: int, id_col: st
                 for kind in ("rec", "idx"):
                     fs, path = store(f"{name}.{kind}")
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
-                    files.append(fs.open_output_stream(path))
+                    files.append(fs.open_output_stream(path, compression=None))
             ids = b.column(0).to_pylist()
             for doc, (payload, count) in zip(ids, encode([t or "" for t in b.column(1).to_pylist()])):
                 record = frame(payload + end)
                 files[0].write(record)
-                files[1].write(ENTRY.pack(doc is not None, doc or 0, at, len(record), count + 1))
+                files[1].write(entry(doc, at, len(record), count + 1))
                 at, n, tokens = at + len(record), n + 1, tokens + count + 1
         if files:
             for x in files:
@@ -201,7 +211,7 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for path, index, start in zip(*(c.to_pylist() for c in b.columns)):
                 fs, at = store(index)
-                entries = list(ENTRY.iter_unpack(fs.open_input_stream(at).read()))
+                entries = entries_of(fs.open_input_stream(at, compression=None).read())
                 fs, at = store(path)
                 with fs.open_input_file(at) as file:
                     for i in range(0, len(entries), 256):

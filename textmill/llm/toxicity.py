@@ -285,7 +285,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     if not n_pos or not n_neg:
         return Lexicon(coef=[float(np.log((n_pos + 1) / (n_neg + 1)))] + [0.0] * (FEATURES - 1))
     train = train.repartition(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    pure = _term_counts(train).filter((F.col("pos") >= max(3, n_pos // 400)) & (F.col("pos") / n_pos >= 10 * F.col("neg") / n_neg) & (F.col("contexts") >= 4))
+    pure = _term_counts(train).filter((F.col("pos") >= max(3, n_pos // 400)) & (F.col("pos") / n_pos >= 10 * F.col("neg") / n_neg) & (F.col("contexts") >= F.least(F.lit(24), F.greatest(F.lit(4), F.col("pos") / 2))))
     ranked = pure.withColumn("r", F.col("pos") / (F.col("neg") + 1)).orderBy(F.desc("r"), "term", "whole").limit(5 * TERMS)
     lexicon = _choose(ranked.collect(), n_pos, n_neg)
 
