@@ -1,0 +1,179 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+
+import pytest
+import xxhash
+
+from tests.llm.conftest import SCHEMA, rows, words
+from textmill.llm.decontaminate import contained_items, drop_contaminated, shingle_set
+from textmill.llm.licenses import license_table, scan
+from textmill.llm.line_dedup import drop_repeated_lines
+from textmill.llm.pii import KINDS, Field, base_spans, find, luhn, pii_table, trained
+from textmill.llm.toxicity import Automaton, Lexicon, Scorer, drop_toxic, learn_toxicity, score_toxicity
+
+
+def plain_line_dedup(texts, least=50):
+    """The definition, document by document."""
+    h = lambda s: (x := xxhash.xxh64_intdigest(s.encode(), 42)) - (1 << 64 if x >> 63 else 0)
+    docs = sorted({(-(1 << 63) if i is None else i, h(t or ""), t or "") for i, t in texts})
+    lines = {d[:2]: [(k, s) for k, x in enumerate(d[2].split("\n")) if (s := x.strip(" \t\r"))] for d in docs}
+    seen, gone = {}, {d: set() for d in lines}
+    marks = {}
+    for d, ls in lines.items():
+        at = set()
+        for s in range(len(ls)):
+            n, m = 0, s
+            for j in range(s, min(s + least, len(ls))):
+                if n >= least:
+                    break
+                m = j if h(ls[j][1]) < h(ls[m][1]) else m
+                n += ls[j][1].count(" ") + 1
+            at.add(s if ls[s][1].count(" ") + 1 >= least else m)
+        marks[d] = at
+        for i in sorted(at):
+            seen.setdefault(ls[i][1], (d, i))
+    for d, ls in lines.items():
+        for i in marks[d]:
+            f, q = seen[ls[i][1]]
+            if (f, q) == (d, i):
+                continue
+            a = b = i
+            shift = i - q
+            same = lambda k: 0 <= k < len(ls) and 0 <= k - shift < len(lines[f]) and ls[k][1] == lines[f][k - shift][1]
+            while same(a - 1):
+                a -= 1
+            while same(b + 1):
+                b += 1
+            if sum(ls[k][1].count(" ") + 1 for k in range(a, b + 1)) >= least:
+                gone[d] |= {ls[k][0] for k in range(a, b + 1)}
+    return {(d[0], d[2]): "\n".join(x for k, x in enumerate(d[2].split("\n")) if k not in gone[d[:2]]) for d in docs}
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    r = random.Random(9)
+    passage = [words(r, 20) for _ in range(4)]
+    single = words(r, 70)
+    texts = [(i, "\n".join([words(r, r.randint(1, 30)) for _ in range(3)] + (passage[i % 2 :] if i % 3 else [single]) + [""] + [words(r, 8)] * (1 + i % 3))) for i in range(30)]
+    return texts + [(100, "\n".join([single, "x", single])), (101, None), (102, ""), (103, "\n".join(passage[:2])), (5, texts[5][1])]
+
+
+def test_line_dedup_is_the_plain_one(spark, repeated, no_docs):
+    got = drop_repeated_lines(spark.createDataFrame(rows(repeated), SCHEMA), counts=True).collect()
+    want = plain_line_dedup(repeated)
+    source = {i: t for i, t in repeated}
+    assert len(got) == len(repeated)
+    assert all((r.text or "") == want[r.doc_id, source[r.doc_id] or ""] for r in got)
+    assert any(r.removed_lines for r in got) and next(r for r in got if r.doc_id == 101).text is None
+    assert drop_repeated_lines(no_docs).count() == 0
+
+
+def test_line_dedup_of_odd_rows(odd_docs, odd_texts):
+    got = drop_repeated_lines(odd_docs)
+    assert got.columns == odd_docs.columns and got.count() == len(odd_texts)
+
+
+def test_containment_is_exact(spark, odd_docs, no_docs):
+    r = random.Random(2)
+    items = [(i, words(r, n)) for i, n in enumerate((3, 5, 9, 40, 80))] + [(9, ""), (10, None)]
+    ws = items[4][1].split()
+    texts = [(0, "pre, " + items[0][1].upper() + " post"), (1, " ".join(ws[:70])), (2, " ".join(ws[:40])), (3, words(r, 2000) + " " + items[3][1]), (4, None), (5, "")]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for d, t in texts:
+        for i, x in items:
+            n = min(5, len(re.findall(r"[^\W_]+", x or "")))
+            own = shingle_set((x or "").lower().encode(), n) if n else set()
+            common = len(own & shingle_set((t or "").lower().encode(), n)) if own else 0
+            if own and common >= 0.8 * len(own):
+                want.add((d, i, common, len(own)))
+    assert {tuple(x) for x in contained_items(docs, bench).collect()} == want and {(0, 0), (1, 4), (3, 3)} <= {x[:2] for x in want}
+    assert sorted(x.doc_id for x in drop_contaminated(docs, bench).collect()) == sorted({d for d, _ in texts} - {x[0] for x in want})
+    assert contained_items(odd_docs, bench.limit(0)).count() == 0 and contained_items(no_docs, bench).count() == 0
+
+
+def within_one(a, b):
+    if abs(len(a) - len(b)) > 1:
+        return False
+    return a == b or any(a[:i] + a[i + 1 :] in (b, b[:i] + b[i + 1 :]) or a == b[:i] + b[i + 1 :] for i in range(max(len(a), len(b))))
+
+
+def test_automaton_against_edit_distance():
+    r = random.Random(4)
+    terms = ["idiot", "moron", "worthless", "pathetic", "scum"]
+    a = Automaton(Lexicon(terms, [1.0] * 5, [False] * 5))
+    for _ in range(4000):
+        t = r.choice(terms)
+        w = list(t)
+        for _ in range(r.randint(0, 2)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randint(0, 1)] = r.choice(["", "x", "o"])
+        w = "".join(w)
+        best = min((0 if x == w else 1 for x in terms if x == w or len(x) >= 5 and w[:1] == x[0] and within_one(w, x)), default=None)
+        got = a.match(w)
+        assert (got and got[1]) == best, w
+
+
+def test_quotation_counts_apart():
+    s = Scorer(Lexicon(["idiot"], [3.0], [False], [-1.0, 2.0, 0, 0, -1.0, 0]))
+    open_, quoted, none = s.score(["you idiot you", 'it read "you idiot you" there', "you there"])
+    assert open_ > 0.5 > quoted and none < 0.5
+
+
+def test_toxicity_on_held_out_rows(spark, odd_docs, odd_texts, no_docs):
+    at = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
+    lexicon = learn_toxicity(docs, labels)
+    got = score_toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), lexicon).join(labels, "doc_id").filter("held_out").collect()
+    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.95
+    assert score_toxicity(odd_docs, lexicon).count() == len(odd_texts)
+    assert drop_toxic(odd_docs, lexicon).columns == odd_docs.columns
+    assert score_toxicity(no_docs, learn_toxicity(no_docs, labels)).count() == 0
+
+
+def plain_base(text):
+    out = []
+    patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+    for k, p in enumerate(patterns):
+        for m in re.finditer(p, text):
+            digits = "".join(c for c in m.group() if c in "0123456789")
+            if k == 0 or k == 1 and all(int(x) <= 255 for x in m.group().split(".")) or k == 2 and 12 <= len(digits) <= 19 and luhn(digits) or k == 3 and 9 <= len(digits) <= 15:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_base_patterns_against_regular_expressions(odd_docs, odd_texts, no_docs):
+    r = random.Random(8)
+    alphabet = ["@", ".", "+", "-", " ", "1", "4", "255", "a", "b.c", "(", ")", "é", "4111111111111111", "x@y.z", "%", "_"]
+    field = Field()
+    field.w.update(trained())
+    for _ in range(6000):
+        t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 25)))
+        assert base_spans(t) == plain_base(t), t
+        base, both = find(t, field)
+        assert set(base) <= set(both)
+    got = pii_table(odd_docs)
+    assert got.count() == len(odd_texts) and pii_table(no_docs).count() == 0
+    empty = hashlib.sha256(b"").hexdigest()
+    assert all(x.base_sha256 == empty and x.spans == "" for x in got.filter("doc_id in (4, 5, 6)").collect())
+
+
+def test_the_field_adds_what_patterns_miss():
+    field = Field()
+    field.w.update(trained())
+    text = "write to anner at shou dot com or call (212) 555-0187 token = 0cab398dc11d1a2a11dc6572c8df8bd228c864f3 and on 2024-01-05 we met"
+    spans = {(KINDS[k], text[s:e]) for s, k, e in find(text, field)[1]}
+    assert ("email", "anner at shou dot com") in spans and ("secret", "0cab398dc11d1a2a11dc6572c8df8bd228c864f3") in spans
+    assert any(k == "phone" and "555-0187" in x for k, x in spans) and not any("2024" in x for _, x in spans)
+
+
+def test_licences(odd_docs, odd_texts, no_docs):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
+    assert [x[0] for x in scan(mit)] == ["MIT"]
+    assert [x[0] for x in scan("Foo bar.\nReleased under the MIT License.\nAll rights reserved.\nThis work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.")] == ["MIT", "all-rights-reserved", "GPL-3.0", "CC-BY-NC-4-0", "Apache-2.0"]
+    assert scan("a licence to fish. no rights here") == [] and scan(None) == []
+    assert license_table(odd_docs).count() == len(odd_texts) and license_table(no_docs).count() == 0

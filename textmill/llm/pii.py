@@ -39,7 +39,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TRIGGER = re.compile(r"[0-9]{3}|@|\b(?:at|AT) [A-Za-z0-9]+ (?:dot|DOT)\b|[\[(](?:at|AT)[\])]|\b[A-Z0-9]{16,}\b")
-TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
+TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
 def luhn(digits: str) -> bool:
