@@ -1,0 +1,139 @@
+"""Operators on literals: what the tables don't hold, and batch against stream."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from textmill.functions import text as tx
+from textmill.functions.tools import calculate, schema_problems
+from textmill.operators import dedup, dense, layout, lexical, split, state
+from textmill.sources import files
+from textmill.streaming import twins
+
+
+def one(spark, column, text):
+    return spark.createDataFrame([(text,)], "t string").select(column(F.col("t"))).first()[0]
+
+
+def test_tokens_of_mixed_scripts(spark):
+    assert one(spark, tx.tokens, "用 Redis-7 做缓存, 内存 42 a") == ["redis-7", "用", "做", "缓", "存", "做缓", "缓存", "内", "存", "内存"]
+    assert one(spark, tx.content_tokens, "请问 内存 的 管理") == ["存", "内存", "管", "理", "管理"]
+    assert one(spark, tx.grams, "Élan ab 内存管理") == ["él", "la", "an", "ab", "内存", "存管", "管理"]
+
+
+def test_sentences_and_citations(spark):
+    assert one(spark, tx.sentences, "一。二！ three; four") == ["一。", "二！", "three;", "four"]
+    assert one(spark, tx.cited, "as in [2] and [14]") == [2, 14]
+
+
+def test_hidden_markup_goes(spark):
+    html = '<p style="display:none">secret <b>x</b></p><!-- c --><script>s</script>see​n<i> me</i>'
+    assert one(spark, tx.stripped_markup, html) == "seen me"
+
+
+def test_content_hash_ignores_white_space(spark):
+    assert one(spark, tx.content_hash, "a  b\n") == one(spark, tx.content_hash, " a b")
+
+
+def test_near_duplicates_keep_the_first_in_order(spark):
+    prints = spark.createDataFrame([(1, 0b0), (2, 0b111), (3, 0b111111), (4, 0b1 << 60)], "doc_id long, fp long")
+    pairs = dedup.near_pairs(prints)
+    assert {(r.a, r.b, r.distance) for r in pairs.collect()} == {(1, 2, 3), (2, 3, 3), (1, 4, 1)}
+    got = {r.doc_id: (r.kept, r.matched) for r in dedup.greedy_kept(prints.select("doc_id"), pairs).collect()}
+    assert got == {1: (True, None), 2: (False, 1), 3: (True, None), 4: (False, 1)}
+
+
+def test_neighbours_are_within_one_edit(spark):
+    known = spark.createDataFrame([("memory",), ("memoir",), ("redis",)], "term string")
+    got = lexical.neighbours(spark.createDataFrame([("memry",), ("redds",), ("x",)], "term string"), known).collect()
+    assert {tuple(r) for r in got} == {("memry", "memory"), ("redds", "redis")}
+
+
+def test_recursive_pieces():
+    text = "a" * 30 + "\n" + "b" * 30 + "。" + "c" * 90
+    assert split._pieces(text, 40) == ["a" * 30, "b" * 30, "c" * 40, "c" * 40, "c" * 10]
+    assert split._pieces("  ", 40) == []
+
+
+def test_approximate_search_finds_most(spark, sf):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.filter("vec_id % 50 = 0")
+    exact = {(r.qid, r.vec_id) for r in dense.vector_top_k(q, e, 10).collect()}
+    near = {(r.qid, r.vec_id) for r in dense.cell_top_k(q, e, 10, planes=2, tables=12).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
+def test_layout_repair():
+    page = [f"left column {i}      right column {i}" for i in range(8)]
+    assert layout.two_columns(page) and layout.in_reading_order(page)[:2] == ["left column 0", "left column 1"]
+    assert layout.tables_joined(["h | a | b", "1 | 2 | 3", "--- page 2 ---", "4 | 5 | 6"]) == (["h | a | b", "1 | 2 | 3", "--- page 2 ---", "h | a | b", "4 | 5 | 6"], 1)
+    assert layout.without_tail("x\n" + "y\n" * 6) == "x\ny" and layout.without_tail("x\ny\ny") == "x\ny\ny"
+
+
+@pytest.mark.parametrize("text, value", [("2 + 3 × 4", 14), ("(1-3)/4", -0.5), ("2**70", None), ("__import__('os')", None), ("1/0", None), ("", None), ("7 // 2 % 2", 1)])
+def test_calculator(text, value):
+    assert calculate(text) == value
+
+
+def test_schema_problems(spark):
+    schema = {"required": ["n"], "properties": {"n": {"type": "integer", "minimum": 1}, "kind": {"type": "string", "enum": ["a", "b"]}}}
+    rows = spark.createDataFrame([('{"n": 2, "kind": "a"}',), ('{"kind": "z"}',), ('{"n": "x"}',), ('{"n": 0}',)], "t string")
+    got = [r[0] for r in rows.select(schema_problems(F.try_parse_json("t"), schema)).collect()]
+    assert got == [[], ["n: missing", "kind: enum"], ["n: type"], ["n: minimum"]]
+
+
+def test_budget_guard_skips_what_does_not_fit(spark):
+    calls = spark.createDataFrame([(1, 1, 6.0), (1, 2, 7.0), (1, 3, 4.0), (2, 1, 11.0)], "key long, seq long, cost double")
+    got = {(r.key, r.seq): (r.admitted, r.used) for r in state.budget_guard(calls, 10.0).collect()}
+    assert got == {(1, 1): (True, 6.0), (1, 2): (False, 6.0), (1, 3): (True, 10.0), (2, 1): (False, 0.0)}
+
+
+def test_corpus_scan_and_logs(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    for name, data in (("a.md", "# x".encode()), ("b.txt", b"\xff ok"), ("README.md", b"-"), ("i.png", b"\x89"), ("z.bin", b"z")):
+        (tmp_path / "c" / name).write_bytes(data)
+    texts, skipped = files.scan_corpus(spark, str(tmp_path / "c"))
+    assert {r.name: r.text for r in texts.collect()} == {"a.md": "# x", "b.txt": "� ok"}
+    assert {r.name: r.reason for r in skipped.collect()} == {"README.md": "not a document", "i.png": "needs an extractor", "z.bin": "unknown suffix"}
+    (tmp_path / "log.jsonl").write_text('{"schema_version": 1, "run_id": "r", "step": 1}\n{"schema_version": 2, "run_id": "r"}\n{"schema_ver')
+    assert [r.run_id for r in files.read_log(spark, str(tmp_path / "log.jsonl"), files.CHECKPOINT, 1).collect()] == ["r"]
+    (tmp_path / "cases.json").write_text(json.dumps([{"case_id": "1", "question": "q"}, {"case_id": "1", "question": ""}]))
+    with pytest.raises(ValueError, match="repeated id: 1"):
+        files.read_cases(spark, str(tmp_path / "cases.json"))
+
+    def broken(name, data):
+        raise RuntimeError("no model")
+
+    assert files.extract_images(spark, str(tmp_path / "c"), broken).first().error == "RuntimeError: no model"
+
+
+def test_multihop_samples(spark, tmp_path):
+    p = [{"title": "A", "paragraph_text": "x", "is_supporting": True}, {"title": "B", "paragraph_text": "y", "is_supporting": False}]
+    (tmp_path / "m.jsonl").write_text("\n".join(json.dumps({"id": str(i), "question": "q", "answer": "a", "answer_aliases": ["b"], "paragraphs": p}) for i in range(2)))
+    cases, corpus = files.read_multihop(spark, str(tmp_path / "m.jsonl"))
+    assert cases.first().gold == ["A"] and cases.first().answers == ["a", "b"] and corpus.count() == 2
+
+
+def test_streams_equal_their_batch_forms(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartitionByRange(2, "ts").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+
+    def all_rows(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name)
+
+    got = all_rows(twins.fact_stream(stream()), "facts", "append")
+    batch = state.fact_islands(events.select(F.col("user_id").alias("subject"), F.col("event_type").alias("value"), "ts", F.col("event_id").alias("seq"))).filter("valid_until is not null")
+    key = lambda df: {(r.subject, r.value, r.valid_from, r.valid_until, r.observations) for r in df.select("subject", "value", "valid_from", "valid_until", "observations").collect()}
+    assert key(got) == key(batch)
+    rates = all_rows(twins.failure_rate(stream()), "rates", "complete")
+    assert sum(r.n for r in rates.collect()) == events.count()
+    effects = lambda: stream().select(F.col("user_id").alias("run_id"), F.get_json_object("props", "$.k").cast("int").alias("slot"), "event_id")
+    for i in range(2):  # the second query sees all rows again
+        twins.run_effects_once(effects(), str(tmp_path / "ledger"), str(tmp_path / f"check{i}")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "ledger")).groupBy("run_id", "slot").count().filter("count > 1").count() == 0

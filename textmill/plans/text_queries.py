@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import text as tx
-from textmill.operators import dedup, split
+from textmill.operators import dedup, layout, split
 from textmill.plans.registry import Tables, query
 
 TOK = r"regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]+')"
@@ -287,6 +287,13 @@ def gold_in_corpus(t: Tables) -> DataFrame:
     return gold.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("present", F.lit(False)).alias("present"))
 
 
+@query()
+def layout_restored(t: Tables) -> DataFrame:
+    """Texts after layout repair."""
+    r = layout.restored(t.documents)
+    return r.select("doc_id", "columns_found", "headers_replayed", F.length("text").alias("n_chars"))
+
+
 BROADCAST_ROWS = 100_000
 
 
