@@ -15,18 +15,29 @@ from textmill.llm.pii import KINDS, Field, base_spans, find, luhn, pii_table, tr
 from textmill.llm.toxicity import Automaton, Lexicon, Scorer, drop_toxic, learn_toxicity, score_toxicity
 
 
-def plain_line_dedup(texts, least=50):
+def plain_cut(text):
+    """Cuts by hand: behind line feeds, and behind the blank after a sentence end with 24 characters without one before it."""
+    out, at = [], 0
+    for i, c in enumerate(text):
+        stop = i >= 25 and c in " \t" and text[i - 1] in ".!?" and not set(text[i - 25 : i - 1]) & set(".!?\n")
+        if c == "\n" or stop:
+            out.append(text[at : i + 1])
+            at = i + 1
+    return out + [text[at:]]
+
+
+def plain_line_dedup(texts, least=25):
     """The definition, document by document."""
     h = lambda s: (x := xxhash.xxh64_intdigest(s.encode(), 42)) - (1 << 64 if x >> 63 else 0)
     docs = sorted({(-(1 << 63) if i is None else i, h(t or ""), t or "") for i, t in texts})
-    lines = {d[:2]: [(k, s) for k, x in enumerate(d[2].split("\n")) if (s := x.strip(" \t\r"))] for d in docs}
+    lines = {d[:2]: [(k, s) for k, x in enumerate(plain_cut(d[2])) if (s := x.strip(" \t\r\n"))] for d in docs}
     seen, gone = {}, {d: set() for d in lines}
     marks = {}
     for d, ls in lines.items():
         at = set()
         for s in range(len(ls)):
             n, m = 0, s
-            for j in range(s, min(s + least, len(ls))):
+            for j in range(s, min(s + 12, len(ls))):
                 if n >= least:
                     break
                 m = j if h(ls[j][1]) < h(ls[m][1]) else m
@@ -49,7 +60,7 @@ def plain_line_dedup(texts, least=50):
                 b += 1
             if sum(ls[k][1].count(" ") + 1 for k in range(a, b + 1)) >= least:
                 gone[d] |= {ls[k][0] for k in range(a, b + 1)}
-    return {(d[0], d[2]): "\n".join(x for k, x in enumerate(d[2].split("\n")) if k not in gone[d[:2]]) for d in docs}
+    return {(d[0], d[2]): "".join(x for k, x in enumerate(plain_cut(d[2])) if k not in gone[d[:2]]) for d in docs}
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +69,8 @@ def repeated(spark):
     passage = [words(r, 20) for _ in range(4)]
     single = words(r, 70)
     texts = [(i, "\n".join([words(r, r.randint(1, 30)) for _ in range(3)] + (passage[i % 2 :] if i % 3 else [single]) + [""] + [words(r, 8)] * (1 + i % 3))) for i in range(30)]
+    pasted = ". ".join(words(r, 8) for _ in range(8)) + ". "
+    texts += [(40 + i, words(r, 30) + " " + pasted + words(r, 30) + ". ok. " + words(r, 3)) for i in range(4)]
     return texts + [(100, "\n".join([single, "x", single])), (101, None), (102, ""), (103, "\n".join(passage[:2])), (5, texts[5][1])]
 
 
