@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textmill.shipping import ensure_importable
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -14,6 +16,7 @@ class Tables:
     """Input tables by name, read when asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        ensure_importable(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:

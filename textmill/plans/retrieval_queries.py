@@ -292,15 +292,15 @@ def sufficiency(t: Tables) -> DataFrame:
     return sufficiency_table(t)
 
 
-CLAIMS = rf"""cl as (select item_id, unnest(list_slice({SENT}, 1, 4)) as s, generate_subscripts(list_slice({SENT}, 1, 4), 1) as i from benchmark),
+CLAIMS = rf"""cl as (select item_id, unnest({SENT}) as s, generate_subscripts({SENT}, 1) as i from benchmark),
 cs as (select *, list_distinct({STOK}) as toks, case when i % 2 = 1 then i else null end as cite from cl)"""
 
 
 @query(f"""with {_hits_sql(8)}, {CLAIMS}, ev as (select c.item_id, c.i, c.s, c.toks, c.cite, h.rnk, case when len(c.toks) = 0 then 1.0 else len(list_filter(c.toks, lambda x: list_contains(tk.t, x))) / len(c.toks) end as sup from cs c left join hits h on h.item_id = c.item_id left join tk using (doc_id))
 select item_id, i::int as n, any_value(cite)::int as cite, case when any_value(cite) is not null then coalesce(max(sup) filter (where rnk = cite), 0) >= 0.3 else length(any_value(s)) <= 12 or coalesce(max(sup), 0) >= 0.5 end as supported from ev group by item_id, i""")
 def claim_support(t: Tables) -> DataFrame:
-    """Claims (first four sentences of a passage; odd ones cite the evidence of their number): cited ones need 0.3 of their tokens there, others 0.5 in any block."""
-    c = t.benchmark.select("item_id", F.posexplode(F.slice(tx.sentences(F.col("text"), "。！？!?；;.\n"), 1, 4)).alias("p", "s"))
+    """Claims (the sentences of a passage; odd ones cite the evidence of their number): cited ones need 0.3 of their tokens there, others 0.5 in any block."""
+    c = t.benchmark.select("item_id", F.posexplode(tx.sentences(F.col("text"), "。！？!?；;.\n")).alias("p", "s"))
     c = c.select("item_id", (F.col("p") + 1).alias("n"), "s", F.array_distinct(tx.tokens(F.col("s"))).alias("toks")).withColumn("cite", F.when(F.col("n") % 2 == 1, F.col("n")))
     e = with_text(t, hits(t, 8)).select("item_id", "rnk", tx.tokens(F.col("text")).alias("t"))
     sup = F.when(F.size("toks") == 0, 1.0).otherwise(F.size(F.array_intersect("toks", "t")) / F.size("toks"))
