@@ -19,7 +19,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, term, tf, dl): term counts and the document's length, from one narrow pass: counted within the row, so nothing is shuffled."""
+    """(doc_id, term, tf, dl): term counts and the document's length. A document's tokens stand in one task, so the counts are complete before the shuffle."""
     t = docs.select(F.col(id_col).alias("doc_id"), tx.tokens(F.col(text_col)).alias("t"))
     counted = t.select("doc_id", F.size("t").alias("dl"), F.explode(F.array_sort("t")).alias("term"))
     return counted.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
