@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textmill.shipping import ensure_importable
 
@@ -74,3 +75,16 @@ def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def rows_out(columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
     """A batch from named, typed lists."""
     return pa.RecordBatch.from_arrays([pa.array(v, t) for t, v in columns.values()], names=list(columns))
+
+
+def bounded_sample(df: DataFrame, size: int, *key: str) -> DataFrame:
+    """``size`` rows at most, those of the least hashes of the key columns and the row's place.
+
+    Rows over a threshold that leaves about twice as many are dropped where they
+    are read, so what reaches the driver doesn't grow with the partitions.
+    """
+    n = df.count()
+    place = df.withColumn("__o", F.xxhash64(*key, F.monotonically_increasing_id()))
+    if n > 2 * size:
+        place = place.filter(F.pmod("__o", F.lit(1 << 40)) < int((1 << 40) * (2 * size + 200) / n))
+    return place.orderBy(F.pmod("__o", F.lit(1 << 40)), "__o").limit(size).drop("__o")

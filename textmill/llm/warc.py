@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.shared import by_arrow, fresh_dir, rows_out, store, written
+from textmill.llm.shared import bounded_sample, by_arrow, fresh_dir, rows_out, store, written
 
 # Frame magic and profile name of the public formats.
 DICT_MAGIC = 0x184D2A5D
@@ -37,8 +37,9 @@ BROADCAST_GROUPS = 50_000
 
 
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str) -> bytes:
-    """A dictionary from the payloads with the least hashes of their ids; empty if they are too few or too small to train on."""
-    rows = pages.select(F.xxhash64(id_col).alias("o"), F.substring(F.encode(F.coalesce(html_col, F.lit("")), "UTF-8"), 1, SAMPLE_BYTES).alias("p")).orderBy("o", "p").limit(SAMPLE_PAYLOADS)
+    """A dictionary from a bounded sample of the payloads; empty if they are too few or too small to train on."""
+    payloads = pages.select(F.col(id_col).alias("i"), F.substring(F.encode(F.coalesce(html_col, F.lit("")), "UTF-8"), 1, SAMPLE_BYTES).alias("p"))
+    rows = bounded_sample(payloads, SAMPLE_PAYLOADS, "i")
     samples = [bytes(r.p) for r in rows.collect() if r.p]
     try:
         return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
