@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.shared import by_arrow, rows_out, written
+from textmill.llm.shared import bounded_sample, by_arrow, rows_out, written
 from textmill.llm.word_table import WordTable, batches_of
 
 #: Labelled rows per class that learning takes at most.
@@ -273,9 +273,9 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) ->
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Lexicon:
-    """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0; at most ``sample`` rows of each class, chosen by a hash of the id."""
+    """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0; at most ``sample`` rows of each class, chosen by hash."""
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and crc32(cast(id as string)) % 5 <> 0").dropDuplicates(["id"])
-    part = [rows.filter(F.col("toxic") == c).withColumn("o", F.xxhash64("id")).orderBy("o", "id").limit(sample).drop("o") for c in (0, 1)]
+    part = [bounded_sample(rows.filter(F.col("toxic") == c), sample, "id") for c in (0, 1)]
     chosen = part[0].union(part[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most 2 x sample rows of two numbers, so the broadcast is bounded
