@@ -18,6 +18,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hinted(df: DataFrame, few: bool) -> DataFrame:
+    """The table with a broadcast hint if a bound on its rows has been checked."""
+    return F.broadcast(df) if few else df
+
+
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, tf, dl): term counts and the document's length. A document's tokens stand in one task, so the counts are complete before the shuffle."""
     t = docs.select(F.col(id_col).alias("doc_id"), tx.tokens(F.col(text_col)).alias("t"))
@@ -43,16 +48,17 @@ def query_terms(items: DataFrame, n: int = 12) -> DataFrame:
 
 def bm25(terms: DataFrame, docs: DataFrame) -> DataFrame:
     """(item_id, doc_id, score) of every document with a query term. The postings of other terms are dropped before they are counted per document."""
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # bounds what is derived from the terms too
     wanted = terms.select("term").distinct()
     t = docs.select("doc_id", tx.tokens(F.col("text")).alias("t"))
-    rows = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(small(wanted), "term", "left_semi")
+    rows = t.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(hinted(wanted, few), "term", "left_semi")
     post = rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     df = document_frequency(post)
     k1, b = DEFAULT.bm25_k1, DEFAULT.bm25_b
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus_stats(docs))).select("item_id", "term", "avg_dl", (idf * F.col("qtf")).alias("w"))
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return post.join(small(weighed), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    return post.join(hinted(weighed, few), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, by: str = "item_id", ident: str = "doc_id") -> DataFrame:

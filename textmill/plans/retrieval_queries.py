@@ -123,11 +123,16 @@ def union_hits(t: Tables) -> DataFrame:
 QW = f"qw as (select item_id, list_distinct(list_slice({TOK}, 1, 12)) as q, array_to_string(list_slice({TOK}, 1, 12), ' ') as qs from benchmark)"
 
 
+#: Hits of a passage in any list that texts are joined to.
+POOL = 2 * DEFAULT.top_k * DEFAULT.pool_factor
+
+
 def with_text(t: Tables, h: DataFrame) -> DataFrame:
     """Hits with the texts of document and query. The documents side isn't shuffled while the hits are few by count."""
     q = t.benchmark.select("item_id", F.slice(tx.tokens(F.col("text")), 1, 12).alias("q12"))
     q = q.select("item_id", F.array_distinct("q12").alias("q"), F.array_join("q12", " ").alias("qs"))
-    return t.documents.select("doc_id", "text", "source").join(lexical.small(h), "doc_id").join(lexical.small(q), "item_id")
+    few = t.benchmark.count() * POOL <= lexical.BROADCAST_ROWS  # a passage has that many hits at most, so nothing is searched twice to count them
+    return t.documents.select("doc_id", "text", "source").join(lexical.hinted(h, few), "doc_id").join(lexical.hinted(q, few), "item_id")
 
 
 def covered(q: object, toks: object) -> object:
