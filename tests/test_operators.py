@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
 from textmill.functions.tools import calculate, schema_problems
-from textmill.operators import dedup, dense, layout, lexical, split, state
+from textmill.operators import dedup, dense, layout, lexical, models, split, state
 from textmill.sources import files
 from textmill.streaming import twins
 
@@ -137,3 +137,27 @@ def test_streams_equal_their_batch_forms(spark, sf, tmp_path):
     for i in range(2):  # the second query sees all rows again
         twins.run_effects_once(effects(), str(tmp_path / "ledger"), str(tmp_path / f"check{i}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "ledger")).groupBy("run_id", "slot").count().filter("count > 1").count() == 0
+
+
+def test_sections_by_heading_and_length(spark):
+    text = "before\n# One\nfirst.\nsecond\n### Deep\n\n" + "x" * 30 + "\n" + "y" * 10 + ".\ntail\n#nohead"
+    assert split._sections(text, 40) == [(0, "", "before"), (1, "One", "# One\nfirst.\nsecond"), (3, "Deep", "## Deep\n\n" + "x" * 30 + "\n" + "y" * 10 + "."), (3, "Deep", "tail\n#nohead")]
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, " \n ")], "doc_id long, text string")
+    got = split.bounded_sections(docs, 40).collect()
+    assert [(r.doc_id, r.section, r.level) for r in got] == [(1, 0, 0), (1, 1, 1), (1, 2, 3), (1, 3, 3)]
+
+
+def test_rewritten_queries(spark):
+    rows = [("term_fix", "redds memry", [("memry", "memory"), ("redds", "redis")]), ("step_back", "q", []), ("none", "q", []), ("specify", "q", [])]
+    d = spark.createDataFrame(rows, "m string, q string, f array<struct<term:string,fix:string>>")
+    got = [r[0] for r in d.select(tx.rewritten(F.col("q"), F.col("m"), F.col("f"), F.lit("r"))).collect()]
+    assert got == ["redis memory", "q\n退步问题：r", "q", "q（请限定具体场景、对象或时间范围）"]
+
+
+def test_model_seams(spark):
+    hits = spark.createDataFrame([(1, 10, 1, "a", "b"), (1, 11, 2, "a", None), (1, 12, 3, "a", "abc")], "item_id long, doc_id long, rnk int, question string, text string")
+    make = lambda: lambda pairs: [1.0 - len(t) for _, t in pairs]
+    got = {r.doc_id: (r.model_score, r.pos) for r in models.model_rerank(hits, make, limit=2).collect()}
+    assert got == {11: (1.0, 1), 10: (0.0, 2), 12: (0.0, 3)}
+    vectors = models.model_vectors(hits, lambda: lambda texts: [[len(t), 1] for t in texts]).collect()
+    assert {r.vec_id: r.embedding for r in vectors} == {10: [1.0, 1.0], 11: [0.0, 1.0], 12: [3.0, 1.0]}

@@ -162,6 +162,27 @@ def complex_question(text: Column) -> Column:
     return text.rlike("|".join(COMPLEX_MARKERS)) | (F.regexp_count(text, F.lit("[?？]")) >= 2) | (F.length(text) >= 60)
 
 
+def outermost(words: Column) -> Column:
+    """The words that no other of the array contains."""
+    return F.filter(words, lambda x: ~F.exists(words, lambda y: (y != x) & F.contains(y, x)))
+
+
+def information(sentence: Column, keywords: Column) -> Column:
+    """How much a sentence asks to become a question: keywords (20 count at most), numbers, a length of 26 to 110."""
+    n = F.length(sentence)
+    size = F.when(n.between(26, 110), 0.5).when(n > 110, -0.005 * (n - 110)).otherwise(0.0)
+    return F.when(keywords > 0, F.greatest(0.15 * F.least(keywords, F.lit(20)) + F.when(sentence.rlike("[0-9]"), 0.3).otherwise(0.0) + size, F.lit(0.0))).otherwise(0.0)
+
+
+def rewritten(question: Column, method: Column, fixes: Column, rewrite: Column) -> Column:
+    """The query to search with: misspelt words replaced (``fixes`` are structs term, fix), or the question with its rewrite."""
+    fixed = F.aggregate(fixes, question, lambda s, x: F.replace(s, x.term, x.fix))
+    step = F.concat(question, F.lit("\n退步问题："), rewrite)
+    hyde = F.concat(question, F.lit("\n假设性答案文档："), rewrite)
+    specified = F.concat(question, F.lit("（请限定具体场景、对象或时间范围）"))
+    return F.when(method == "term_fix", fixed).when(method == "step_back", step).when(method == "hyde", hyde).when(method == "specify", specified).otherwise(question)
+
+
 def squeezed_lines(text: Column) -> Column:
     """LF line ends, blanks squeezed within lines, blank lines dropped."""
     s = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"[ \t]+", " ")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import textmill.plans.evaluation_queries
+import textmill.plans.policy_queries
 import textmill.plans.retrieval_queries
 import textmill.plans.state_queries
 import textmill.plans.text_queries  # noqa: F401

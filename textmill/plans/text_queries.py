@@ -309,3 +309,9 @@ def containing(docs: DataFrame, items: DataFrame, text: str, snippet: str) -> Da
         got = docs.join(F.broadcast(part), F.contains(docs[text], part[snippet]))
         out = got if out is None else out.union(got)
     return out
+
+
+@query()
+def bounded_sections(t: Tables) -> DataFrame:
+    """Sections by headings and length (ends depend on what went before, so there is no SQL; tested on literals)."""
+    return split.bounded_sections(t.documents)
