@@ -12,7 +12,7 @@ from textmill.functions.tools import schema_problems
 from textmill.operators import lexical
 from textmill.plans.evaluation_queries import OBS, observations
 from textmill.plans.registry import Tables, query
-from textmill.plans.retrieval_queries import CLAIMS, FOCUS, INDEX, QW, RERANK, SENT, SSCORE, STOK, UNKNOWN, TOK, _hits_sql, extractive_answer, fused, grade_route, hits, overlap_channel, reranked, scored_sentences, verdicts, with_text
+from textmill.plans.retrieval_queries import CLAIMS, FOCUS, INDEX, QW, RERANK, SENT, SSCORE, STOK, UNKNOWN, TOK, _hits_sql, evidence, extractive_answer, fused, grade_route, hits, overlap_channel, reranked, scored_sentences, verdicts, weighed_terms, with_text
 
 
 @query(f"""with {INDEX}, {UNKNOWN}, nb as (select uk.term, min(df.term) as fix from uk join df on length(uk.term) >= 2 and length(df.term) >= 2 and abs(length(uk.term) - length(df.term)) <= 1 and levenshtein(uk.term, df.term) <= 1 group by uk.term),
@@ -40,7 +40,7 @@ def attribution_gate(t: Tables) -> DataFrame:
     """Answers (passages; odd sentences cite the evidence of their number) without the sentences that their evidence doesn't support."""
     c = t.benchmark.select("item_id", F.posexplode(tx.sentences(F.col("text"), "。！？!?；;.\n")).alias("p", "s"))
     c = c.select("item_id", (F.col("p") + 1).alias("n"), "s", F.array_distinct(tx.tokens(F.col("s"))).alias("toks"))
-    e = with_text(t, hits(t, 8)).select("item_id", F.col("rnk").alias("n"), tx.tokens(F.col("text")).alias("t"))
+    e = evidence(t, 8).select("item_id", F.col("rnk").alias("n"), tx.tokens(F.col("text")).alias("t"))
     share = F.size(F.array_intersect("toks", "t")) / F.size("toks")
     kept = F.when(F.col("n") % 2 == 0, F.length("s") <= DEFAULT.free_chars).when(F.col("t").isNull(), False).when(F.size("toks") == 0, True).otherwise(share >= DEFAULT.cited_support)
     g = c.join(e, ["item_id", "n"], "left").withColumn("kept", kept).groupBy("item_id").agg(F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct("n", "s")))).alias("k"), F.count_if(~F.col("kept")).alias("removed"))
@@ -51,7 +51,7 @@ def attribution_gate(t: Tables) -> DataFrame:
 def evidence_footprint(t: Tables) -> DataFrame:
     """Share of the query's terms that the evidence found so far holds."""
     q = t.benchmark.select("item_id", F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 12))).alias("term")).filter("length(term) > 1")
-    seen = with_text(t, hits(t, 8)).select("item_id", F.explode(F.array_intersect("q", tx.tokens(F.col("text")))).alias("term")).distinct().withColumn("seen", F.lit(1))
+    seen = evidence(t, 8).select("item_id", F.explode(F.array_intersect("q", tx.tokens(F.col("text")))).alias("term")).distinct().withColumn("seen", F.lit(1))
     return q.join(seen, ["item_id", "term"], "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("seen", F.lit(0))), 6).alias("footprint"))
 
 
@@ -63,7 +63,12 @@ vd as (select item_id, case when relevance >= 0.5 then 'answer' when coverage <
 
 @query(f"{ANSWER} select item_id, route, verdict, case when verdict <> 'abstain' then 'answered' when digest is null then 'no_knowledge' when route = 'clarify' then 'clarify' else 'insufficient_evidence' end as outcome, case when verdict <> 'abstain' then digest else '' end as answer from vd left join ex using (item_id)")
 def answers(t: Tables) -> DataFrame:
-    """The whole chain for a batch of questions: search, grade, gates, and an extractive answer or the reason for none."""
+    """The whole chain for a batch of questions: search, grade, gates, and an extractive answer or the reason for none.
+
+    Evidence (eight texts a question) and term weights are made once and checkpointed: the gates all read them.
+    """
+    t.pin("evidence", evidence(t, 8))
+    t.pin("weights", weighed_terms(t))
     v = grade_route(t).select("item_id", "route").join(verdicts(t), "item_id").join(extractive_answer(t).select("item_id", "digest"), "item_id", "left")
     ok = F.col("verdict") != "abstain"
     outcome = F.when(ok, "answered").when(F.col("digest").isNull(), "no_knowledge").when(F.col("route") == "clarify", "clarify").otherwise("insufficient_evidence")
@@ -111,7 +116,7 @@ def compression_account(t: Tables) -> DataFrame:
 def fact_hit_rate(t: Tables) -> DataFrame:
     """Share of a passage's words that the text of its best hit contains in any case, and those it lacks."""
     f = t.benchmark.select("item_id", F.explode(F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 1000)).alias("fact"))
-    best = with_text(t, hits(t, 1)).select("item_id", F.lower("text").alias("text"))
+    best = evidence(t, 1).select("item_id", F.lower("text").alias("text"))
     c = f.join(best, "item_id", "left").withColumn("found", F.coalesce(F.contains("text", "fact"), F.lit(False)))
     return c.groupBy("item_id").agg(F.round(F.avg(F.col("found").cast("int")), 6).alias("hit_rate"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("found"), F.col("fact")))), "|").alias("misses"))
 
@@ -119,7 +124,7 @@ def fact_hit_rate(t: Tables) -> DataFrame:
 @query(f"with {_hits_sql(8)} select b.item_id, coalesce(string_agg(h.doc_id::varchar, '|' order by rnk), '') as retrieved_chunk_ids, coalesce(string_agg(d.source, '|' order by rnk), '') as retrieved_sources, count(h.doc_id)::bigint as n, count(h.doc_id) = 0 as abstained from benchmark b left join hits h using (item_id) left join documents d on d.doc_id = h.doc_id group by b.item_id")
 def observation_records(t: Tables) -> DataFrame:
     """A run's result per question as an observation: what was retrieved, in order, and whether that was nothing."""
-    h = with_text(t, hits(t, 8)).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "doc_id", "source"))).alias("u"))  # eight units at most
+    h = evidence(t, 8).groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("rnk", "doc_id", "source"))).alias("u"))  # eight units at most
     j = t.benchmark.select("item_id").join(h, "item_id", "left").withColumn("u", F.coalesce("u", F.array().cast("array<struct<rnk:int,doc_id:bigint,source:string>>")))
     flat = lambda f: F.array_join(F.transform("u", f), "|")
     return j.select("item_id", flat(lambda x: x.doc_id.cast("string")).alias("retrieved_chunk_ids"), flat(lambda x: x.source).alias("retrieved_sources"), F.size("u").cast("long").alias("n"), (F.size("u") == 0).alias("abstained"))

@@ -18,6 +18,18 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         ensure_importable(spark)
         self.spark, self.sf_dir = spark, sf_dir
+        self.pinned: dict[str, DataFrame] = {}
+
+    def checkpointed(self, df: DataFrame) -> DataFrame:
+        """The table cut from its lineage, in the session's checkpoint folder; a folder of this machine only where none is set."""
+        context = self.spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", "/tmp/textmill-checkpoints"))
+        return df.checkpoint()
+
+    def pin(self, name: str, df: DataFrame) -> None:
+        """Keeps a table that one plan derives several others from, so that it is made once."""
+        self.pinned[name] = self.checkpointed(df)
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -25,6 +25,8 @@ def _hits_sql(k: int) -> str:
 
 def hits(t: Tables, k: int) -> DataFrame:
     """BM25 hits of the benchmark passages' first twelve tokens."""
+    if "evidence" in t.pinned:
+        return t.pinned["evidence"].filter(F.col("rnk") <= k).select("item_id", "doc_id", "score", "rnk")
     return lexical.top_k(lexical.bm25(lexical.query_terms(t.benchmark), t.documents), k)
 
 
@@ -135,6 +137,13 @@ def with_text(t: Tables, h: DataFrame) -> DataFrame:
     return t.documents.select("doc_id", "text", "source").join(lexical.hinted(h, few), "doc_id").join(lexical.hinted(q, few), "item_id")
 
 
+def evidence(t: Tables, k: int) -> DataFrame:
+    """The k best hits with their texts."""
+    if "evidence" in t.pinned:
+        return t.pinned["evidence"].filter(F.col("rnk") <= k)
+    return with_text(t, hits(t, k))
+
+
 def covered(q: object, toks: object) -> object:
     """Share of the query's term weight (length) that the tokens cover."""
     weigh = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
@@ -175,7 +184,7 @@ def _parents(t: Tables) -> DataFrame:
 @query(f"with {_hits_sql(8)}, {PARENT} select item_id, doc_id, rnk::int as rnk, case when count(*) over (partition by item_id, d.source) >= 2 and plen > length(text) then 'parent' else 'leaf' end as merge_source, case when count(*) over (partition by item_id, d.source) >= 2 and plen > length(text) then plen else length(text) end::bigint as context_chars from hits join documents d using (doc_id) join pt using (source)")
 def expand_merge(t: Tables) -> DataFrame:
     """Hits that share a parent with another hit get the parent's text if it is longer; order and ids stay."""
-    h = with_text(t, hits(t, 8)).join(_parents(t), "source")
+    h = evidence(t, 8).join(_parents(t), "source")
     n = F.count(F.lit(1)).over(Window.partitionBy("item_id", "source"))
     up = (F.col("n") >= DEFAULT.merge_threshold) & (F.col("plen") > F.length("text"))
     return h.withColumn("n", n).select("item_id", "doc_id", "rnk", F.when(up, "parent").otherwise("leaf").alias("merge_source"), F.when(up, F.col("plen")).otherwise(F.length("text")).cast("long").alias("context_chars"))
@@ -184,7 +193,7 @@ def expand_merge(t: Tables) -> DataFrame:
 @query(f"with {_hits_sql(8)}, {PARENT}, g as (select item_id, parent, max(score) as score, min(rnk) as pos, count(*) as n, min(doc_id) as lone from hits join documents d using (doc_id) join pt using (source) group by item_id, parent), o as (select item_id, parent as unit, score, pos, n from g where n >= 2 union all select h.item_id, h.doc_id, h.score, h.rnk, 1 from hits h join documents d using (doc_id) join pt using (source) join g on g.item_id = h.item_id and g.parent = pt.parent and g.n < 2) select item_id, unit, score, n::bigint as n, row_number() over (partition by item_id order by pos)::int as pos from o")
 def replace_merge(t: Tables) -> DataFrame:
     """Groups of hits under one parent become the parent: best score, first position."""
-    h = with_text(t, hits(t, 8)).join(_parents(t), "source")
+    h = evidence(t, 8).join(_parents(t), "source")
     g = h.groupBy("item_id", "parent").agg(F.max("score").alias("score"), F.min("rnk").alias("pos"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lone"))
     unit = F.when(F.col("n") >= DEFAULT.merge_threshold, F.col("parent")).otherwise(F.col("lone"))
     return g.select("item_id", unit.alias("unit"), "score", "n", F.row_number().over(Window.partitionBy("item_id").orderBy("pos")).alias("pos"))
@@ -196,7 +205,7 @@ select u.item_id, u.rnk, case when p.used + u.n + 120 <= 12000 then p.used + u.n
 select item_id, doc_id, rnk::int as rnk, used from p where keep""")
 def greedy_pack(t: Tables) -> DataFrame:
     """Evidence packed into 12 000 characters."""
-    return fuse.pack(with_text(t, hits(t, 8)).select("item_id", "doc_id", "rnk", F.length("text").alias("n")))
+    return fuse.pack(evidence(t, 8).select("item_id", "doc_id", "rnk", F.length("text").alias("n")))
 
 
 SENT = r"list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?；;.\n])', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
@@ -206,7 +215,7 @@ SSCORE = rf"case when len({STOK}) = 0 then 0.0 else len(list_filter(q, lambda x:
 
 def scored_sentences(t: Tables, k: int) -> DataFrame:
     """Sentences of the k best hits with their score and place."""
-    h = with_text(t, hits(t, k)).select("item_id", "doc_id", "rnk", "q", F.length("text").alias("n"), F.posexplode(tx.sentences(F.col("text"), "。！？!?；;.\n")).alias("i", "s"))
+    h = evidence(t, k).select("item_id", "doc_id", "rnk", "q", F.length("text").alias("n"), F.posexplode(tx.sentences(F.col("text"), "。！？!?；;.\n")).alias("i", "s"))
     toks = tx.tokens(F.col("s"))
     score = F.size(F.array_intersect("q", toks)) + F.when(F.col("s").rlike("[0-9]"), 0.35).otherwise(0.0) + F.when(F.length("s").between(18, 120), 0.1).otherwise(0.0)
     return h.withColumn("score", F.when(F.size(toks) == 0, 0.0).otherwise(score))
@@ -238,7 +247,7 @@ def extractive_answer(t: Tables) -> DataFrame:
 @query(f"with {_hits_sql(8)} select item_id, rnk::int as n, '[' || rnk || '] ' || source || ' (' || doc_id || ')' as header from hits join documents using (doc_id)")
 def evidence_numbering(t: Tables) -> DataFrame:
     """Numbered evidence headers."""
-    h = with_text(t, hits(t, 8))
+    h = evidence(t, 8)
     return h.select("item_id", F.col("rnk").alias("n"), F.concat(F.lit("["), F.col("rnk").cast("string"), F.lit("] "), "source", F.lit(" ("), F.col("doc_id").cast("string"), F.lit(")")).alias("header"))
 
 
@@ -252,6 +261,8 @@ cv as (select tot.item_id, round(coalesce(best, 0) / total, 6) as relevance, rou
 
 def weighed_terms(t: Tables) -> DataFrame:
     """(item_id, term, w): distinct query terms with length times rarity."""
+    if "weights" in t.pinned:
+        return t.pinned["weights"]
     q = t.benchmark.select("item_id", F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 12))).alias("term"))
     d = t.documents.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).join(lexical.small(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = t.documents.agg(F.count(F.lit(1)).alias("n_docs"))
@@ -261,7 +272,7 @@ def weighed_terms(t: Tables) -> DataFrame:
 def coverage(t: Tables) -> DataFrame:
     """(item_id, relevance, coverage): best single hit and union of the hits over the query's weight."""
     ww = weighed_terms(t)
-    terms = with_text(t, hits(t, 8)).select("item_id", "doc_id", F.explode(F.array_intersect("q", tx.tokens(F.col("text")))).alias("term"))
+    terms = evidence(t, 8).select("item_id", "doc_id", F.explode(F.array_intersect("q", tx.tokens(F.col("text")))).alias("term"))
     hv = terms.join(ww, ["item_id", "term"])
     best = hv.groupBy("item_id", "doc_id").agg(F.sum("w").alias("c")).groupBy("item_id").agg(F.max("c").alias("best"))
     union = hv.select("item_id", "term", "w").distinct().groupBy("item_id").agg(F.sum("w").alias("c"))
@@ -285,7 +296,7 @@ def sufficiency_table(t: Tables) -> DataFrame:
     ww = weighed_terms(t)
     w = Window.partitionBy("item_id").orderBy(F.desc(F.length("term")), "term")
     focus = ww.filter("length(term) >= 2").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= DEFAULT.focus_terms)
-    seen = with_text(t, hits(t, 8)).select("item_id", F.explode(F.array_intersect("q", tx.tokens(F.col("text")))).alias("term")).distinct().withColumn("seen", F.lit(1))
+    seen = evidence(t, 8).select("item_id", F.explode(F.array_intersect("q", tx.tokens(F.col("text")))).alias("term")).distinct().withColumn("seen", F.lit(1))
     f = focus.join(seen, ["item_id", "term"], "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("seen", F.lit(0))), 6).alias("focus"))
     c = coverage(t).select("item_id", "coverage").join(f, "item_id", "left").withColumn("focus", F.coalesce("focus", F.lit(0.0)))
     return c.withColumn("sufficient", (F.col("coverage") >= DEFAULT.coverage) & (F.col("focus") >= DEFAULT.focus_coverage))
@@ -307,7 +318,7 @@ def claim_support(t: Tables) -> DataFrame:
     """Claims (the sentences of a passage; odd ones cite the evidence of their number): cited ones need 0.3 of their tokens there, others 0.5 in any block."""
     c = t.benchmark.select("item_id", F.posexplode(tx.sentences(F.col("text"), "。！？!?；;.\n")).alias("p", "s"))
     c = c.select("item_id", (F.col("p") + 1).alias("n"), "s", F.array_distinct(tx.tokens(F.col("s"))).alias("toks")).withColumn("cite", F.when(F.col("n") % 2 == 1, F.col("n")))
-    e = with_text(t, hits(t, 8)).select("item_id", "rnk", tx.tokens(F.col("text")).alias("t"))
+    e = evidence(t, 8).select("item_id", "rnk", tx.tokens(F.col("text")).alias("t"))
     sup = F.when(F.size("toks") == 0, 1.0).otherwise(F.size(F.array_intersect("toks", "t")) / F.size("toks"))
     j = c.join(e, "item_id", "left").withColumn("sup", sup)
     g = j.groupBy("item_id", "n").agg(F.first("cite").alias("cite"), F.first("s").alias("s"), F.coalesce(F.max(F.when(F.col("rnk") == F.col("cite"), F.col("sup"))), F.lit(0.0)).alias("own"), F.coalesce(F.max("sup"), F.lit(0.0)).alias("any"))
@@ -317,7 +328,10 @@ def claim_support(t: Tables) -> DataFrame:
 
 @query(f"with {FOCUS} select item_id, case when not exists (select 1 from hits where hits.item_id = cv.item_id) then 'abstain' when not (coverage >= 0.5 and coalesce(focus, 0) >= 0.5) then 'abstain' when relevance < 0.5 then 'regenerate' else 'pass' end as verdict from cv left join fc using (item_id)")
 def verdicts(t: Tables) -> DataFrame:
-    """Verdict by priority: no evidence, insufficient, weak answer, pass."""
+    """Verdict by priority: no evidence, insufficient, weak answer, pass. Evidence and term weights are made once."""
+    if not t.pinned:
+        t.pin("evidence", evidence(t, 8))
+        t.pin("weights", weighed_terms(t))
     s = sufficiency_table(t).join(coverage(t).select("item_id", "relevance"), "item_id")
     some = hits(t, 8).select("item_id").distinct().withColumn("some", F.lit(True))
     v = F.when(F.col("some").isNull(), "abstain").when(~F.col("sufficient"), "abstain").when(F.col("relevance") < DEFAULT.answerable, "regenerate").otherwise("pass")

@@ -96,10 +96,8 @@ def dedup_report(t: Tables) -> DataFrame:
 @query()
 def dedup_kept(t: Tables) -> DataFrame:
     """Exact copies and near ones dropped in id order, with what they matched."""
-    if not t.spark.sparkContext.getCheckpointDir():
-        t.spark.sparkContext.setCheckpointDir(t.spark.conf.get("spark.checkpoint.dir", "/tmp/textmill-checkpoints"))
     prints, pairs = _pairs(t)
-    return dedup.greedy_kept(prints.select("doc_id").checkpoint(), pairs.checkpoint())
+    return dedup.greedy_kept(t.checkpointed(prints.select("doc_id")), t.checkpointed(pairs))
 
 
 LET = "[A-Za-zÀ-ɏ一-鿿]"
