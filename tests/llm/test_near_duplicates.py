@@ -78,3 +78,26 @@ def test_near_copies_leave_one(odd_docs, odd_texts, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and not {2, 3, 14, 5} & set(ids) and ids.count(12) == 1 and {7, 8, 9, 10, 13} <= set(ids)
     assert drop_near_duplicates(no_docs).count() == 0
+
+
+def test_dense_buckets_of_long_signatures_are_linked(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rest = [int(x) for x in r.integers(0, 1 << 62, 3)]
+    # a chain in one segment: neighbours differ in 9 bits there, others in 18 and more, and ids are shuffled
+    low = [sum(((i + 1 + k) // 2 % 2) * (511 << 9 * k) for k in range(2)) for i in range(4)]
+    sigs = [x | y << 18 for x in low for y in (0, 31, 31 << 5)]
+    order = r.permutation(len(sigs)).tolist()
+    nodes = spark.createDataFrame([(order[i], [x, *rest]) for i, x in enumerate(sigs)], "id long, sig array<long>")
+    monkeypatch.setattr(simhash_module, "MAX_BUCKET", 4)
+    got = union_find(range(len(sigs)), [(e.a, e.b) for e in bucket_links(nodes, 8, 9).collect()])
+    assert got == union_find(range(len(sigs)), [(order[i], order[j]) for i, x in enumerate(sigs) for j, y in enumerate(sigs) if (x ^ y).bit_count() <= 9])
+
+
+def test_many_texts_of_one_signature_leave_one(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    ws = [f"w{x}" for x in r.integers(0, 10**6, 60)]
+    texts = [" ".join(w.upper() if i >> k & 1 else w for k, w in enumerate(ws)) for i in range(10)]
+    texts += [" ".join(ws + ws[:k]) for k in range(1, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(simhash_module, "MAX_BUCKET", 4)
+    assert [x.doc_id for x in drop_near_duplicates(docs).collect()] == [0]

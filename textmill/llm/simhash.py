@@ -12,11 +12,15 @@ forest under the Hamming distance, at most n-1 links for n members, which has
 the same connected components as all pairs. A variant with more members than
 ``MAX_BUCKET`` is split again, without loss, by the one-wildcard variants of
 16-bit and then 8-bit pieces of the other segments; for 64 bits that leaves at
-most 2**11 different signatures that share a key.
+most 2**11 different signatures that share a key. Longer signatures can share
+more. Their dense keys, once of at most ``RUNS`` times that size or after the
+8-bit level, are dealt into runs, and each two runs are reduced together, so
+every pair of members meets.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +34,7 @@ from textmill.llm.shared import by_arrow, rows_out, written
 from textmill.llm.shingle_hash import WordSignatures, bottom_sketch, hashes, shingles, simhash, sketch_jaccard, words
 
 MAX_BUCKET = 2048
+RUNS = 64
 SKETCH = 256
 SIGNED = np.int64
 
@@ -46,20 +51,20 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
 
 
 def word_signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc_id, text_key, sig of four words, sketch): word-set SimHash, and a bottom sketch of k-word shingles for verification."""
+    """(doc_id, text_key of the sequence of words, sig of four words, sketch): word-set SimHash, and a bottom sketch of k-word shingles for verification."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = WordSignatures()
         for b in batches:
-            sigs, sketches = [], []
+            sigs, sketches, keys = [], [], []
             for t in b.column(1).to_pylist():
                 ws = words(t)
+                keys.append(hashlib.md5(b" ".join(ws)).digest())
                 sigs.append(sign(ws).astype(SIGNED).tolist())
                 sketches.append(bottom_sketch(hashes(shingles(ws, k)), SKETCH).astype(SIGNED).tolist())
-            yield rows_out({"doc_id": (pa.int64(), b.column(0).to_pylist()), "text_key": (pa.binary(), b.column(2).to_pylist()), "sig": (pa.list_(pa.int64()), sigs), "sketch": (pa.list_(pa.int64()), sketches)})
+            yield rows_out({"doc_id": (pa.int64(), b.column(0).to_pylist()), "text_key": (pa.binary(), keys), "sig": (pa.list_(pa.int64()), sigs), "sketch": (pa.list_(pa.int64()), sketches)})
 
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    return by_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), key), f, "doc_id long, text_key binary, sig array<long>, sketch array<long>")
+    return by_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), f, "doc_id long, text_key binary, sig array<long>, sketch array<long>")
 
 
 def _with_variants(rows: DataFrame, pieces: int, width: int) -> DataFrame:
@@ -75,6 +80,13 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
 
 
+def _in_runs(rows: DataFrame) -> DataFrame:
+    """Rows of n members a key, with runs lo and hi: members are dealt into runs by hash, and each row comes once per run that its own is paired with."""
+    dealt = rows.withColumn("runs", F.when(F.col("n") <= MAX_BUCKET, 1).otherwise(F.ceil(F.col("n") / max(1, MAX_BUCKET // 2))))
+    dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(id), runs)")).withColumn("other", F.explode(F.expr("sequence(0L, cast(runs as bigint) - 1)")))
+    return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+
+
 def _forest(ids: np.ndarray, sigs: np.ndarray, distance: int) -> list[tuple[int, int, int]]:
     """Minimum spanning forest of the graph of pairs within the distance (Prim)."""
     n = len(ids)
@@ -100,15 +112,13 @@ def bucket_links(nodes: DataFrame, segments: int, distance: int) -> DataFrame:
     rows = _with_variants(nodes, segments, 32)
     level = written(_shared_keys(rows.select("id", F.col("variant").alias("key"))), "variants")
     level = level.withColumn("seg", F.shiftrightunsigned("key", 37).cast("int"))
-    lists, last = [], False
+    lists, most = [], MAX_BUCKET if segments <= 2 else MAX_BUCKET * RUNS
     for width in (16, 8, 0):
-        small = level if not width else level.filter(F.col("n") <= MAX_BUCKET)
-        # dense keys that even the 8-bit level leaves (only signatures of more than 64 bits) are cut into runs of neighbours
-        block = F.lit(0) if width else F.floor((F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1) / MAX_BUCKET)
-        lists.append(small.withColumn("block", block).groupBy("key", "block").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids"))
-        if not width or level.filter(F.col("n") > MAX_BUCKET).isEmpty():
+        small = level if not width else level.filter(F.col("n") <= most)
+        lists.append(_in_runs(small).groupBy("key", "lo", "hi").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids"))
+        if not width or level.filter(F.col("n") > most).isEmpty():
             break
-        big = level.filter(F.col("n") > MAX_BUCKET).join(nodes, "id")
+        big = level.filter(F.col("n") > most).join(nodes, "id")
         rows = _with_variants(big, segments * 32 // width, width)
         key = F.xxhash64("key", "variant").alias("key")
         if width == 16:
@@ -164,7 +174,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     signed = written(word_signatures(docs, id_col, text_col, k), "signatures")
     nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")).filter("id is not null")
     nodes = written(nodes, "nodes")
-    links = bucket_links(nodes.select("id", "sig"), 8, distance)
+    # one node of each signature goes through the buckets; the others are linked to it
+    first = nodes.groupBy("sig").agg(F.min("id").alias("id"))
+    same = nodes.join(first.withColumnRenamed("id", "b"), "sig").filter("id <> b").select(F.col("id").alias("a"), "b")
+    links = bucket_links(first, 8, distance).union(same)
     sketch = signed.select("doc_id", "sketch").join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     pairs = links.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
 
