@@ -101,3 +101,22 @@ def test_many_texts_of_one_signature_leave_one(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     monkeypatch.setattr(simhash_module, "MAX_BUCKET", 4)
     assert [x.doc_id for x in drop_near_duplicates(docs).collect()] == [0]
+
+
+def similar_texts():
+    """A template family: a and b are near copies, c has a's words in reverse; the signatures of a and c are equal."""
+    r = np.random.default_rng(6)
+    ws = [f"w{x}" for x in r.integers(0, 10**6, 200)]
+    a, b = " ".join(ws), " ".join(ws[:100] + ["other"] + ws[101:])
+    return [(1, " ".join(ws[::-1])), (2, a), (3, b), (4, " ".join([*ws[100:], *ws[:100]])), (5, " ".join(ws[50:] + ws[:50]))]
+
+
+def test_similar_pairs_off_the_forest_are_found(spark, monkeypatch):
+    texts = similar_texts()
+    sets = {i: set(shingles(words(t), 5)) for i, t in texts}
+    want = union_find(sets, [(i, j) for i in sets for j in sets if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
+    assert want[2] == want[3] == 2 and want[1] == 1
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for part in (1024, 2):
+        monkeypatch.setattr(simhash_module, "PART", part)
+        assert {x.doc_id: x.group_id for x in near_duplicate_groups(docs).collect()} == want

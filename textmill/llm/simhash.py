@@ -35,6 +35,7 @@ from textmill.llm.shingle_hash import WordSignatures, bottom_sketch, hashes, shi
 
 MAX_BUCKET = 2048
 RUNS = 64
+PART = 1024
 SKETCH = 256
 SIGNED = np.int64
 
@@ -80,9 +81,9 @@ def _shared_keys(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
 
 
-def _in_runs(rows: DataFrame) -> DataFrame:
+def _in_runs(rows: DataFrame, most: int) -> DataFrame:
     """Rows of n members a key, with runs lo and hi: members are dealt into runs by hash, and each row comes once per run that its own is paired with."""
-    dealt = rows.withColumn("runs", F.when(F.col("n") <= MAX_BUCKET, 1).otherwise(F.ceil(F.col("n") / max(1, MAX_BUCKET // 2))))
+    dealt = rows.withColumn("runs", F.when(F.col("n") <= most, 1).otherwise(F.ceil(F.col("n") / max(1, most // 2))))
     dealt = dealt.withColumn("own", F.expr("pmod(xxhash64(id), runs)")).withColumn("other", F.explode(F.expr("sequence(0L, cast(runs as bigint) - 1)")))
     return dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
@@ -115,7 +116,7 @@ def bucket_links(nodes: DataFrame, segments: int, distance: int) -> DataFrame:
     lists, most = [], MAX_BUCKET if segments <= 2 else MAX_BUCKET * RUNS
     for width in (16, 8, 0):
         small = level if not width else level.filter(F.col("n") <= most)
-        lists.append(_in_runs(small).groupBy("key", "lo", "hi").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids"))
+        lists.append(_in_runs(small, MAX_BUCKET).groupBy("key", "lo", "hi").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids"))
         if not width or level.filter(F.col("n") > most).isEmpty():
             break
         big = level.filter(F.col("n") > most).join(nodes, "id")
@@ -143,6 +144,61 @@ def bucket_links(nodes: DataFrame, segments: int, distance: int) -> DataFrame:
     return by_arrow(full.select("m"), f, "a long, b long", rows=64).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _similar_forest(ids: np.ndarray, sigs: np.ndarray, sketches: list[np.ndarray], distance: int, similarity: float) -> list[tuple[int, int]]:
+    """Spanning forest of the graph of pairs within the distance that also reach the similarity."""
+    size = np.array([len(x) for x in sketches])
+    ends = np.cumsum(size)
+    codes = np.unique(np.concatenate(sketches), return_inverse=True)[1]
+    of = [codes[e - n : e] for e, n in zip(ends, size)]
+    left, own, out = np.ones(len(ids), bool), np.zeros(len(codes), bool), []
+    for root in range(len(ids)):
+        if not left[root]:
+            continue
+        left[root] = False
+        todo = [root]
+        while todo:
+            v = todo.pop()
+            other = np.flatnonzero(left)
+            other = other[np.bitwise_count(sigs[other] ^ sigs[v]).sum(axis=1, dtype=np.int64) <= distance]
+            if not len(other):
+                continue
+            own[of[v]] = True
+            common = np.array([np.count_nonzero(own[of[u]]) for u in other])
+            own[of[v]] = False
+            # what two sketches have in common bounds the similarity from above
+            for u in other[common >= similarity * np.minimum(size[v] + size[other] - common, SKETCH) - 1e-9].tolist():
+                if sketch_jaccard(sketches[v], sketches[u], SKETCH) >= similarity:
+                    left[u] = False
+                    out.append((int(ids[v]), int(ids[u])))
+                    todo.append(u)
+    return out
+
+
+def _similar_links(members: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect, in each part, what its pairs within both bounds connect. ``members`` has part, n of the part, id, sig and sketch."""
+    dealt = _in_runs(members, PART).select("part", "lo", "hi", "id", "sig", "sketch")
+    keys = ("part", "lo", "hi")
+
+    def links(rows: list[tuple]) -> list[tuple[int, int]]:
+        ids, sigs = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64).view(np.uint64)
+        return _similar_forest(ids, sigs, [x[2] for x in rows], distance, similarity)
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows = None, []
+        out = lambda found: rows_out({k: (pa.int64(), [x[j] for x in found]) for j, k in enumerate(("a", "b"))})
+        for b in batches:
+            for part, lo, hi, i, sig, sketch in zip(*b.to_pydict().values()):
+                if (part, lo, hi) != at:
+                    if rows:
+                        yield out(links(rows))
+                    at, rows = (part, lo, hi), []
+                rows.append((i, sig, np.array(sketch, np.int64).view(np.uint64)))
+        if rows:
+            yield out(links(rows))
+
+    return by_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), f, "a long, b long")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fingerprint hex, component_id) per row: 64-bit fingerprints linked at ``distance`` or fewer differing bits.
 
@@ -168,7 +224,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     within 15 bits, and those up to ``distance`` with the chance that one of
     eight segments differs by at most one bit. Links of the spanning forest are
     verified on k-word shingles (bottom sketches of 256 hashes, exact for texts
-    of at most that many shingles) against the similarity. Equal texts always
+    of at most that many shingles) against the similarity; where one fails, all
+    pairs within the distance of what the forest connects there are verified. Equal texts always
     share a group; blank and null texts count as equal.
     """
     signed = written(word_signatures(docs, id_col, text_col, k), "signatures")
@@ -185,9 +242,18 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for b in batches:
             a, c, x, y = b.to_pydict().values()
             near = [sketch_jaccard(np.array(p, np.int64).view(np.uint64), np.array(q, np.int64).view(np.uint64), SKETCH) >= similarity for p, q in zip(x, y)]
-            yield rows_out({"a": (pa.int64(), [v for v, ok in zip(a, near) if ok]), "b": (pa.int64(), [v for v, ok in zip(c, near) if ok])})
-
-    parts = connected_components(by_arrow(pairs.select("a", "b", "x", "y"), f, "a long, b long"))
+            yield rows_out({"a": (pa.int64(), a), "b": (pa.int64(), c), "near": (pa.bool_(), near)})
+
+    tested = written(by_arrow(pairs.select("a", "b", "x", "y"), f, "a long, b long, near boolean"), "tested")
+    near, failed = tested.filter("near").select("a", "b"), tested.filter("not near")
+    if not failed.isEmpty():
+        # a link that fails may hide pairs that hold: all pairs of its part are tested
+        part = written(connected_components(tested), "parts")
+        again = part.join(part.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct(), "component", "left_semi")
+        again = again.join(again.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").select(F.col("component").alias("part"), "n", F.col("node").alias("id"))
+        members = again.join(nodes.select("id", "sig"), "id").join(sketch.withColumnRenamed("doc_id", "id"), "id")
+        near = near.union(_similar_links(members, distance, similarity))
+    parts = connected_components(near)
     of = nodes.join(parts, nodes.id == parts.node, "left").select("text_key", F.coalesce("component", "id").alias("group_id"))
     return signed.select("doc_id", "text_key").join(of, "text_key").select("doc_id", "group_id")
 
