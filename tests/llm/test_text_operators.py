@@ -84,6 +84,35 @@ def test_line_dedup_is_the_plain_one(spark, repeated, no_docs):
     assert drop_repeated_lines(no_docs).count() == 0
 
 
+def all_earlier_runs(texts, least=25):
+    """Texts without the runs of lines of ``least`` words that occur before, wherever that is; ids are unique, every line has words."""
+    seen, out = set(), {}
+    for i, t in sorted(texts):
+        ls = t.split("\n")
+        gone, n = set(), [len(x.split()) for x in ls]
+        for a in range(len(ls)):
+            for b in range(a, len(ls)):
+                run = tuple(ls[a : b + 1])
+                if sum(n[a : b + 1]) >= least:
+                    gone |= set(range(a, b + 1)) if run in seen else set()
+                    seen.add(run)
+        out[i] = "".join(x for k, x in enumerate(t.splitlines(True)) if k not in gone)
+    return out
+
+
+def test_runs_of_frequent_lines_are_found(spark):
+    r = random.Random(21)
+    common = [words(r, 10) for _ in range(30)]
+    texts = [(i, "\n".join(x for c in r.sample(common, 12) for x in (c, words(r, 6)))) for i in range(20)]
+    run = r.sample(common, 8)
+    texts += [(i, "\n".join([words(r, 9), *run, words(r, 9)])) for i in (50, 51)]
+    texts += [(60 + i, "\n".join(words(r, 2) if r.random() < 0.5 else c for c in r.sample(common, 20))) for i in range(10)]
+    texts += [(80 + i, "\n".join([words(r, 1 + i)] + [f"{k} a" for k in range(i, 20 + i)])) for i in range(3)]
+    got = {x.doc_id: x.text for x in drop_repeated_lines(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert got == all_earlier_runs(texts)
+    assert not any(x in got[51] for x in run) and all(x in got[50] for x in run)
+
+
 def test_line_dedup_of_odd_rows(odd_docs, odd_texts):
     got = drop_repeated_lines(odd_docs)
     assert got.columns == odd_docs.columns and got.count() == len(odd_texts)
