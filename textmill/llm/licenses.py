@@ -17,20 +17,20 @@ from pyspark.sql import functions as F
 
 from textmill.llm.shared import by_arrow, rows_out
 
-#: A text without any of these has no licence sentence; each pattern below holds one.
-MARKS = ("licen", "copyright", "rights reserved", "permission", "warrant", "redistrib", "public domain", "spdx")
+#: A text without any of these has no licence sentence: each pattern below but "copyright", which no rule uses, needs a word that holds one.
+MARKS = re.compile(r"licen|copyright|reserved|permission|warrant|redistrib|unencumbered|spdx|commons|(?<![^\W_])cc")
 
 # Sentences of public licences after normalising (lower case, words alone, "license" for "licence").
 SENTENCES = [
     ("spdx", r"spdx license identifier (?P<id>[a-z0-9 .+]+)"),
-    ("mit-ref", r"(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?(?:mit|expat) license\b.*"),
-    ("apache2-ref", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the )?apache license,? version 2(?: 0)?\b.*"),
-    ("gpl3-ref", r".*\b(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?gnu general public license,? version 3\b.*"),
-    ("gpl2-ref", r".*\b(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?gnu general public license,? version 2\b.*"),
+    ("mit-ref", r".*\b(?:released|licensed|distributed|available|provided) under (?:the )?(?:terms of )?(?:the )?(?:mit|expat) license\b.*"),
+    ("apache2-ref", r".*\b(?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the )?apache license,? version 2(?: 0)?\b.*"),
+    ("gpl3-ref", r".*\b(?:(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?gnu general public license|under the terms of the gnu general public license as published by the free software foundation(?: either)?) version 3\b.*"),
+    ("gpl2-ref", r".*\b(?:(?:licensed|released|distributed|available) under (?:the )?(?:terms of )?(?:the )?gnu general public license|under the terms of the gnu general public license as published by the free software foundation(?: either)?) version 2\b.*"),
     ("lgpl-ref", r".*\bunder (?:the )?(?:terms of )?(?:the )?gnu lesser general public license\b.*"),
     ("agpl-ref", r".*\bunder (?:the )?(?:terms of )?(?:the )?gnu affero general public license\b.*"),
     ("mpl2-ref", r".*\b(?:subject to the terms of|under) the mozilla public license,? (?:v|version) ?2(?: 0)?\b.*"),
-    ("bsd-ref", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:(?P<n>2|3) clause )?bsd license\b.*"),
+    ("bsd-ref", r".*\b(?:released|licensed|distributed|available) under (?:the )?(?:terms of )?(?:the )?(?:(?P<n>2|3) clause )?bsd license\b.*"),
     ("cc-ref", r".*\b(?:licensed|released|available) under (?:a |the )?(?:creative commons|cc) ?(?P<id>(?:by|zero|0)(?: (?:nc|sa|nd))*(?: [1-4](?: \d)?)?)\b.*"),
     ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files .*"),
     ("mit-notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
@@ -89,21 +89,20 @@ def normalised(sentence: str) -> str:
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(licence, start, end) of each match of a rule, by start."""
     low = (text or "").lower()
-    if not any(m in low for m in MARKS):
+    if not MARKS.search(low):
         return []
     ids: list[tuple[str, str, int, int]] = []
-    known = 0
     for a, b in sentences(text):
-        part = text[a:b].lower()
-        if not any(m in part for m in MARKS) and "use this file" not in part and "unencumbered" not in part:
+        if not MARKS.search(text[a:b].lower()):
             continue
         s = normalised(text[a:b])
         for name, p in COMPILED:
             if m := p.fullmatch(s):
                 detail = next((g for g in m.groupdict().values() if g), "") or ""
                 ids.append((name, detail.strip(), a, b))
-                known += 1
-                break
+                # a sentence can refer to several licences
+                if not name.endswith("-ref"):
+                    break
     used, out = [False] * len(ids), []
     for licence, rule in RULES:
         at = 0
