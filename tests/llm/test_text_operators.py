@@ -11,7 +11,7 @@ from tests.llm.conftest import SCHEMA, rows, words
 from textmill.llm.decontaminate import contained_items, drop_contaminated, shingle_set
 from textmill.llm.licenses import license_table, scan
 from textmill.llm.line_dedup import drop_repeated_lines
-from textmill.llm.pii import KINDS, Field, base_spans, find, luhn, pii_table, trained
+from textmill.llm.pii import KINDS, TOKEN, Field, base_spans, find, luhn, pii_table, trained
 from textmill.llm.toxicity import Automaton, Lexicon, Scorer, drop_toxic, learn_toxicity, score_toxicity
 
 
@@ -234,3 +234,16 @@ def test_licences(odd_docs, odd_texts, no_docs):
 ])
 def test_licence_statements_inside_sentences(text, want):
     assert sorted(x[0] for x in scan(text)) == want
+
+
+def test_decoding_whole_texts_gives_the_same_spans():
+    field = Field()
+    field.w.update(trained())
+    r = random.Random(13)
+    odd = ["10 . 20 . 30 . 40", "06 12 34 56 78", "anna At mill Dot com", "anna[AT]mill[Dot]org", "call 1²34 5 now", "1 2\n3 4 5", "x1y2z3a4b5", "a@b", "anna at mill\ndot com"]
+    texts = [w for w in odd] + [" ".join(words(r, r.randint(5, 40)) + " " + r.choice(odd) + r.choice((" ", "\n", ", ")) for _ in range(4)) + words(r, 30) for _ in range(60)]
+    for t in texts:
+        if not base_spans(t):
+            tokens = [m.span() for m in TOKEN.finditer(t)]
+            assert find(t, field)[1] == [(tokens[i][0], k, tokens[j - 1][1]) for i, j, k in field.decode(len(tokens), field.segments(t, tokens))]
+    assert [find(t, field)[1] for t in odd[:1] + odd[2:3]] == [[(0, 1, 17)], [(0, 0, 20)]]

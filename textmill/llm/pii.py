@@ -9,8 +9,8 @@ boundaries and kinds jointly; base spans are fixed segments there. It is
 trained here, by gradient ascent on the likelihood of synthetic sentences, with
 the forward and backward sums of the same recursion.
 
-Only windows around digits, @ and a few cue words are decoded; what is outside
-holds no candidate, so its decoding is all "outside" anyway.
+Candidates are looked for only from tokens near five digits, an @ or a spelt
+address, each of which every candidate holds; from other tokens none starts.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import hashlib
 import math
 import random
 import re
+import sys
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,14 +33,20 @@ from textmill.llm.shared import by_arrow, rows_out
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 MAX_TOKENS = 18
-PAD = 60
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TRIGGER = re.compile(r"[0-9]{3}|@|\b(?:at|AT) [A-Za-z0-9]+ (?:dot|DOT)\b|[\[(](?:at|AT)[\])]|\b[A-Z0-9]{16,}\b")
+LONGEST = 64
+AT = re.compile("@")
+#: All that str.isdigit() takes.
+ANY_DIGIT = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit())}]")
+#: Where the signs of a spelt address start.
+SPELT = re.compile(r"(?i)(?=at[\])]? ?[a-z0-9]+ ?[\[(]?dot)")
+#: No candidate with five digits holds one: a word beside a blank, a line that starts with a token.
+APART = re.compile(r"[^\W\d_]{2,} | [^\W\d_]{2,}|\n\S")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
@@ -108,14 +116,31 @@ def features(s: str, before: str, kind: int) -> list[str]:
     return [f"{KINDS[kind]}|{x}" for x in f] + [KINDS[kind]]
 
 
-def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
-    """Token ranges [i, j) that could be an entity: 7 to 64 characters on one line, ends that are no stray signs, digits or a spelt or signed address."""
-    for i, (a, _) in enumerate(tokens):
+def starts(text: str, x: int, y: int) -> list[tuple[int, int]]:
+    """Merged stretches of text[x:y], by start, in which every candidate starts: at most LONGEST characters before what it must hold."""
+    digits = [m.start() for m in ANY_DIGIT.finditer(text, x, y)]
+    near = [(b - LONGEST, a) for a, b in zip(digits, digits[4:]) if b - a < LONGEST and not APART.search(text, a, b + 1)]
+    near += [(m.start() - LONGEST, m.start()) for p in (AT, SPELT) for m in p.finditer(text, x, y)]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(near):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def candidates(text: str, tokens: list[tuple[int, int]], near: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int]]:
+    """Token ranges [i, j) that could be an entity: 7 to 64 characters on one line, ends that are no stray signs, digits or a spelt or signed address. ``near``: stretches in which all of them start."""
+    begins = [a for a, _ in tokens]
+    which = range(len(tokens)) if near is None else sorted({i for a, b in near for i in range(bisect_left(begins, a), bisect_right(begins, b))})
+    for i in which:
+        a = begins[i]
         if not (text[a].isalnum() or text[a] in "+(["):
             continue
         for j in range(i + 1, min(i + MAX_TOKENS, len(tokens)) + 1):
             b = tokens[j - 1][1]
-            if b - a > 64 or "\n" in text[tokens[j - 1][0] - 1 : tokens[j - 1][0]]:
+            if b - a > LONGEST or "\n" in text[tokens[j - 1][0] - 1 : tokens[j - 1][0]]:
                 break
             if b - a < 7 or not text[b - 1].isalnum():
                 continue
@@ -132,10 +157,10 @@ class Field:
     def __init__(self) -> None:
         self.w: dict[str, float] = defaultdict(float)
 
-    def segments(self, text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int, int, list[str], float]]:
+    def segments(self, text: str, tokens: list[tuple[int, int]], near: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int, list[str], float]]:
         """(i, j, kind, features, score) of all candidate entities."""
         out = []
-        for i, j in candidates(text, tokens):
+        for i, j in candidates(text, tokens, near):
             before = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ""
             if i > 1 and not before.isalnum():
                 before = next((text[a:b] for a, b in reversed(tokens[max(0, i - 4) : i]) if text[a].isalpha()), "")
@@ -237,40 +262,18 @@ def trained() -> dict[str, float]:
     return dict(field.w)
 
 
-def windows(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Merged stretches around triggers; ends don't cut words or numbers."""
-    a = b = -1
-    for m in TRIGGER.finditer(text):
-        x, y = max(0, m.start() - PAD), min(len(text), m.end() + PAD)
-        if x > b:
-            if b >= 0:
-                yield a, b
-            while x and not text[x - 1].isspace() and m.start() - x < 4 * PAD:
-                x -= 1
-            a = x
-        b = max(b, y)
-        while b < len(text) and not text[b].isspace() and b - m.end() < 4 * PAD:
-            b += 1
-    if b >= 0:
-        yield a, b
-
-
 def find(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, each as (start, kind, end) by start, then kind."""
     base = base_spans(text)
     more = []
-    for a, b in windows(text, base):
-        taken = [(s, e) for s, _, e in base if s < b and e > a]
-        # base spans are fixed: tokens beside them are decoded between them
-        cuts = [a, *[x for s, e in sorted(taken) for x in (s, e)], b]
-        for x, y in zip(cuts[::2], cuts[1::2]):
-            if y - x < 7 or not TRIGGER.search(text, x, y):
-                continue
-            tokens = [m.span() for m in TOKEN.finditer(text, x, y)]
-            for i, j, k in field.decode(len(tokens), field.segments(text, tokens)):
-                s, e = tokens[i][0], tokens[j - 1][1]
-                if not any(s < q and e > p for p, q in taken):
-                    more.append((s, k, e))
+    # base spans are fixed: tokens beside them are decoded between them
+    at = 0
+    for s, e in [*sorted((s, e) for s, _, e in base), (len(text), len(text))]:
+        near = starts(text, at, s) if s - at >= 7 else []
+        if near:
+            tokens = [m.span() for m in TOKEN.finditer(text, at, s)]
+            more += [(tokens[i][0], k, tokens[j - 1][1]) for i, j, k in field.decode(len(tokens), field.segments(text, tokens, near))]
+        at = max(at, e)
     return base, sorted(set(base + more))
 
 
