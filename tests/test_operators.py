@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textmill.functions import text as tx
 from textmill.functions.tools import calculate, schema_problems
 from textmill.operators import dedup, dense, layout, lexical, models, split, state
+from textmill.plans.catalog import QUERIES
 from textmill.sources import files
 from textmill.streaming import twins
 
@@ -66,6 +67,15 @@ def test_approximate_search_finds_most(spark, sf):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_recall_of_the_cells_query(spark):
+    at = "/root/testdata/sf0.1"
+    e = spark.read.parquet(f"{at}/embeddings.parquet")
+    exact = {(r.qid, r.vec_id) for r in dense.vector_top_k(e.filter("vec_id % 50 = 0"), e, 10).collect()}
+    near = {(r.qid, r.vec_id) for r in QUERIES["ann_cells_topk"](spark, at).collect()}
+    print("recall", len(exact & near), len(exact))
+    assert len(exact & near) >= 0.9 * len(exact)
+
+
 def test_layout_repair():
     page = [f"left column {i}      right column {i}" for i in range(8)]
     assert layout.two_columns(page) and layout.in_reading_order(page)[:2] == ["left column 0", "left column 1"]

@@ -72,7 +72,7 @@ def dense_topk(t: Tables) -> DataFrame:
 @query()
 def ann_cells_topk(t: Tables) -> DataFrame:
     """Approximate search within shared cells."""
-    return dense.cell_top_k(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, 10)
+    return dense.cell_top_k(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, 10, planes=2, tables=12)
 
 
 @query("select q.vec_id as qid, v.label, round(max(list_cosine_similarity(q.embedding::double[], v.embedding::double[])), 6) as best from embeddings q, embeddings v where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id group by all")
