@@ -268,10 +268,27 @@ def chunk_ancestors(t: Tables) -> DataFrame:
     return leaf.join(mid, leaf.parent_chunk_id == mid.parent).select("chunk_id", "parent", "root", F.length("text").cast("long").alias("n_chars"))
 
 
-@query()
+def _chunks_sql(size: int, overlap: int) -> str:
+    """The rule of ``split.separated`` as SQL over ``documents``."""
+    span = "struct(a bigint, e bigint)[]"
+    pieces = "[text]"
+    for i, sep in enumerate(split.SEPARATORS):
+        p, sep = f"p{i}", "' || chr(10) || '".join(sep.split("\n"))
+        parts = f"[{{'out': []::{span}, 'a': 0::bigint, 'e': 0::bigint, 'at': 0::bigint}}] || list_transform(string_split({p}, '{sep}'), lambda q: {{'out': []::{span}, 'a': 0::bigint, 'e': length(q), 'at': 0::bigint}})"
+        fits = f"s.e > s.a and s.at + n.e - s.a <= {size}"
+        fold = f"list_reduce({parts}, lambda s, n: {{'out': case when s.e = s.a or {fits} then s.out else s.out || [{{'a': s.a, 'e': s.e}}] end, 'a': case when {fits} then s.a else s.at end, 'e': s.at + n.e, 'at': s.at + n.e + {len(split.SEPARATORS[i])}}})"
+        pack = f"list_transform(flatten(list_transform([{fold}], lambda f: f.out || [{{'a': f.a, 'e': f.e}}])), lambda z: substr({p}, z.a + 1, z.e - z.a))"
+        pieces = f"flatten(list_transform({pieces}, lambda {p}: case when length({p}) <= {size} then [{p}] else {pack} end))"
+    cut = f"flatten(list_transform({pieces}, lambda p: list_transform(generate_series(0, greatest(length(p) - 1, 0) // {size}), lambda i: substr(p, {size} * i + 1, {size}))))"
+    return f"""with c as (select doc_id, list_filter({cut}, lambda p: regexp_matches(p, '\\S')) as p from documents),
+e as (select doc_id, i - 1 as idx, case when i > 1 then right(p[i - 1], {overlap}) || p[i] else p[i] end as x from (select doc_id, p, unnest(generate_series(1, len(p))) as i from c))
+select doc_id, idx::int as idx, length(x)::int as n_chars, md5(x) as digest from e"""
+
+
+@query(_chunks_sql(800, 100))
 def recursive_chunks(t: Tables) -> DataFrame:
     """Separator-aware chunks of 800 characters with 100 of overlap."""
-    return split.recursive_chunks(t.documents, 800, 100).select("doc_id", "idx", F.length("text").alias("n_chars"))
+    return split.recursive_chunks(t.documents, 800, 100).select("doc_id", "idx", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query(r"""with g as (select item_id, substr(translate(regexp_replace(text, '\s+', '', 'g'), '，。；：（）！？', ',.;:()!?'), 1, 60) as s from benchmark),
