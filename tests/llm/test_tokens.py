@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import struct
 import zlib
 
@@ -12,19 +13,19 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from textmill.llm.checksums import crc32c
 from textmill.llm.piece_codec import PieceCodec
-from textmill.llm.pieces import piece_ids
-from textmill.llm.token_records import WordIds, frame, from_varints, read_token_records, unframe, varints, write_token_records
+from textmill.llm.pieces import codec, piece_ids
+from textmill.llm.token_records import WordIds, cached_encoder, frames, from_varints, read_token_records, unframed, varints, write_token_records
 from textmill.llm.word_table import WordTable
 
 WORD, PIECE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+LIBRARY = Tokenizer.from_file(WORD)
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(WORD)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORD)
 
 
 def test_records_against_the_library(odd_docs, odd_texts, no_docs, library):
@@ -39,29 +40,78 @@ def test_records_against_the_library(odd_docs, odd_texts, no_docs, library):
     assert read_token_records(write_token_records(no_docs, WORD, 1)).count() == 0
 
 
-@given(st.lists(st.text(max_size=30), max_size=5))
+@given(st.lists(st.lists(st.one_of(st.text(max_size=12), st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>", " ", "it's.", "Abc, "])), max_size=6).map("".join), max_size=5))
 @settings(max_examples=60, deadline=None)
 def test_word_ids_property(texts):
-    encode = test_word_ids_property.__dict__.setdefault("encode", WordIds(WORD))
+    encode = cached_encoder(WORD)
     for t, (payload, n) in zip(texts, encode(texts)):
-        ids = encode.tokenizer.encode(t, add_special_tokens=False).ids
+        ids = LIBRARY.encode(t, add_special_tokens=False).ids
         assert from_varints(payload).tolist() == ids and n == len(ids)
 
 
 @given(st.text(max_size=60))
 @settings(max_examples=80, deadline=None)
 def test_pieces_property(text):
-    c = test_pieces_property.__dict__.setdefault("c", PieceCodec(PIECE))
+    c = codec(PIECE)
     ((ids, digits),) = c.encode([text])
     assert ids.tolist() == c.library.encode(text) and digits.decode() == ",".join(map(str, ids.tolist()))
 
 
 def test_damage_is_found():
-    record = bytearray(frame(varints(np.array([1, 300, 70000]))))
-    assert from_varints(unframe(bytes(record))).tolist() == [1, 300, 70000]
-    record[-6] ^= 1
+    record = bytearray(frames([varints(np.array([1, 300, 70000]))])[0])
+    assert from_varints(unframed([bytes(record)])[0]).tolist() == [1, 300, 70000]
+    for at in range(len(record)):
+        record[at] ^= 1
+        with pytest.raises(ValueError):
+            unframed([bytes(record)])
+        record[at] ^= 1
     with pytest.raises(ValueError):
-        unframe(bytes(record))
+        unframed([bytes(record[:9])])
+
+
+def plain_crc32c(data):
+    c = 0xFFFFFFFF
+    for x in data:
+        c ^= x
+        for _ in range(8):
+            c = c >> 1 ^ (0x82F63B78 if c & 1 else 0)
+    return c ^ 0xFFFFFFFF
+
+
+def test_checksums_of_many_parts():
+    r = random.Random(2)
+    parts = [b"123456789", b"", *(r.randbytes(k) for k in (1, 2, 63, 64, 65, 127, 128, 129, 4000)), *(r.randbytes(r.randint(0, 300)) for _ in range(40))]
+    assert crc32c(parts).tolist() == [plain_crc32c(p) for p in parts] and crc32c(parts)[0] == 0xE3069283
+    assert crc32c([]).tolist() == []
+
+
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() & 1 else a for i in range(n))
+
+
+def test_words_of_one_hash_are_told_apart():
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for n in (256, 1024, 4096):
+        pair = [thue_morse(n, x, y) for x, y in (("a", "b"), ("b", "a"), ("ab", "cd"), ("cd", "ab"))]
+        texts = [pair[0], pair[1], " ".join(pair), pair[3], pair[2] + " " + pair[1]]
+        for t, (payload, _) in zip(texts, WordIds(WORD)(texts)):
+            assert from_varints(payload).tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+        for t, (ids, _) in zip(texts, PieceCodec(PIECE).encode(texts)):
+            assert ids.tolist() == sp.encode(t)
+
+
+def test_very_long_texts_and_units(monkeypatch):
+    r = random.Random(3)
+    unspaced = "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/中文é") for _ in range(60_000))
+    spaced = " ".join("".join(r.choice(("an", "er", "th", "on", "Ti", "é", ", ")) for _ in range(r.randint(1, 4))) for _ in range(800_000))
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    assert len(spaced) > 1 << 22
+    for t in (unspaced, spaced, spaced[:5000] + unspaced[:5000] + "\n" + spaced[:3000]):
+        ((payload, n),) = WordIds(WORD)([t])
+        want = LIBRARY.encode(t, add_special_tokens=False).ids
+        assert n == len(want) and from_varints(payload).tolist() == want
+        ((ids, digits),) = PieceCodec(PIECE).encode([t])
+        assert ids.tolist() == sp.encode(t) and digits == ",".join(map(str, ids.tolist())).encode()
 
 
 def test_a_full_table_starts_anew(monkeypatch):
@@ -69,11 +119,11 @@ def test_a_full_table_starts_anew(monkeypatch):
 
     monkeypatch.setattr(w, "CAP", 3)
     t = WordTable(lambda words: [(np.array([len(x) for x in words]), np.ones(len(words), np.int64))], [np.int64])
-    for text in (b"a bb ccc ", b"dddd a bb ", b"eeeee a "):
+    for text in (b"a bb ccc ", b"dddd a bb ", b"eeeee a ", b"a bb ccc dddd eeeee ffffff a bb ggggggg "):
         blanks = [i for i, c in enumerate(text) if c == 32]
         starts = np.array([0, *[b + 1 for b in blanks[:-1]]])
-        rows = t.rows(text, starts, np.array(blanks))
-        assert t.gather(0, rows)[0].tolist() == [len(x) for x in text.split()]
+        ((got, borders),) = t.lookup(text, starts, np.array(blanks))
+        assert got.tolist() == [len(x) for x in text.split()] and len(borders) == len(got) + 1
 
 
 def test_piece_table_against_the_library(odd_docs, odd_texts, no_docs):

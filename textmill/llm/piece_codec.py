@@ -1,29 +1,37 @@
 """SentencePiece encoding and decoding of merge-type vocabularies.
 
 Symbols start as characters; the adjacent pair whose joined piece has the best
-score is merged first, the leftmost of equals, until no pair is a piece. The
-agenda is a matrix of pair scores, one row per unit, so a whole batch of units
-merges at once: the best pair of every row in each step. What is left and isn't
-a piece falls back to byte pieces.
+score is merged first, the leftmost of equals, until no pair is a piece. What is
+left and isn't a piece falls back to byte pieces. The agenda of a long unit is a
+heap of pairs by score and place over linked symbols. Short units share one
+agenda: a matrix of pair scores with a row per unit, of which every step takes
+the best pair of each row.
 
 A text may be cut between two characters that are adjacent in no piece: before
 a space mark, around a line feed, and before the stops of ``STOPS`` in
 vocabularies that never join them to what precedes. The units between cuts are
-merged alone and kept in a table; every unit that enters it is checked against
-the sentencepiece library, and a difference raises.
+merged alone and kept in a table that compares their bytes; every unit that
+enters it is checked against the sentencepiece library, whose ids count where
+they differ.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import sentencepiece
 
-from textmill.llm.word_table import WordTable, batches_of, ragged
+from textmill.llm.word_table import WordTable, batches_of, pieces_of, ragged
 
 SPACE = "▁"
 STOPS = ",.;:!?"
+#: Characters from which on a unit has an agenda of its own.
+LONG = 128
+#: Where very long texts may be cut: before a space that follows none, and before a line feed.
+BORDER = re.compile(rb"(?<! ) |\n")
 
 
 class PieceCodec:
@@ -55,6 +63,7 @@ class PieceCodec:
         self.joined = np.array([pairs[k] for k in self.key.tolist()], np.int64)
         places = {score: r for r, score in enumerate(sorted({sp.get_score(i) for i in normal}, reverse=True))}
         self.rank = np.array([places[sp.get_score(i)] for i in self.joined.tolist()], np.int32)
+        self.agenda = dict(zip(self.key.tolist(), zip(self.rank.tolist(), self.joined.tolist())))
         self.none = np.int32(1 << 30)
         self.table = WordTable(self._encode_units, [np.int32, np.uint8])
 
@@ -69,11 +78,11 @@ class PieceCodec:
         """Symbols of all units after all merges, one unit after another, and how many each has; units of similar length share a matrix."""
         sizes = np.fromiter(map(len, units), np.int64, len(units))
         order = np.argsort(sizes, kind="stable")
-        flat, counts = [], []
-        at = 0
-        while at < len(order):
+        flat, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        at, short = 0, int(np.count_nonzero(sizes < LONG))
+        while at < short:
             top = max(int(sizes[order[at]]) * 5 // 4, 8)
-            to = min(int(np.searchsorted(sizes[order], top, "right")), at + max(1, 60_000 // top))
+            to = min(int(np.searchsorted(sizes[order], top, "right")), at + max(1, 60_000 // top), short)
             rows = order[at:to]
             codes = np.frombuffer("".join([units[i] for i in rows.tolist()]).encode("utf-32-le"), np.uint32)
             width = int(sizes[rows[-1]])
@@ -83,11 +92,35 @@ class PieceCodec:
             flat.append(done[done >= 0])
             counts.append((done >= 0).sum(axis=1))
             at = to
+        for i in order[short:].tolist():
+            done = self._merge_long(self.symbol[np.frombuffer(units[i].encode("utf-32-le"), np.uint32)].tolist())
+            flat.append(np.array(done, np.int64))
+            counts.append(np.array([len(done)]))
         of = np.empty(len(order), np.int64)
         of[order] = np.arange(len(order))
         counts = np.concatenate(counts)
         return ragged(np.concatenate(flat), np.concatenate(([0], np.cumsum(counts))), of)[0], counts[of]
 
+    def _merge_long(self, symbols: list[int]) -> list[int]:
+        """Merges one unit by a heap of (rank, place of the left symbol, both symbols) over linked places; an entry whose symbols have changed is void."""
+        n, known = len(symbols), self.agenda
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(hit[0], i, a, b) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if (hit := known.get(a << 21 | b))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = known[a << 21 | b][1], -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for left, right in ((before[i], i), (i, k)):
+                if left >= 0 and right < n and (hit := known.get(symbols[left] << 21 | symbols[right])):
+                    heapq.heappush(heap, (hit[0], left, symbols[left], symbols[right]))
+        return [x for x in symbols if x >= 0]
+
     def _merge_rows(self, m: np.ndarray) -> np.ndarray:
         """Merges the best pair of every row until none is left. A row's symbols stay packed to the left, -1 behind them."""
         final = m
@@ -141,7 +174,7 @@ class PieceCodec:
             want = self.library.encode([u[1:] if u[0] == SPACE else "\n" + u for u in units], num_threads=1)
             want = [[self.pieces[SPACE]] if u == SPACE else w if u[0] == SPACE else w[2:] for u, w in zip(units, want)]
             if [i for w in want for i in w] != ids.tolist() or [len(w) for w in want] != counts.tolist():
-                raise ValueError("the agenda and the library encode a unit to different ids")
+                ids, counts = np.array([i for w in want for i in w], np.int32), np.fromiter(map(len, want), np.int64, len(want))
             text = [f"{i}," for i in ids.tolist()]
             ends = np.cumsum(counts)
             borders = np.concatenate(([0], np.cumsum(np.fromiter(map(len, text), np.int64, len(text)))))
@@ -152,6 +185,14 @@ class PieceCodec:
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, bytes]]:
         """Ids of each text, and their decimal text joined by commas."""
         raw = [(b" " + t.replace(SPACE, " ").encode("utf-8")) if t else b"" for t in texts]
+        raw, of = pieces_of(raw, BORDER)
+        got: list[list[tuple[np.ndarray, bytes]]] = [[] for _ in texts]
+        for n, piece in zip(of, self._pieces(raw)):
+            got[n].append(piece)
+        for parts in got:
+            yield parts[0] if len(parts) == 1 else (np.concatenate([ids for ids, _ in parts]), b",".join([digits for _, digits in parts]))
+
+    def _pieces(self, raw: list[bytes]) -> Iterator[tuple[np.ndarray, bytes]]:
         for part in batches_of(raw):
             data = b"".join(part)
             buf = np.frombuffer(data, np.uint8)
@@ -163,9 +204,7 @@ class PieceCodec:
             starts[2:-1] |= self.stop[buf[2:]] & (buf[:-2] == 0xC3)  # two bytes of a letter of Latin-1
             at = np.flatnonzero(starts)
             if len(buf):
-                rows = self.table.rows(data, at[:-1], at[1:])
-                ids, cuts = self.table.gather(0, rows)
-                digits, marks = self.table.gather(1, rows)
+                (ids, cuts), (digits, marks) = self.table.lookup(data, at[:-1], at[1:])
                 digits = digits.tobytes()
             for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
                 if a == b:

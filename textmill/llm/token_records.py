@@ -2,9 +2,9 @@
 
 Record: 8-byte little-endian length, 4-byte masked CRC of those 8 bytes, the
 payload, 4-byte masked CRC of the payload. Payload: token ids as LEB128
-varints. The masks follow the usual rule for framed records (rotate right by
-15, add 0xa282ead8) over CRC-32 as zlib computes it. Index: one entry of
-``ENTRY`` per record, in the order of the records.
+varints. The checksums are CRC-32C, masked by the usual rule for framed records
+(rotate right by 15, add 0xa282ead8), so common readers take the files. Index:
+one entry of ``ENTRY`` per record, in the order of the records.
 
 Documents are dealt by ranges of doc_id, so shard n holds smaller ids than
 shard n+1, and each shard is written by one task under a name of its own per
@@ -27,18 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.llm.checksums import crc32c
 from textmill.llm.shared import by_arrow, fresh_dir, rows_out, store, written
-from textmill.llm.word_table import WordTable, batches_of
+from textmill.llm.word_table import WordTable, batches_of, pieces_of
 
 MASK_DELTA = 0xA282EAD8
+#: Bytes of text in a shard, about, where the session's shuffle partitions would make larger ones.
+SHARD_BYTES = 256 << 20
 HEAD = struct.Struct("<QI")
 ENTRY = struct.Struct("<?qQQQ")  # id is present, id, offset, bytes of the record, tokens
 
 
-def masked_crc(data: bytes) -> int:
-    """Masked CRC-32."""
-    crc = zlib.crc32(data)
-    return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
+def masked_crcs(parts: list[bytes]) -> list[int]:
+    """Masked CRC-32C of each part."""
+    crc = crc32c(parts).astype(np.uint64)
+    return ((((crc >> np.uint64(15)) | (crc << np.uint64(17))) + np.uint64(MASK_DELTA)) & np.uint64(0xFFFFFFFF)).tolist()
 
 
 def varints(ids: np.ndarray) -> bytes:
@@ -64,19 +67,23 @@ def from_varints(data: bytes) -> np.ndarray:
     return out
 
 
-def frame(payload: bytes) -> bytes:
-    """One record."""
-    n = struct.pack("<Q", len(payload))
-    return HEAD.pack(len(payload), masked_crc(n)) + payload + struct.pack("<I", masked_crc(payload))
+def frames(payloads: list[bytes]) -> list[bytes]:
+    """Records of the payloads."""
+    lengths = [struct.pack("<Q", len(p)) for p in payloads]
+    crcs = masked_crcs(lengths + payloads)
+    return [n + struct.pack("<I", x) + p + struct.pack("<I", y) for n, p, x, y in zip(lengths, payloads, crcs, crcs[len(payloads) :])]
 
 
-def unframe(record: bytes) -> bytes:
-    """Its payload; ValueError if a length or checksum is wrong."""
-    n, crc = HEAD.unpack_from(record)
-    payload = record[HEAD.size : HEAD.size + n]
-    if crc != masked_crc(record[:8]) or len(record) != HEAD.size + n + 4 or struct.unpack_from("<I", record, HEAD.size + n)[0] != masked_crc(payload):
-        raise ValueError("damaged record")
-    return payload
+def unframed(records: list[bytes]) -> list[bytes]:
+    """The payloads of records; ValueError if a length or checksum is wrong."""
+    if any(len(r) < HEAD.size + 4 for r in records):
+        raise ValueError("a record is cut off")
+    payloads = [r[HEAD.size : -4] for r in records]
+    crcs = masked_crcs([r[:8] for r in records] + payloads)
+    for r, p, x, y in zip(records, payloads, crcs, crcs[len(payloads) :]):
+        if HEAD.unpack_from(r) != (len(p), x) or struct.unpack_from("<I", r, len(r) - 4) != (y,):
+            raise ValueError("damaged record")
+    return payloads
 
 
 def entry(doc: int | None, offset: int, size: int, tokens: int) -> bytes:
@@ -95,13 +102,16 @@ class WordIds:
     Chunks end at ASCII white space, over which the tokenizer's own rules never
     join, and before a comma or full stop between an ASCII letter and white
     space, where they always cut. A-Z are lower-cased first, as the tokenizer
-    does, unless the text has combining marks, which it composes before that.
+    does, unless the text has combining marks, which it composes before that, or
+    could hold a special token, which it looks for before that. Special tokens
+    hold no white space, so each stands in one chunk.
     """
 
     BLANK = np.isin(np.arange(256), np.frombuffer(b"\t\n\x0b\x0c\r ", np.uint8))
     LETTER = np.isin(np.arange(256), np.frombuffer(bytes(range(97, 123)), np.uint8))
     STOP = np.isin(np.arange(256), np.frombuffer(b",.", np.uint8))
     MARK = re.compile("[\u0300-\u036f]")
+    BORDER = re.compile(rb"[\t-\r ]")
     PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+").fullmatch
 
     def __init__(self, path: str) -> None:
@@ -109,7 +119,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(self.BORDER.search(t.encode("utf-8")) for t in special):
+            raise ValueError("the vocabulary has special tokens over white space")
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE)
         self.table = WordTable(self._encode, [np.uint8, np.int64])
 
     def _encode(self, chunks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -132,7 +145,15 @@ class WordIds:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, int]]:
         """Payload and number of ids of each text."""
-        raw = [t.encode("utf-8") if self.MARK.search(t) else t.encode("utf-8").lower() for t in texts]
+        raw = [t.encode("utf-8") if self.MARK.search(t) or self.special.search(t) else t.encode("utf-8").lower() for t in texts]
+        raw, of = pieces_of(raw, self.BORDER)
+        got: list[tuple[list[bytes], int]] = [([], 0) for _ in texts]
+        for n, (payload, count) in zip(of, self._pieces(raw)):
+            got[n] = (got[n][0] + [payload], got[n][1] + count)
+        for parts, count in got:
+            yield b"".join(parts), count
+
+    def _pieces(self, raw: list[bytes]) -> Iterator[tuple[bytes, int]]:
         for part in batches_of(raw):
             data = b"\n".join(part) + b"\n"
             buf = np.frombuffer(data, np.uint8)
@@ -145,9 +166,8 @@ class WordIds:
             stop[:-1] &= blank | start
             stop[-1] = not blank[-1]
             starts, ends = np.flatnonzero(start), np.flatnonzero(stop)
-            rows = self.table.rows(data, starts, ends)
-            payload, cuts = self.table.gather(0, rows)
-            total = np.concatenate(([0], np.cumsum(self.table.gather(1, rows)[0])))
+            (payload, cuts), (counts, _) = self.table.lookup(data, starts, ends)
+            total = np.concatenate(([0], np.cumsum(counts)))
             payload = payload.tobytes()
             at = 0
             for t in part:
@@ -178,8 +198,8 @@ def write_token_records(docs: DataFrame, tokenizer: str, end_id: int, id_col: st
                     fs.create_dir(path.rpartition("/")[0], recursive=True)
                     files.append(fs.open_output_stream(path, compression=None))
             ids = b.column(0).to_pylist()
-            for doc, (payload, count) in zip(ids, encode([t or "" for t in b.column(1).to_pylist()])):
-                record = frame(payload + end)
+            got = list(encode([t or "" for t in b.column(1).to_pylist()]))
+            for doc, record, (_, count) in zip(ids, frames([payload + end for payload, _ in got]), got):
                 files[0].write(record)
                 files[1].write(entry(doc, at, len(record), count + 1))
                 at, n, tokens = at + len(record), n + 1, tokens + count + 1
@@ -189,7 +209,9 @@ def write_token_records(docs: DataFrame, tokenizer: str, end_id: int, id_col: st
             yield rows_out({"shard": (pa.int32(), [task.partitionId()]), "path": (pa.string(), [f"{name}.rec"]), "index": (pa.string(), [f"{name}.idx"]), "records": (pa.int64(), [n]), "tokens": (pa.int64(), [tokens])})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return written(by_arrow(rows.repartitionByRange("id").sortWithinPartitions("id", "text"), f, "shard int, path string, index string, records long, tokens long", rows=64), "token-manifest")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+    return written(by_arrow(rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text"), f, "shard int, path string, index string, records long, tokens long", rows=64), "token-manifest")
 
 
 _encoders: dict[str, WordIds] = {}
@@ -218,7 +240,7 @@ def read_token_records(manifest: DataFrame) -> DataFrame:
                         some = entries[i : i + 256]
                         first = some[0][2]
                         block = file.read_at(some[-1][2] + some[-1][3] - first, first)
-                        got = from_varints(b"".join([unframe(block[x[2] - first : x[2] - first + x[3]]) for x in some])).astype("<u4").tobytes()
+                        got = from_varints(b"".join(unframed([block[x[2] - first : x[2] - first + x[3]] for x in some]))).astype("<u4").tobytes()
                         borders = np.concatenate(([0], np.cumsum([x[4] for x in some])))
                         if len(got) != 4 * borders[-1]:
                             raise ValueError("the index names another number of tokens")

@@ -149,7 +149,7 @@ class Scorer:
             data = b"\n".join(part) + b"\n"
             is_letter = np.concatenate(([False], LETTER[np.frombuffer(data, np.uint8)], [False]))
             starts, ends = np.flatnonzero(is_letter[1:] & ~is_letter[:-1]), np.flatnonzero(~is_letter[1:] & is_letter[:-1])
-            weights, borders = self.table.gather(0, self.table.rows(data, starts, ends))
+            ((weights, borders),) = self.table.lookup(data, starts, ends)
             hits = np.flatnonzero(np.diff(borders))
             first = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in part]))))
             cuts = np.searchsorted(hits, first)

@@ -2,11 +2,14 @@
 
 Words are byte ranges of a buffer. They get a 64-bit polynomial hash from prefix
 sums (two numpy passes over the bytes), and an open-addressing table maps hashes
-to rows of ragged output. Only words not seen before reach the encoder.
+to rows of ragged output. A hash only proposes a row: the bytes of the row's
+word are compared with the word's own, and words that share a hash with another
+one get rows of their own. Only words not seen before reach the encoder.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -54,8 +57,9 @@ class WordTable:
         """Forgets all words."""
         self.key, self.row = np.zeros(1 << BITS, np.uint64), np.zeros(1 << BITS, np.int32)
         self.n = 0
-        self.at = [np.zeros(1, np.int64) for _ in self.kinds]
-        self.flat = [np.zeros(0, k) for k in self.kinds]
+        # output 0 is the word itself
+        self.at = [np.zeros(1, np.int64) for _ in range(len(self.kinds) + 1)]
+        self.flat = [np.zeros(0, k) for k in (np.uint8, *self.kinds)]
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - BITS)).astype(np.int64)
@@ -72,6 +76,7 @@ class WordTable:
         return out
 
     def _add(self, h: np.ndarray) -> None:
+        """Keys of the next rows."""
         slot, rows = self._slot(h), np.arange(self.n, self.n + len(h), dtype=np.int32)
         while len(h):
             free = self.key[slot] == 0
@@ -80,9 +85,29 @@ class WordTable:
             self.row[slot[mine]] = rows[mine]
             h, rows, slot = h[~mine], rows[~mine], (slot[~mine] + 1) & ((1 << BITS) - 1)
 
-    def rows(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Row of every word of the buffer, in order; encodes the new ones. Rows hold until the next call."""
-        h = self.hash(np.frombuffer(data, np.uint8), starts, ends)
+    def _append(self, words: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        for i, (flat, n) in enumerate([(np.frombuffer(b"".join(words), np.uint8), sizes), *self.encode(words)]):
+            self.at[i] = np.concatenate((self.at[i], self.at[i][-1] + np.cumsum(n)))
+            self.flat[i] = np.concatenate((self.flat[i], flat.astype(self.flat[i].dtype, copy=False)))
+        self.n += len(words)
+
+    def _differ(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Places of the words whose bytes aren't those of their rows."""
+        first, sizes = self.at[0][rows], ends - starts
+        wrong = self.at[0][rows + 1] - first != sizes
+        same = np.flatnonzero(~wrong & (sizes > 0))
+        for at in range(0, len(same), 1 << 16):
+            some = same[at : at + (1 << 16)]
+            n = sizes[some]
+            borders = np.concatenate(([0], np.cumsum(n)[:-1]))
+            step = np.arange(int(n.sum()))
+            unlike = self.flat[0][np.repeat(first[some] - borders, n) + step] != buf[np.repeat(starts[some] - borders, n) + step]
+            wrong[some] = np.logical_or.reduceat(unlike, borders)
+        return np.flatnonzero(wrong)
+
+    def _rows(self, data: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Row of every word, in order; encodes the new ones. Rows hold until the next call."""
         out = self._find(h)
         new = np.flatnonzero(out < 0)
         if len(new):
@@ -91,22 +116,42 @@ class WordTable:
                 self.clear()
                 fresh, first = np.unique(h, return_index=True)
                 new = np.arange(len(h))
-                if len(fresh) > 3 << (BITS - 2):
-                    raise ValueError("one batch holds too many different words for the table")
             where = new[first]
-            a, b = starts[where].tolist(), ends[where].tolist()
-            got = self.encode([data[x:y] for x, y in zip(a, b)])
+            words = [data[x:y] for x, y in zip(starts[where].tolist(), ends[where].tolist())]
             self._add(fresh)
-            for i, (flat, sizes) in enumerate(got):
-                self.at[i] = np.concatenate((self.at[i], self.at[i][-1] + np.cumsum(sizes)))
-                self.flat[i] = np.concatenate((self.flat[i], flat.astype(self.flat[i].dtype, copy=False)))
-            self.n += len(fresh)
+            self._append(words)
             out[new] = self._find(h[new])
+        other = self._differ(buf, starts, ends, out)
+        if len(other):
+            # another word has the hash: these get rows without a key, found again only within this call
+            words = [data[x:y] for x, y in zip(starts[other].tolist(), ends[other].tolist())]
+            place = {w: self.n + i for i, w in enumerate(dict.fromkeys(words))}
+            self._append(list(place))
+            out[other] = [place[w] for w in words]
         return out
 
-    def gather(self, i: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Output i of the rows, one after another, and the borders between rows."""
-        return ragged(self.flat[i], self.at[i], rows)
+    def lookup(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each output its values of all words of the buffer, one after another, and the borders between words.
+
+        Words are looked up in blocks that the table has room for, so a text may
+        hold any number of different ones.
+        """
+        buf = np.frombuffer(data, np.uint8)
+        h = self.hash(buf, starts, ends)
+        parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.kinds]
+        for at in range(0, len(h), CAP):
+            some = slice(at, at + CAP)
+            rows = self._rows(data, buf, starts[some], ends[some], h[some])
+            for i, part in enumerate(parts):
+                part.append(ragged(self.flat[i + 1], self.at[i + 1], rows))
+        out = []
+        for part, kind in zip(parts, self.kinds):
+            if len(part) == 1:
+                out.append(part[0])
+                continue
+            sizes = np.concatenate([np.diff(b) for _, b in part] or [np.zeros(0, np.int64)])
+            out.append((np.concatenate([v for v, _ in part] or [np.zeros(0, kind)]), np.concatenate(([0], np.cumsum(sizes)))))
+        return out
 
 
 def ragged(flat: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,3 +173,17 @@ def batches_of(texts: list[bytes], size: int = 1 << 20) -> list[list[bytes]]:
         out[-1].append(t)
         full += len(t)
     return out
+
+
+def pieces_of(texts: list[bytes], border: re.Pattern[bytes], size: int = 1 << 22) -> tuple[list[bytes], list[int]]:
+    """Texts cut where ``border`` matches behind each ``size`` bytes, and whose piece each is: very long texts are encoded piece by piece."""
+    out, of = [], []
+    for n, t in enumerate(texts):
+        at = 0
+        while len(t) - at > size and (m := border.search(t, at + size)):
+            out.append(t[at : m.start()])
+            of.append(n)
+            at = m.start()
+        out.append(t[at:] if at else t)
+        of.append(n)
+    return out, of
