@@ -17,6 +17,9 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15
 CAP = 900_000
 BITS = 22
+ZEROS = [bytes(-n & 7) for n in range(8)]
+#: Bits of the last eight bytes that belong to a word of so many bytes over a multiple of eight.
+MASK = np.array([(1 << 64) - 1, *((1 << 8 * n) - 1 for n in range(1, 8))], np.uint64)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -57,9 +60,10 @@ class WordTable:
         """Forgets all words."""
         self.key, self.row = np.zeros(1 << BITS, np.uint64), np.zeros(1 << BITS, np.int32)
         self.n = 0
-        # output 0 is the word itself
+        # output 0 is the word itself in units of eight bytes, filled with zeros
         self.at = [np.zeros(1, np.int64) for _ in range(len(self.kinds) + 1)]
-        self.flat = [np.zeros(0, k) for k in (np.uint8, *self.kinds)]
+        self.flat = [np.zeros(0, k) for k in (np.uint64, *self.kinds)]
+        self.size = np.zeros(0, np.int64)
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - BITS)).astype(np.int64)
@@ -87,26 +91,30 @@ class WordTable:
 
     def _append(self, words: list[bytes]) -> None:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for i, (flat, n) in enumerate([(np.frombuffer(b"".join(words), np.uint8), sizes), *self.encode(words)]):
+        lanes = np.frombuffer(b"".join([w + ZEROS[len(w) & 7] for w in words]), np.uint64)
+        for i, (flat, n) in enumerate([(lanes, sizes + 7 >> 3), *self.encode(words)]):
             self.at[i] = np.concatenate((self.at[i], self.at[i][-1] + np.cumsum(n)))
             self.flat[i] = np.concatenate((self.flat[i], flat.astype(self.flat[i].dtype, copy=False)))
+        self.size = np.concatenate((self.size, sizes))
         self.n += len(words)
 
-    def _differ(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Places of the words whose bytes aren't those of their rows."""
-        first, sizes = self.at[0][rows], ends - starts
-        wrong = self.at[0][rows + 1] - first != sizes
+    def _differ(self, lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Places of the words whose bytes aren't those of their rows; ``lanes`` has the eight bytes from each byte of the buffer on."""
+        sizes = ends - starts
+        wrong = self.size[rows] != sizes
         same = np.flatnonzero(~wrong & (sizes > 0))
-        for at in range(0, len(same), 1 << 16):
-            some = same[at : at + (1 << 16)]
-            n = sizes[some]
+        if len(same):
+            n = sizes[same] + 7 >> 3
             borders = np.concatenate(([0], np.cumsum(n)[:-1]))
-            step = np.arange(int(n.sum()))
-            unlike = self.flat[0][np.repeat(first[some] - borders, n) + step] != buf[np.repeat(starts[some] - borders, n) + step]
-            wrong[some] = np.logical_or.reduceat(unlike, borders)
+            step = np.arange(int(n.sum())) - np.repeat(borders, n)
+            own = lanes[np.repeat(starts[same], n) + 8 * step]
+            own[borders + n - 1] &= MASK[sizes[same] & 7]
+            unlike = self.flat[0][np.repeat(self.at[0][rows[same]], n) + step] != own
+            if unlike.any():
+                wrong[same] = np.logical_or.reduceat(unlike, borders)
         return np.flatnonzero(wrong)
 
-    def _rows(self, data: bytes, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def _rows(self, data: bytes, lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Row of every word, in order; encodes the new ones. Rows hold until the next call."""
         out = self._find(h)
         new = np.flatnonzero(out < 0)
@@ -121,7 +129,7 @@ class WordTable:
             self._add(fresh)
             self._append(words)
             out[new] = self._find(h[new])
-        other = self._differ(buf, starts, ends, out)
+        other = self._differ(lanes, starts, ends, out)
         if len(other):
             # another word has the hash: these get rows without a key, found again only within this call
             words = [data[x:y] for x, y in zip(starts[other].tolist(), ends[other].tolist())]
@@ -136,12 +144,12 @@ class WordTable:
         Words are looked up in blocks that the table has room for, so a text may
         hold any number of different ones.
         """
-        buf = np.frombuffer(data, np.uint8)
-        h = self.hash(buf, starts, ends)
+        h = self.hash(np.frombuffer(data, np.uint8), starts, ends)
+        lanes = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
         parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.kinds]
         for at in range(0, len(h), CAP):
             some = slice(at, at + CAP)
-            rows = self._rows(data, buf, starts[some], ends[some], h[some])
+            rows = self._rows(data, lanes, starts[some], ends[some], h[some])
             for i, part in enumerate(parts):
                 part.append(ragged(self.flat[i + 1], self.at[i + 1], rows))
         out = []
