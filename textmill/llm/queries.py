@@ -69,9 +69,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without later repeated runs of lines: what went, and a digest of what stays."""
+    """Documents without later repeated runs: what went, and a digest of what stays."""
     got = drop_repeated_lines(table(spark, sf_dir, "documents"), counts=True)
-    return got.select("doc_id", "removed_lines", "removed_words", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return got.select("doc_id", "removed_runs", "removed_words", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
