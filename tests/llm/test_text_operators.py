@@ -5,99 +5,92 @@ import random
 import re
 
 import pytest
-import xxhash
 
 from tests.llm.conftest import SCHEMA, rows, words
 from textmill.llm.decontaminate import contained_items, drop_contaminated, shingle_set
 from textmill.llm.licenses import license_table, scan
-from textmill.llm.line_dedup import drop_repeated_lines
+from textmill.llm.line_dedup import drop_repeated_lines, repeated_runs
 from textmill.llm.pii import KINDS, TOKEN, Field, base_spans, find, luhn, pii_table, trained
 from textmill.llm.toxicity import Automaton, Lexicon, Scorer, drop_toxic, learn_toxicity, score_toxicity
 
 
-def plain_cut(text):
-    """Cuts by hand: behind line feeds, and behind the blank after a sentence end with 24 characters without one before it."""
-    out, at = [], 0
-    for i, c in enumerate(text):
-        stop = i >= 25 and c in " \t" and text[i - 1] in ".!?" and not set(text[i - 25 : i - 1]) & set(".!?\n")
-        if c == "\n" or stop:
-            out.append(text[at : i + 1])
-            at = i + 1
-    return out + [text[at:]]
-
-
-def plain_line_dedup(texts, least=25):
-    """The definition, document by document."""
-    h = lambda s: (x := xxhash.xxh64_intdigest(s.encode(), 42)) - (1 << 64 if x >> 63 else 0)
-    docs = sorted({(-(1 << 63) if i is None else i, h(t or ""), t or "") for i, t in texts})
-    lines = {d[:2]: [(k, s) for k, x in enumerate(plain_cut(d[2])) if (s := x.strip(" \t\r\n"))] for d in docs}
-    seen, gone = {}, {d: set() for d in lines}
-    marks = {}
-    for d, ls in lines.items():
-        at = set()
-        for s in range(len(ls)):
-            n, m = 0, s
-            for j in range(s, min(s + 12, len(ls))):
-                if n >= least:
-                    break
-                m = j if h(ls[j][1]) < h(ls[m][1]) else m
-                n += ls[j][1].count(" ") + 1
-            at.add(s if ls[s][1].count(" ") + 1 >= least else m)
-        marks[d] = at
-        for i in sorted(at):
-            seen.setdefault(ls[i][1], (d, i))
-    for d, ls in lines.items():
-        for i in marks[d]:
-            f, q = seen[ls[i][1]]
-            if (f, q) == (d, i):
-                continue
-            a = b = i
-            shift = i - q
-            same = lambda k: 0 <= k < len(ls) and 0 <= k - shift < len(lines[f]) and ls[k][1] == lines[f][k - shift][1]
-            while same(a - 1):
-                a -= 1
-            while same(b + 1):
-                b += 1
-            if sum(ls[k][1].count(" ") + 1 for k in range(a, b + 1)) >= least:
-                gone[d] |= {ls[k][0] for k in range(a, b + 1)}
-    return {(d[0], d[2]): "".join(x for k, x in enumerate(plain_cut(d[2])) if k not in gone[d[:2]]) for d in docs}
+def line_words(text):
+    """Words of each whole line, the last word of a line with its line feed."""
+    out = []
+    for line in re.split("\n", text or ""):
+        ws = re.findall(r"[^ \t\n\x0b\f\r]+", line)
+        if ws:
+            out.append(ws[:-1] + [ws[-1] + "\n"])
+    return out
+
+
+def must_go(texts, least=25):
+    """By definition: places of the words in runs of whole lines of ``least`` words that occur before. Ids are unique."""
+    seen, out = set(), {}
+    for i, t in sorted(texts):
+        lines, gone, first = line_words(t), set(), [0]
+        for x in lines:
+            first.append(first[-1] + len(x))
+        found = []
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                if first[b] - first[a] >= least:
+                    run = tuple(map(tuple, lines[a:b]))
+                    if run in seen:
+                        gone |= set(range(first[a], first[b]))
+                    found.append(run)
+        seen |= set(found)
+        out[i] = gone
+    return out
+
+
+def may_go(texts, least=25):
+    """By definition: places of the words in any run of ``least`` words that occurs before."""
+    seen, out = {}, {}
+    for i, t in sorted(texts):
+        ws = [w for x in line_words(t) for w in x]
+        gone = set()
+        for s in range(len(ws) - least + 1):
+            if seen.setdefault(tuple(ws[s : s + least]), (i, s)) != (i, s):
+                gone |= set(range(s, s + least))
+        out[i] = gone
+    return out
+
+
+def check_line_dedup(spark, texts):
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    runs = {r.d: {w for x in r.runs for w in range(x.a - 1, x.e)} for r in repeated_runs(docs).collect()}
+    got = {r.doc_id: r for r in drop_repeated_lines(docs, counts=True).collect()}
+    low, high = must_go(texts), may_go(texts)
+    assert len(got) == len(texts)
+    for i, t in texts:
+        gone = runs.get(i, set())
+        assert low[i] <= gone <= high[i], i
+        tokens = re.findall(r"\S+\s*", (t or "").lstrip())
+        lead = (t or "")[: len(t or "") - len((t or "").lstrip())] if gone else ""
+        if t is not None:
+            assert got[i].text == (lead + "".join(x for k, x in enumerate(tokens) if k not in gone) if gone else t)
+        assert got[i].removed_words == len(gone)
+    return got
 
 
 @pytest.fixture(scope="module")
-def repeated(spark):
+def repeated():
     r = random.Random(9)
     passage = [words(r, 20) for _ in range(4)]
     single = words(r, 70)
     texts = [(i, "\n".join([words(r, r.randint(1, 30)) for _ in range(3)] + (passage[i % 2 :] if i % 3 else [single]) + [""] + [words(r, 8)] * (1 + i % 3))) for i in range(30)]
     pasted = ". ".join(words(r, 8) for _ in range(8)) + ". "
-    texts += [(40 + i, words(r, 30) + " " + pasted + words(r, 30) + ". ok. " + words(r, 3)) for i in range(4)]
-    return texts + [(100, "\n".join([single, "x", single])), (101, None), (102, ""), (103, "\n".join(passage[:2])), (5, texts[5][1])]
-
+    texts += [(40 + i, "  " + words(r, 30) + " " + pasted + words(r, 30) + ". ok. \t" + words(r, 3)) for i in range(4)]
+    texts += [(100, "\n".join([single, "x", single])), (101, None), (102, ""), (103, "\n".join(passage[:2])), (104, "a  b\t" * 60), (105, "\n" * 40)]
+    texts += [(106, "wide   gaps " + " " * 30 + "here"), (107, "wide   gaps " + " " * 30 + "here")]
+    return texts
 
-def test_line_dedup_is_the_plain_one(spark, repeated, no_docs):
-    got = drop_repeated_lines(spark.createDataFrame(rows(repeated), SCHEMA), counts=True).collect()
-    want = plain_line_dedup(repeated)
-    source = {i: t for i, t in repeated}
-    assert len(got) == len(repeated)
-    assert all((r.text or "") == want[r.doc_id, source[r.doc_id] or ""] for r in got)
-    assert any(r.removed_lines for r in got) and next(r for r in got if r.doc_id == 101).text is None
-    assert drop_repeated_lines(no_docs).count() == 0
 
-
-def all_earlier_runs(texts, least=25):
-    """Texts without the runs of lines of ``least`` words that occur before, wherever that is; ids are unique, every line has words."""
-    seen, out = set(), {}
-    for i, t in sorted(texts):
-        ls = t.split("\n")
-        gone, n = set(), [len(x.split()) for x in ls]
-        for a in range(len(ls)):
-            for b in range(a, len(ls)):
-                run = tuple(ls[a : b + 1])
-                if sum(n[a : b + 1]) >= least:
-                    gone |= set(range(a, b + 1)) if run in seen else set()
-                    seen.add(run)
-        out[i] = "".join(x for k, x in enumerate(t.splitlines(True)) if k not in gone)
-    return out
+def test_line_dedup_by_definition(spark, repeated, no_docs):
+    got = check_line_dedup(spark, repeated)
+    assert got[101].text is None and got[107].removed_words == 0 and got[100].removed_words >= 70
+    assert drop_repeated_lines(no_docs).count() == 0 and drop_repeated_lines(no_docs, counts=True).count() == 0
 
 
 def test_runs_of_frequent_lines_are_found(spark):
@@ -108,9 +101,35 @@ def test_runs_of_frequent_lines_are_found(spark):
     texts += [(i, "\n".join([words(r, 9), *run, words(r, 9)])) for i in (50, 51)]
     texts += [(60 + i, "\n".join(words(r, 2) if r.random() < 0.5 else c for c in r.sample(common, 20))) for i in range(10)]
     texts += [(80 + i, "\n".join([words(r, 1 + i)] + [f"{k} a" for k in range(i, 20 + i)])) for i in range(3)]
-    got = {x.doc_id: x.text for x in drop_repeated_lines(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
-    assert got == all_earlier_runs(texts)
-    assert not any(x in got[51] for x in run) and all(x in got[50] for x in run)
+    four = [words(r, 10) for _ in range(4)]  # each line also stands alone before
+    texts += [(100 + i, "\n".join([words(r, 9), x, words(r, 9)])) for i, x in enumerate(four)]
+    texts += [(110 + i, "\n".join([words(r, 5), *four, words(r, 5)])) for i in range(20)]
+    got = check_line_dedup(spark, texts)
+    assert not any(x in got[51].text for x in run) and all(x in got[50].text for x in run)
+    assert all(x in got[110].text for x in four) and not any(x in got[110 + i].text for x in four for i in range(1, 20))
+
+
+def test_passages_pasted_into_lines(spark, monkeypatch):
+    import textmill.llm.line_dedup as module
+
+    r = random.Random(5)
+    passages = [words(r, 60), words(r, 55) + ".", ". ".join(words(r, 13) for _ in range(4)) + ".", words(r, 35) + ". " + words(r, 20)]
+    texts = [(100 * k + i, words(r, 30) + " " + p + " " + words(r, 30)) for k, p in enumerate(passages) for i in range(12)]
+    got = check_line_dedup(spark, texts)
+    assert all(got[i].removed_words >= 25 for i, _ in texts if i % 100)
+    # frequent fingerprints take the other way with the same result
+    monkeypatch.setattr(module, "HOT", 3)
+    assert {i: x.text for i, x in check_line_dedup(spark, texts).items()} == {i: x.text for i, x in got.items()}
+
+
+def test_line_dedup_with_names_of_its_own(spark):
+    line = " ".join(f"w{i}" for i in range(40))
+    names = ["d", "x", "s", "h", "t", "runs", "row", "text", "f", "removed_words", "__gone"]
+    docs = spark.createDataFrame([(i, *[line] * len(names)) for i in range(3)], "doc_id long, " + ", ".join(f"{n} string" for n in names))
+    got = drop_repeated_lines(docs).collect()
+    assert got[0].asDict().keys() == set(docs.columns) and sorted(r.text for r in got) == ["", "", line] and {r.x for r in got} == {line}
+    counted = drop_repeated_lines(docs, counts=True)
+    assert counted.columns.count("removed_words") == 1 and {r.removed_words for r in counted.collect()} == {0, 40}
 
 
 def test_line_dedup_of_odd_rows(odd_docs, odd_texts):
