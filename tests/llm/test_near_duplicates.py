@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from textmill.llm.components import connected_components
+from textmill.llm.shared import bounded_sample
 from textmill.llm.shingle_hash import fingerprint, shingles, words
 from textmill.llm.simhash import bucket_links, drop_near_duplicates, near_duplicate_groups, simhash_components
 import textmill.llm.simhash as simhash_module
@@ -120,3 +121,27 @@ def test_similar_pairs_off_the_forest_are_found(spark, monkeypatch):
     for part in (1024, 2):
         monkeypatch.setattr(simhash_module, "PART", part)
         assert {x.doc_id: x.group_id for x in near_duplicate_groups(docs).collect()} == want
+
+
+def test_near_copies_with_names_of_its_own(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    names = ["doc_id", "row", "mark", "n", "id", "sig", "text_key", "group_id", "a", "b", "key"]
+    docs = spark.createDataFrame([(i, text, *["x"] * (len(names) - 1)) for i in (3, 1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names[1:]))
+    got = drop_near_duplicates(docs)
+    assert got.columns == docs.columns and [r.doc_id for r in got.collect()] == [1]
+
+
+def test_hot_fingerprints_take_the_broadcast(spark, odd_docs, monkeypatch):
+    import textmill.llm.shared as shared
+
+    want = sorted(map(str, simhash_components(odd_docs).collect()))
+    groups = sorted(map(str, near_duplicate_groups(odd_docs).collect()))
+    monkeypatch.setattr(shared, "HOT", 1)
+    assert sorted(map(str, simhash_components(odd_docs).collect())) == want
+    assert sorted(map(str, near_duplicate_groups(odd_docs).collect())) == groups
+
+
+def test_sample_is_the_same_in_every_partitioning(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 as v")
+    got = [sorted(r.id for r in bounded_sample(df.repartition(n), 100, "id").collect()) for n in (1, 3, 8)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 100

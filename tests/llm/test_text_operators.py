@@ -11,7 +11,7 @@ from textmill.llm.decontaminate import contained_items, drop_contaminated, shing
 from textmill.llm.licenses import license_table, scan
 from textmill.llm.line_dedup import drop_repeated_lines, repeated_runs
 from textmill.llm.pii import KINDS, TOKEN, Field, base_spans, find, luhn, pii_table, trained
-from textmill.llm.toxicity import Automaton, Lexicon, Scorer, drop_toxic, learn_toxicity, score_toxicity
+from textmill.llm.toxicity import Automaton, Lexicon, Scorer, allowed, drop_toxic, learn_toxicity, score_toxicity
 
 
 def line_words(text):
@@ -157,26 +157,35 @@ def test_containment_is_exact(spark, odd_docs, no_docs):
     assert contained_items(odd_docs, bench.limit(0)).count() == 0 and contained_items(no_docs, bench).count() == 0
 
 
-def within_one(a, b):
-    if abs(len(a) - len(b)) > 1:
-        return False
-    return a == b or any(a[:i] + a[i + 1 :] in (b, b[:i] + b[i + 1 :]) or a == b[:i] + b[i + 1 :] for i in range(max(len(a), len(b))))
+def edits(a, b):
+    """Optimal string alignment distance: insertions, deletions, substitutions, swaps of neighbours."""
+    d = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton_against_edit_distance():
     r = random.Random(4)
-    terms = ["idiot", "moron", "worthless", "pathetic", "scum"]
-    a = Automaton(Lexicon(terms, [1.0] * 5, [False] * 5))
-    for _ in range(4000):
-        t = r.choice(terms)
-        w = list(t)
-        for _ in range(r.randint(0, 2)):
+    terms = ["idiot", "moron", "worthless", "pathetic", "scum", "despicable"]
+    a = Automaton(Lexicon(terms, [1.0] * 6, [False] * 6))
+    for n in range(6000):
+        w = list(r.choice(terms))
+        for _ in range(r.randint(0, 3)):
             k = r.randrange(len(w) + 1)
-            w[k : k + r.randint(0, 1)] = r.choice(["", "x", "o"])
+            if r.random() < 0.3:
+                w[k : k + 2] = w[k : k + 2][::-1]
+            else:
+                w[k : k + r.randint(0, 1)] = r.choice(["", "x", "o"])
         w = "".join(w)
-        best = min((0 if x == w else 1 for x in terms if x == w or len(x) >= 5 and w[:1] == x[0] and within_one(w, x)), default=None)
+        # a second error needs the first letter
+        near = [e for t in terms if (e := edits(t, w)) <= allowed(t) and (e < 2 or w[:1] == t[0] and edits(t[1:], w[1:]) == 2)]
         got = a.match(w)
-        assert (got and got[1]) == best, w
+        assert (got and got[1]) == min(near, default=None), w
+    assert [bool(a.match(w)) for w in ("diot", "xdiot", "idoit", "wrothless", "worthles", "scam", "table")] == [True] * 5 + [False] * 2
 
 
 def test_quotation_counts_apart():
@@ -190,7 +199,11 @@ def test_toxicity_on_held_out_rows(spark, odd_docs, odd_texts, no_docs):
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
     lexicon = learn_toxicity(docs, labels)
     got = score_toxicity(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), lexicon).join(labels, "doc_id").filter("held_out").collect()
-    assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.95
+    caught = sum(r.predicted and r.toxic for r in got)
+    print("toxic", sum(r.toxic for r in got), "caught", caught, "flagged", sum(r.predicted for r in got), "of", len(got), "terms", len(lexicon.terms))
+    assert caught >= 0.97 * sum(r.toxic for r in got) and caught >= 0.97 * sum(r.predicted for r in got)
+    again = learn_toxicity(docs.repartition(5), labels.repartition(3))
+    assert (again.terms, again.weights) == (lexicon.terms, lexicon.weights)
     assert score_toxicity(odd_docs, lexicon).count() == len(odd_texts)
     assert drop_toxic(odd_docs, lexicon).columns == odd_docs.columns
     assert score_toxicity(no_docs, learn_toxicity(no_docs, labels)).count() == 0

@@ -1,8 +1,8 @@
 """Shared storage, written tables and Arrow helpers of the operators.
 
 Every intermediate that must outlive an executor is a Parquet table or a file
-in the folder that ``spark.checkpoint.dir`` names. Where that is unset (tests,
-a laptop) a folder under ``/tmp`` is set once.
+in the folder that ``spark.checkpoint.dir`` names. Where that is unset, a local
+master gets a folder under ``/tmp`` once; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
             sc.setCheckpointDir(f"/tmp/textmill-{uuid.uuid4().hex}")
         at = sc.getCheckpointDir()
     return at.rstrip("/")
@@ -78,13 +80,29 @@ def rows_out(columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
 
 
 def bounded_sample(df: DataFrame, size: int, *key: str) -> DataFrame:
-    """``size`` rows at most, those of the least hashes of the key columns and the row's place.
+    """``size`` rows at most, those of the least hashes of the key columns, ties by the columns themselves: the same rows in every run and partitioning.
 
     Rows over a threshold that leaves about twice as many are dropped where they
     are read, so what reaches the driver doesn't grow with the partitions.
     """
     n = df.count()
-    place = df.withColumn("__o", F.xxhash64(*key, F.monotonically_increasing_id()))
+    place = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.pmod(F.xxhash64(*key), F.lit(1 << 40)).alias("place"))
     if n > 2 * size:
-        place = place.filter(F.pmod("__o", F.lit(1 << 40)) < int((1 << 40) * (2 * size + 200) / n))
-    return place.orderBy(F.pmod("__o", F.lit(1 << 40)), "__o").limit(size).drop("__o")
+        place = place.filter(F.col("place") < int((1 << 40) * (2 * size + 200) / n))
+    return place.orderBy("place", *(F.col("row").getField(k) for k in key)).limit(size).select("row.*")
+
+
+#: Rows of one key from which on it is joined by a broadcast, and keys that are so at most.
+HOT, HOT_KEYS = 1000, 50_000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` with the columns of ``table``, which has one row per key and in ``n`` the number of ``rows`` of it; ``total`` is the sum of n.
+
+    Keys of many rows are broadcast, which are at most ``HOT_KEYS`` by their
+    number of rows; the others are joined by a shuffle in which none is dense.
+    """
+    limit = max(HOT, total // HOT_KEYS)
+    hot = table.filter(F.col("n") > limit).drop("n")
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.filter(F.col("n") <= limit).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.llm.components import connected_components
-from textmill.llm.shared import by_arrow, rows_out, written
+from textmill.llm.shared import by_arrow, joined, rows_out, written
 from textmill.llm.shingle_hash import WordSignatures, bottom_sketch, hashes, shingles, simhash, sketch_jaccard, words
 
 MAX_BUCKET = 2048
@@ -211,10 +211,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if distance > 3:
         raise ValueError("two segments find at most 3 differing bits")
     prints = written(fingerprints(docs, id_col, text_col, k), "fingerprints")
-    nodes = written(prints.groupBy("sig").agg(F.min("doc_id").alias("id")), "nodes")
-    parts = connected_components(bucket_links(nodes.filter("id is not null"), 2, distance))
-    of = nodes.join(parts, nodes.id == parts.node, "left").select("sig", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(of, "sig").select("doc_id", F.lpad(F.lower(F.hex(F.col("sig")[0])), 16, "0").alias("fingerprint"), "component_id")
+    nodes = written(prints.groupBy("sig").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "nodes")
+    parts = connected_components(bucket_links(nodes.filter("id is not null").select("id", "sig"), 2, distance))
+    of = written(nodes.join(parts, nodes.id == parts.node, "left").select("sig", "n", F.coalesce("component", "id").alias("component_id")), "components")
+    return joined(prints, of, "sig", of.agg(F.sum("n")).first()[0] or 0).select("doc_id", F.lpad(F.lower(F.hex(F.col("sig")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, distance: int = 26) -> DataFrame:
@@ -229,8 +229,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     share a group; blank and null texts count as equal.
     """
     signed = written(word_signatures(docs, id_col, text_col, k), "signatures")
-    nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")).filter("id is not null")
-    nodes = written(nodes, "nodes")
+    nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"), F.count(F.lit(1)).alias("n")).filter("id is not null")
+    counted = written(nodes, "nodes")
+    nodes = counted.drop("n")
     # one node of each signature goes through the buckets; the others are linked to it
     first = nodes.groupBy("sig").agg(F.min("id").alias("id"))
     same = nodes.join(first.withColumnRenamed("id", "b"), "sig").filter("id <> b").select(F.col("id").alias("a"), "b")
@@ -254,8 +255,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         members = again.join(nodes.select("id", "sig"), "id").join(sketch.withColumnRenamed("doc_id", "id"), "id")
         near = near.union(_similar_links(members, distance, similarity))
     parts = connected_components(near)
-    of = nodes.join(parts, nodes.id == parts.node, "left").select("text_key", F.coalesce("component", "id").alias("group_id"))
-    return signed.select("doc_id", "text_key").join(of, "text_key").select("doc_id", "group_id")
+    of = written(counted.join(parts, counted.id == parts.node, "left").select("text_key", "n", F.coalesce("component", "id").alias("group_id")), "groups")
+    return joined(signed.select("doc_id", "text_key"), of, "text_key", of.agg(F.sum("n")).first()[0] or 0).select("doc_id", "group_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
@@ -264,6 +265,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = groups.filter("doc_id <> group_id").select("doc_id").distinct()
     twice = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
     marks = gone.withColumn("mark", F.lit(1)).unionByName(twice.join(gone, "doc_id", "left_anti").withColumn("mark", F.lit(2)))
-    marked = docs.join(marks.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")), docs[id_col] == F.col("__id"), "left").filter("__mark is null or __mark = 2")
-    single = marked.filter("__mark is null").select(*docs.columns)
-    return single.unionByName(marked.filter("__mark = 2").dropDuplicates([id_col]).select(*docs.columns))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    marked = rows.join(marks, "doc_id", "left").filter("mark is null or mark = 2")
+    single = marked.filter("mark is null").select("row.*")
+    return single.unionByName(marked.filter("mark = 2").groupBy("doc_id").agg(F.min_by("row", F.col("row").getField(text_col)).alias("row")).select("row.*"))

@@ -3,9 +3,12 @@
 Learning takes a bounded sample of labelled rows. Terms are words, or stems of
 four letters and more, that occur almost only in toxic texts and in many
 different contexts, so copies of one text give no terms. Scoring walks every
-word through the union of the terms' Levenshtein automata of distance one
-intersected with the terms' trie, determinised as it goes: a state is a set of
-(trie node, errors), and dead states end a word after few letters. Hits are
+word through the union of the terms' Levenshtein automata intersected with the
+terms' trie, determinised as it goes: a state is a set of (trie node, errors,
+...), and dead states end a word after few letters. An error is a letter too
+many, too few or another, or two neighbours swapped. Terms of five letters and
+more allow one, of nine and more two; an error in the first letter is the only
+one of its word. Shorter terms match exactly. Hits are
 weighed by context: those between quotation marks or after a reporting word
 count apart from others, and so does the densest window. A logistic regression
 over these features gives the score.
@@ -28,11 +31,9 @@ from textmill.llm.word_table import WordTable, batches_of
 
 #: Labelled rows per class that learning takes at most.
 SAMPLE = 6000
-#: Terms kept at most, by weight.
-TERMS = 4000
 WINDOW = 12
 FEATURES = 6
-QUOTES = '"“”«»„'
+QUOTES = '"“”«»„‘’'
 REPORTING = {"said", "says", "wrote", "quote", "quoted", "quoting", "word", "words", "term", "called", "dit", "mot", "sagte", "wort", "dijo", "palabra"}
 LETTER = np.array([b > 127 or chr(b).isalpha() for b in range(256)])
 WORDS = re.compile(r"[^\W\d_]+")
@@ -48,68 +49,95 @@ class Lexicon:
     coef: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
 
 
+def allowed(term: str) -> int:
+    """Errors that a term allows."""
+    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+
+
 class Automaton:
-    """Lazily determinised intersection of the terms' trie with Levenshtein automata of distance one."""
+    """Lazily determinised intersection of the terms' trie with their Levenshtein automata.
 
-    FUZZY = 5  # shorter terms match exactly
-    STATES = 200_000
+    An element of a state is (node, errors, letter that has to follow a swap,
+    whether no error may follow).
+    """
+
+    STATES = 100_000
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self.next: list[dict[str, int]] = [{}]
         self.ends: list[list[int]] = [[]]
-        self.long: list[bool] = [False]  # a term of FUZZY letters is at or below the node
+        self.cap: list[int] = [0]  # errors that a term at or below the node allows
         for n, term in enumerate(lexicon.terms):
             at = 0
-            for c in term:
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({})
-                    self.ends.append([])
-                    self.long.append(False)
-                at = self.next[at][c]
-                self.long[at] |= len(term) >= self.FUZZY
+            for c in ["", *term]:
+                if c:
+                    if c not in self.next[at]:
+                        self.next[at][c] = len(self.next)
+                        self.next.append({})
+                        self.ends.append([])
+                        self.cap.append(0)
+                    at = self.next[at][c]
+                self.cap[at] = max(self.cap[at], allowed(term))
             self.ends[at].append(n)
         self.reset()
 
     def reset(self) -> None:
         """Forgets the determinised states."""
-        self.sets = [frozenset({(0, 0)})]
+        self.sets = [frozenset({(0, 0, "", False)})]
         self.number = {self.sets[0]: 0}
         self.move: list[dict[str, int]] = [{}]
         self.stop: list[tuple[float, int, int] | None] = [None]  # best stem that ends here
         self.whole: list[tuple[float, int, int] | None] = [None]  # best term if the word ends here
 
-    def _best(self, pairs: frozenset, stems: bool) -> tuple[float, int, int] | None:
+    def _best(self, elements: set, stems: bool) -> tuple[float, int, int] | None:
         lex, best = self.lexicon, None
-        for node, errors in pairs:
-            for n in self.ends[node]:
-                if (lex.stems[n] or not stems) and (not errors or len(lex.terms[n]) >= self.FUZZY):
+        for node, errors, swap, _ in elements:
+            for n in self.ends[node] if not swap else ():
+                if (lex.stems[n] or not stems) and errors <= allowed(lex.terms[n]):
                     key = (-errors, lex.weights[n], n)
                     best = max(best, key) if best else key
         return best and (lex.weights[best[2]], -best[0], best[2])
 
+    def _more(self, node: int, errors: int, closed: bool) -> bool:
+        return not closed and errors < self.cap[node]
+
+    def _missing(self, elements: set) -> set:
+        """The elements, and those after letters of a term that the word leaves out."""
+        out, todo = set(elements), list(elements)
+        while todo:
+            node, errors, swap, closed = todo.pop()
+            for to in self.next[node].values() if not swap and self._more(node, errors, closed) else ():
+                new = (to, errors + 1, "", not node)
+                if errors < self.cap[to] and new not in out:
+                    out.add(new)
+                    todo.append(new)
+        return out
+
     def _step(self, state: int, c: str) -> int:
         out = set()
-        for node, errors in self.sets[state]:
+        for node, errors, swap, closed in self._missing(self.sets[state]):
+            if swap:
+                if c == swap:
+                    out.add((node, errors, "", closed))
+                continue
+            more = self._more(node, errors, closed)
             for x, to in self.next[node].items():
                 if x == c:
-                    out.add((to, errors))
-                elif not errors and node and self.long[to]:  # the first letter has to agree
-                    out.add((to, 1))  # substitution
-                    if c in self.next[to]:
-                        out.add((self.next[to][c], 1))  # a letter of the term is missing
-            if not errors and node and self.long[node]:
-                out.add((node, 1))  # a letter too many
-        out -= {(node, 1) for node, errors in out if not errors}
+                    out.add((to, errors, "", closed))
+                elif more and errors < self.cap[to]:
+                    out.add((to, errors + 1, "", not node))  # another letter
+                    if c in self.next[to] and errors < self.cap[self.next[to][c]]:
+                        out.add((self.next[to][c], errors + 1, x, not node))  # x has to follow
+            if more:
+                out.add((node, errors + 1, "", not node))  # a letter too many
         key = frozenset(out)
         if key not in self.number:
             self.number[key] = len(self.sets)
             self.sets.append(key)
             self.move.append({})
             self.stop.append(self._best(key, True))
-            tails = {(to, 1) for node, errors in key if not errors for to in self.next[node].values()} if key else set()
-            self.whole.append(self._best(frozenset(key | tails), False))
+            self.whole.append(self._best(self._missing(key), False))
         self.move[state][c] = self.number[key]
         return self.number[key]
 
@@ -203,7 +231,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
                 around = ["", *words, ""]
                 seen: dict[str, int] = defaultdict(int)
                 for i, w in enumerate(words):
-                    if 3 <= len(w) <= 24:
+                    if len(w) >= 3:
                         seen[w] |= 1 << (hash_of(around[i] + " " + around[i + 2]) & 63)
                 terms: dict[tuple[str, bool], int] = defaultdict(int)
                 for w, bits in seen.items():
@@ -236,24 +264,31 @@ def _choose(rows: list, n_pos: int, n_neg: int) -> Lexicon:
     weight = lambda pos, neg: float(np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)))
     whole = {r.term: r for r in rows if r.whole}
     stems = {r.term: r for r in rows if not r.whole}
+    longest: dict[str, object] = {}  # of each stem: the stem one letter longer, and the whole word, of the most support
+    fullest: dict[str, object] = {}
+    for t in sorted(stems):
+        if t[:-1] not in longest or stems[t].pos > longest[t[:-1]].pos:
+            longest[t[:-1]] = stems[t]
+    for t in sorted(whole):
+        for k in range(4, len(t) + 1):
+            if t[:k] in stems and (t[:k] not in fullest or whole[t].pos > fullest[t[:k]].pos):
+                fullest[t[:k]] = whole[t]
     chosen: dict[str, tuple[float, bool]] = {}
     for term, r in stems.items():
         if term[:-1] in stems:
             continue
-        while True:
-            longer = max((s for t, s in stems.items() if len(t) == len(r.term) + 1 and t.startswith(r.term)), key=lambda s: s.pos, default=None) if len(r.term) < 8 else None
-            if longer is None or longer.pos < 0.95 * r.pos:
-                break
+        while (longer := longest.get(r.term)) is not None and longer.pos >= 0.95 * r.pos:
             r = longer
-        full = max((w for t, w in whole.items() if t.startswith(r.term)), key=lambda w: w.pos, default=None)
+        full = fullest.get(r.term)
         if full is not None and full.pos >= 0.9 * r.pos:
             chosen[full.term] = (weight(full.pos, full.neg), False)
         else:
             chosen[r.term] = (weight(r.pos, r.neg), True)
+    covered = {c for c, (_, stem) in chosen.items() if stem}
     for term, r in whole.items():
-        if len(term) < 4 or not any(term.startswith(c) for c, (_, stem) in chosen.items() if stem or c == term):
+        if not any(term[:k] in covered for k in range(4, len(term) + 1)):
             chosen.setdefault(term, (weight(r.pos, r.neg), False))
-    best = sorted(chosen.items(), key=lambda x: (-x[1][0], x[0]))[:TERMS]
+    best = sorted(chosen.items(), key=lambda x: (-x[1][0], x[0]))
     return Lexicon([t for t, _ in best], [w for _, (w, _) in best], [s for _, (_, s) in best])
 
 
@@ -274,7 +309,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) ->
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Lexicon:
     """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0; at most ``sample`` rows of each class, chosen by hash."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and crc32(cast(id as string)) % 5 <> 0").dropDuplicates(["id"])
+    rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and crc32(cast(id as string)) % 5 <> 0").groupBy("id").agg(F.max("toxic").alias("toxic"))
     part = [bounded_sample(rows.filter(F.col("toxic") == c), sample, "id") for c in (0, 1)]
     chosen = part[0].union(part[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -286,8 +321,8 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         return Lexicon(coef=[float(np.log((n_pos + 1) / (n_neg + 1)))] + [0.0] * (FEATURES - 1))
     train = train.repartition(max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     pure = _term_counts(train).filter((F.col("pos") >= max(3, n_pos // 400)) & (F.col("pos") / n_pos >= 10 * F.col("neg") / n_neg) & (F.col("contexts") >= F.least(F.lit(24), F.greatest(F.lit(4), F.col("pos") / 2))))
-    ranked = pure.withColumn("r", F.col("pos") / (F.col("neg") + 1)).orderBy(F.desc("r"), "term", "whole").limit(5 * TERMS)
-    lexicon = _choose(ranked.collect(), n_pos, n_neg)
+    # terms of a bounded sample
+    lexicon = _choose(sorted(pure.collect(), key=lambda r: (r.term, r.whole)), n_pos, n_neg)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
