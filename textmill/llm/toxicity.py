@@ -33,7 +33,7 @@ from textmill.llm.word_table import WordTable, batches_of
 SAMPLE = 6000
 WINDOW = 12
 FEATURES = 6
-QUOTES = '"“”«»„‘’'
+QUOTES = '"“”«»„'
 REPORTING = {"said", "says", "wrote", "quote", "quoted", "quoting", "word", "words", "term", "called", "dit", "mot", "sagte", "wort", "dijo", "palabra"}
 LETTER = np.array([b > 127 or chr(b).isalpha() for b in range(256)])
 WORDS = re.compile(r"[^\W\d_]+")
