@@ -8,7 +8,6 @@ import pytest
 
 from tests.llm.conftest import SCHEMA, rows, words
 from textmill.llm.decontaminate import contained_items, drop_contaminated, shingle_set
-from textmill.llm.licenses import license_table, scan
 from textmill.llm.line_dedup import drop_repeated_lines, repeated_runs
 from textmill.llm.pii import KINDS, TOKEN, Field, base_spans, find, luhn, pii_table, trained
 from textmill.llm.toxicity import Automaton, Lexicon, Scorer, allowed, drop_toxic, learn_toxicity, score_toxicity
@@ -245,29 +244,6 @@ def test_the_field_adds_what_patterns_miss():
     assert any(k == "phone" and "555-0187" in x for k, x in spans) and not any("2024" in x for _, x in spans)
 
 
-def test_licences(odd_docs, odd_texts, no_docs):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal.\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND."
-    assert [x[0] for x in scan(mit)] == ["MIT"]
-    assert [x[0] for x in scan("Foo bar.\nReleased under the MIT License.\nAll rights reserved.\nThis work is licensed under the GNU General Public License, version 3.\nLicensed under CC BY-NC 4.0.\nLicensed under the Apache License, Version 2.0.")] == ["MIT", "all-rights-reserved", "GPL-3.0", "CC-BY-NC-4-0", "Apache-2.0"]
-    assert scan("a licence to fish. no rights here") == [] and scan(None) == []
-    assert license_table(odd_docs).count() == len(odd_texts) and license_table(no_docs).count() == 0
-
-
-@pytest.mark.parametrize("text, want", [
-    ("This project is licensed under the MIT License.", ["MIT"]),
-    ("The code is released under the terms of the Apache License, Version 2.0.", ["Apache-2.0"]),
-    ("All of it is distributed under the 3-clause BSD License.", ["BSD-3-Clause"]),
-    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.", ["GPL-3.0"]),
-    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version.", ["GPL-2.0"]),
-    ("Released under CC BY 4.0.", ["CC-BY-4-0"]),
-    ("Text is available under Creative Commons BY-SA 4.0.", ["CC-BY-SA-4-0"]),
-    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]),
-    ("It is licensed under the Apache License, Version 2.0, and available under the MIT License.", ["Apache-2.0", "MIT"]),
-])
-def test_licence_statements_inside_sentences(text, want):
-    assert sorted(x[0] for x in scan(text)) == want
-
-
 def test_decoding_whole_texts_gives_the_same_spans():
     field = Field()
     field.w.update(trained())
