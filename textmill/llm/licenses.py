@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from textmill.llm.shared import by_arrow, rows_out
 
 GAP = 6
-#: Each known sentence, statement and name holds one of these.
-MARKS = re.compile(r"licen[cs]|rights reserved|copyright|warrant|redistrib|unencumbered|spdx|(?<![a-z])(?:[al]?gpl|mpl|bsl|bsd|epl|cc|mit|isc|wtfpl)(?![a-uw-z])|creative commons|permission|advertising materials|endorse or promote|special exception|classpath|anyone is free to copy|held liable|be liable|public domain|origin of this software|plainly marked", re.I)
+#: Each known sentence holds one of these, and each statement one, or a short name behind "under" or "subject to".
+MARKS = ("licen", "rights reserved", "copyright", "warrant", "redistrib", "unencumbered", "spdx", "creative commons", "permission", "advertising materials", "endorse or promote", "special exception", "classpath", "copy of the mpl", "anyone is free to copy", "held liable", "be liable", "public domain", "origin of this software", "plainly marked")
+SHORT = re.compile(r"(?<![a-z])(?:[al]?gpl|mpl|bsl|bsd|epl|cc|mit|isc|wtfpl|apache|zlib|expat)(?![a-uw-z])")
 
 # Sentences of public licences, in lower case without punctuation; "*" stands for any words.
 SENTENCES = {
@@ -147,6 +148,11 @@ SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() -]+)")
 SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
+def marked(low: str) -> bool:
+    """A lower-cased text could hold a licence sentence."""
+    return any(x in low for x in MARKS) or ("under" in low or "subject to" in low) and SHORT.search(low) is not None
+
+
 def sentences(text: str) -> Iterator[tuple[int, int]]:
     """Spans of the sentences that have words."""
     at = 0
@@ -208,7 +214,7 @@ def identifiers(text: str) -> list[tuple[str, str, int, int, int]]:
     """(identifier, name said, place among the sentences, start, end) of the known sentences and statements."""
     out = []
     for place, (a, b) in enumerate(sentences(text)):
-        if not MARKS.search(text, a, b):
+        if not marked(text[a:b].lower()):
             continue
         s = normalised(text[a:b])
         known = EXACT.get(s) or _at_end(s) or next((i for i, p in OPEN_ENDED if p.fullmatch(s)), None)
@@ -246,7 +252,7 @@ def match_rules(ids: list[tuple[str, int]], gap: int = GAP) -> list[tuple[int, l
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(licence, start, end) of each match of a rule and each SPDX identifier, by start."""
-    if not text or not MARKS.search(text):
+    if not text or not marked(text.lower()):
         return []
     out = [(x.group(), m.start(), m.end()) for m in SPDX.finditer(text) for x in SPDX_ID.finditer(m[1]) if x.group() not in ("OR", "AND", "WITH", "or", "and", "with")]
     ids = identifiers(text)

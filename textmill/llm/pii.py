@@ -21,7 +21,6 @@ import hashlib
 import math
 import random
 import re
-import sys
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
@@ -45,15 +44,17 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 LONGEST = 64
 AT = re.compile("@")
-#: All that str.isdigit() takes.
-ANY_DIGIT = re.compile(f"[{''.join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isdigit())}]")
+#: Beyond ASCII, what could be a digit to str.isdigit(): Latin letters aren't.
+RARE_DIGIT = re.compile("[\u00b2\u00b3\u00b9\u0300-\U0010ffff]")
 #: Where the signs of a spelt address start.
 SPELT = re.compile(r"(?i)(?=[ \[(]at[\]) ] ?[a-z0-9]+ ?[ \[(]dot)")
 #: An address with its signs spelt.
 SPELT_ADDRESS = re.compile(r"(?i)[a-z0-9._]+(?: dot [a-z0-9]+)?(?: at | ?[\[(]at[\])] ?)[a-z0-9]+(?:(?: dot | ?[\[(]dot[\])] ?)[a-z0-9]+)*(?: dot | ?[\[(]dot[\])] ?)[a-z]+")
 #: One token that could be a key, and where the value of a secret starts.
 RUN = re.compile(r"(?<![^\W_])(?:(?=[A-Za-z]*[0-9])[A-Za-z0-9]{16,}|[A-Z]{16,})(?![^\W_])")
-ASSIGNED = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']? ?[:=] ?[\"']?(?=[^\W_])")
+CUE = re.compile(r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']? ?$")
+GIVEN = re.compile(r" ?[\"']?(?=[^\W_])")
+EQUALS = re.compile("[:=]")
 #: No candidate with five digits holds one: a word beside a blank, a line that starts with a token.
 APART = re.compile(r"[^\W\d_]{2,} | [^\W\d_]{2,}|\n\S")
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -147,10 +148,17 @@ def features(s: str, before: str, assigned: bool = False) -> list[str]:
 
 def starts(text: str, x: int, y: int) -> list[tuple[int, int]]:
     """Merged stretches of text[x:y], by start, in which every candidate starts: at most LONGEST characters before what it must hold."""
-    digits = [m.start() for m in ANY_DIGIT.finditer(text, x, y)]
+    digits = [m.start() for m in DIGIT.finditer(text, x, y)]
+    if not text.isascii() and (rare := [m.start() for m in RARE_DIGIT.finditer(text, x, y) if m.group().isdigit()]):
+        digits = sorted(digits + rare)
     near = [(b - LONGEST, a) for a, b in zip(digits, digits[4:]) if b - a < LONGEST and not APART.search(text, a, b + 1)]
-    near += [(m.start() - LONGEST, m.start()) for p in (AT, SPELT) for m in p.finditer(text, x, y)]
-    near += [(m.start(), m.start()) for m in RUN.finditer(text, x, y)] + [(m.end(), m.end()) for m in ASSIGNED.finditer(text, x, y)]
+    near += [(m.start() - LONGEST, m.start()) for m in AT.finditer(text, x, y)]
+    if "dot" in text[x:y].lower():
+        near += [(m.start() - LONGEST, m.start()) for m in SPELT.finditer(text, x, y)]
+    # the pattern of runs is tried only where a word is long enough
+    if any(len(w) >= 16 and RUN.search(w) for w in text[x:y].split()):
+        near += [(m.start(), m.start()) for m in RUN.finditer(text, x, y)]
+    near += [(at, at) for at in assigned(text, x, y)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(near):
         if out and a <= out[-1][1]:
@@ -160,15 +168,20 @@ def starts(text: str, x: int, y: int) -> list[tuple[int, int]]:
     return out
 
 
-def assigned_at(text: str, tokens: list[tuple[int, int]]) -> set[int]:
-    """Where values of secrets start among the tokens."""
-    return {m.end() for m in ASSIGNED.finditer(text, tokens[0][0], tokens[-1][1])} if tokens else set()
+def assigned(text: str, x: int, y: int) -> set[int]:
+    """Where values of secrets start in text[x:y]: behind a cue and an equals sign or colon."""
+    out = set()
+    for m in EQUALS.finditer(text, x, y):
+        value = GIVEN.match(text, m.end(), y)
+        if value and CUE.search(text[max(x, m.start() - 16) : m.start()]):
+            out.add(value.end())
+    return out
 
 
 def candidates(text: str, tokens: list[tuple[int, int]], near: list[tuple[int, int]] | None = None) -> Iterator[tuple[int, int]]:
     """Token ranges [i, j) that could be an entity: 6 to 64 characters on one line, ends that are no stray signs, and digits, a spelt or signed address, a run or the whole value of a secret. ``near``: stretches in which all of them start."""
     begins = [a for a, _ in tokens]
-    values = assigned_at(text, tokens)
+    values = assigned(text, tokens[0][0], tokens[-1][1]) if tokens else set()
     which = range(len(tokens)) if near is None else sorted({i for a, b in near for i in range(bisect_left(begins, a), bisect_right(begins, b))})
     for i in which:
         a = begins[i]
@@ -203,7 +216,7 @@ class Field:
 
     def segments(self, text: str, tokens: list[tuple[int, int]], near: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int, list[str], float]]:
         """(i, j, kind, features, score) of all candidate entities."""
-        out, values = [], assigned_at(text, tokens)
+        out, values = [], assigned(text, tokens[0][0], tokens[-1][1]) if tokens else set()
         for i, j in candidates(text, tokens, near):
             before = text[tokens[i - 1][0] : tokens[i - 1][1]] if i else ""
             if i > 1 and not before.isalnum():
