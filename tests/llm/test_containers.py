@@ -3,12 +3,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import struct
 import zlib
 
 import pytest
 
-from textmill.llm.matroska import BLOCK, CLUSTER, EBML, FRAME, GROUP, SEGMENT, SIMPLE, TIME, element, media_column, media_digests, mux, packet_table, parse, size_field, uint
-from textmill.llm.warc import read_archives, write_archives
+from textmill.llm.matroska import AUDIO, BLOCK, CHANNELS, CLUSTER, CODEC, DEPTH, DURATION, EBML, ENTRY, FRAME, GROUP, NUMBER, RATE, SEGMENT, SIMPLE, TIME, TRACKS, element, media_column, media_digests, mux, packet_table, parse, size_field, uint
+from textmill.llm.warc import read_archives, record, train_dictionary, write_archives
 
 
 def test_media_round_trip(odd_docs, odd_texts, no_docs):
@@ -49,6 +50,40 @@ def test_laces_of_other_kinds(kind):
         parse(data[:-3])
 
 
+@pytest.mark.parametrize("entry, step", [
+    (element(DURATION, (20_000_000).to_bytes(4, "big")), [20_000_000] * 4),
+    (element(AUDIO, element(RATE, struct.pack(">f", 48000)) + uint(CHANNELS, 2) + uint(DEPTH, 16)), [100 * 1_000_000_000 // 192_000] * 4),
+    (b"", [0] * 4),
+])
+def test_laced_frames_of_foreign_tracks(entry, step):
+    tracks = element(TRACKS, element(ENTRY, uint(NUMBER, 3) + element(CODEC, b"A_PCM/INT/LIT") + entry))
+    block = b"\x83\x00\x05" + bytes([0x84, 3]) + b"abcd" * 100
+    m = parse(element(EBML, b"") + element(SEGMENT, tracks + element(CLUSTER, uint(TIME, 7) + element(SIMPLE, block))))
+    assert [t for _, t, *_ in m.packets] == [12_000_000 + sum(step[:i]) for i in range(4)]
+    assert [n for _, _, _, n, _ in m.packets] == [100] * 4
+
+
+def test_damaged_media_raise_value_errors():
+    data = mux(b"x" * FRAME * 300)
+    assert len(parse(data).packets) == 300 and len(parse(data).cues) == 2
+    r = random.Random(4)
+    for _ in range(300):
+        bad = bytearray(data[: r.randrange(1, len(data))] if r.random() < 0.5 else data)
+        for _ in range(3):
+            bad[r.randrange(min(len(bad), 400))] ^= 1 << r.randrange(8)
+        try:
+            parse(bytes(bad))
+        except ValueError:
+            pass
+
+
+def test_dictionary_is_trained_on_whole_records():
+    records = [record(i, f"http://x/{i}", b"<p>" + b"abc " * (i % 7) * 30, "D", None, False) for i in range(200)]
+    d = train_dictionary(records)
+    assert b"WARC-Type: response" in d or b"WARC/1.1" in d
+    assert train_dictionary(records) == d and train_dictionary(records[:2]) == b""
+
+
 def test_archives_round_trip(spark):
     r = random.Random(1)
     pages = [(i, f"http://x/{i}", "<p>" + "".join(r.choice("abc é") for _ in range(300)) + "</p>") for i in range(40)]

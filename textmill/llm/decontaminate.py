@@ -1,28 +1,31 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Test items are short, documents long, so symmetric MinHash would miss them. Each
-item keeps the least hashes of its word shingles, as many as its size class
-needs: of n shingles, floor((1 - containment) * n) + 1, so that a document that
-contains enough of the item has one of them for certain. A document's shingle
-hashes are looked up in the table of those; what it hits is verified by the
-exact containment of shingles.
-
-Items are taken in blocks of at most ``BLOCK`` items, each one pass over the
-documents, so what is sent to the executors is bounded.
+Test items are short, documents long, so symmetric MinHash would miss them.
+Items are partitioned by the size of their shingle sets, a class for each power
+of two. An item's signature is its least hashes, as many as the largest set of
+its class needs: of n shingles, floor((1 - containment) * n) + 1, so that a
+document that contains enough of the item has one of them for certain. A
+document's shingle hashes are looked up class by class; what they hit is
+verified by the exact containment of shingles.
+
+Items are taken in blocks of at most ``BLOCK`` items, each a file in the shared
+folder and one pass over the documents, so what driver and executors hold is
+bounded.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.shared import by_arrow, rows_out
+from textmill.llm.shared import by_arrow, fresh_dir, rows_out, store
 from textmill.llm.word_table import Hasher, batches_of
 
 SHINGLE = 5
@@ -56,12 +59,12 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 
 class ItemTable:
-    """The items of one block: per shingle length the sorted sketch hashes and whose they are."""
+    """The items of one block: per shingle length and size class the sorted signature hashes and whose they are."""
 
     def __init__(self, items: list[tuple[int, str]], k: int, containment: float) -> None:
         self.hasher, self.share = Hasher(), containment
         self.shingles: dict[int, tuple[int, set[bytes]]] = {}
-        rows: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        rows: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text) in enumerate(items):
             data = text.lower().encode("utf-8", "surrogatepass")
             length = min(k, len(word_spans(data)[0]))
@@ -71,14 +74,15 @@ class ItemTable:
             self.shingles[n] = (length, own)
             starts, ends = word_spans(data)
             h = np.unique(shingle_hashes(self.hasher(np.frombuffer(data, np.uint8), starts, ends), length))
-            rows[length] += [(int(x), n) for x in h[: int((1 - containment) * len(own) + 1e-9) + 1]]
-        self.sketch = {}
-        for length, pairs in rows.items():
+            size = len(own).bit_length()
+            rows[length, size] += [(int(x), n) for x in h[: int((1 - containment) * ((1 << size) - 1) + 1e-9) + 1]]
+        self.sketch: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
+        for (length, _), pairs in sorted(rows.items()):
             pairs.sort()
             keys = np.array([x for x, _ in pairs], np.uint64)
             seen = np.zeros(1 << 16, bool)
             seen[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.sketch[length] = (keys, np.array([n for _, n in pairs]), seen)
+            self.sketch[length].append((keys, np.array([n for _, n in pairs]), seen))
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, shingles of the item in the text, shingles of the item) of every contained item."""
@@ -89,13 +93,15 @@ class ItemTable:
             first = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in part]))))
             words = self.hasher(np.frombuffer(data, np.uint8), starts, ends)
             found = set()
-            for length, (keys, of, seen) in self.sketch.items():
+            for length, classes in self.sketch.items():
                 h = shingle_hashes(words, length)
-                at = np.flatnonzero(seen[(h >> np.uint64(48)).astype(np.int64)])
-                lo, hi = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], "right")
-                for i in np.flatnonzero(hi > lo):
-                    doc = int(np.searchsorted(first, at[i], "right")) - 1
-                    found.update((doc, int(n)) for n in of[lo[i] : hi[i]])
+                top = (h >> np.uint64(48)).astype(np.int64)
+                for keys, of, seen in classes:
+                    at = np.flatnonzero(seen[top])
+                    lo, hi = np.searchsorted(keys, h[at]), np.searchsorted(keys, h[at], "right")
+                    for i in np.flatnonzero(hi > lo):
+                        doc = int(np.searchsorted(first, at[i], "right")) - 1
+                        found.update((doc, int(n)) for n in of[lo[i] : hi[i]])
             sets: dict[tuple[int, int], set[bytes]] = {}
             for doc, n in sorted(found):
                 length, own = self.shingles[n]
@@ -107,28 +113,33 @@ class ItemTable:
             place += len(part)
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The items by ascending id, in blocks that the driver holds one at a time."""
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[str]:
+    """Files of the items by ascending id, a block each; the driver holds one block at a time."""
     rows = items.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).orderBy("id", "t")
-    block: list[tuple[int, str]] = []
-    for r in rows.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
+    folder, paths, local = fresh_dir(items.sparkSession, "items"), [], rows.toLocalIterator()
+    while block := list(islice(local, BLOCK)):
+        paths.append(f"{folder}/{len(paths):06d}.arrow")
+        fs, at = store(paths[-1])
+        fs.create_dir(at.rpartition("/")[0], recursive=True)
+        batch = rows_out({"id": (pa.int64(), [r[0] for r in block]), "t": (pa.string(), [r[1] for r in block])})
+        with fs.open_output_stream(at, compression=None) as out, pa.ipc.new_stream(out, batch.schema) as stream:
+            stream.write_batch(batch)
+    return paths
 
 
-def _searcher(block: list[tuple[int, str]], k: int, containment: float) -> Callable[[list[str]], Iterator[tuple[int, int, int, int]]]:
-    table: list[ItemTable] = []
+_table: dict[tuple[str, int, float], tuple[ItemTable, list[int]]] = {}
 
-    def search(texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
-        if not table:
-            table.append(ItemTable(block, k, containment))
-        return table[0].search(texts)
 
-    return search
+def _loaded(path: str, k: int, containment: float) -> tuple[ItemTable, list[int]]:
+    """Table and ids of a block; a worker keeps the last one."""
+    key = (path, k, containment)
+    if key not in _table:
+        fs, at = store(path)
+        with fs.open_input_stream(at, compression=None) as file:
+            items = pa.ipc.open_stream(file).read_all().to_pydict()
+        _table.clear()
+        _table[key] = ItemTable(list(zip(items["id"], items["t"])), k, containment), items["id"]
+    return _table[key]
 
 
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
@@ -143,13 +154,12 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     schema = "doc_id long, item_id long, n_common long, n_shingles long"
 
-    def one(block: list[tuple[int, str]]) -> DataFrame:
-        search, ids = _searcher(block, k, containment), [i for i, _ in block]
-
+    def one(path: str) -> DataFrame:
         def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
+                table, ids = _loaded(path, k, containment)
                 doc = b.column(0).to_pylist()
-                got = [(doc[t], ids[n], c, s) for t, n, c, s in search([t or "" for t in b.column(1).to_pylist()])]
+                got = [(doc[t], ids[n], c, s) for t, n, c, s in table.search([t or "" for t in b.column(1).to_pylist()])]
                 yield rows_out({x: (pa.int64(), [g[i] for g in got]) for i, x in enumerate(("doc_id", "item_id", "n_common", "n_shingles"))})
 
         return by_arrow(rows, f, schema)
@@ -160,13 +170,13 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that contain no item, all columns as they are; rules as for ``contained_items``. No shuffle."""
-    for block in _blocks(items, item_col, item_text):
-        search, at = _searcher(block, k, containment), docs.columns.index(text_col)
+    for path in _blocks(items, item_col, item_text):
+        at = docs.columns.index(text_col)
 
-        def f(batches: Iterator[pa.RecordBatch], search: Callable = search, at: int = at) -> Iterator[pa.RecordBatch]:
+        def f(batches: Iterator[pa.RecordBatch], path: str = path, at: int = at) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[t for t, *_ in search([t or "" for t in b.column(at).to_pylist()])]] = False
+                keep[[t for t, *_ in _loaded(path, k, containment)[0].search([t or "" for t in b.column(at).to_pylist()])]] = False
                 yield b.filter(pa.array(keep))
 
         docs = by_arrow(docs, f, docs.schema)

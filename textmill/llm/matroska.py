@@ -24,8 +24,8 @@ from textmill.llm.shared import by_arrow, rows_out
 # Element ids of EBML and Matroska.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
 DOC_TYPE, SCALE, ENTRY, NUMBER, KIND, CODEC = 0x4282, 0x2AD7B1, 0xAE, 0xD7, 0x83, 0x86
-AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-TIME, SIMPLE, GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+AUDIO, RATE, CHANNELS, DEPTH, DURATION = 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
+TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 POINT, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 
 FRAME = 576
@@ -80,6 +80,9 @@ class Media:
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     codecs: dict[int, str] = field(default_factory=dict)
     clusters: int = 0
+    frame_ns: dict[int, int] = field(default_factory=dict)  # default duration of a track's frames
+    byte_ns: dict[int, float] = field(default_factory=dict)  # of a byte of uncompressed sound
+    places: list[int] = field(default_factory=list)  # of the clusters in the segment
 
 
 def _vint(data: bytes, at: int, keep: bool) -> tuple[int, int, bool]:
@@ -154,22 +157,34 @@ def laces(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def parse(data: bytes) -> Media:
-    """Tables of a Matroska file. ValueError for damaged files."""
+    """Tables of a Matroska file. ValueError for damaged files, and for cues that name no cluster."""
+    try:
+        return _parse(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("cut off within an element") from e
+
+
+def _real(data: bytes, a: int, b: int) -> float:
+    """An element of floating point, of four or eight bytes."""
+    return struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0] if b > a else 0.0
+
+
+def _parse(data: bytes) -> Media:
     out, scale = Media(), 1_000_000
     for ident, a, b in elements(data, 0, len(data)):
         if ident != SEGMENT:
             continue
-        base = a
+        base = at = a
         for kind, c, d in elements(data, a, b):
             if kind == INFO:
                 scale = next((_number(data, x, y) for i, x, y in elements(data, c, d) if i == SCALE), scale)
             elif kind == TRACKS:
-                for _, e, f in elements(data, c, d):
-                    got = {i: (x, y) for i, x, y in elements(data, e, f)}
-                    if NUMBER in got and CODEC in got:
-                        out.codecs[_number(data, *got[NUMBER])] = data[slice(*got[CODEC])].decode("ascii", "replace")
+                for i, e, f in elements(data, c, d):
+                    if i == ENTRY:
+                        _track(data, e, f, out)
             elif kind == CLUSTER:
                 out.clusters += 1
+                out.places.append(at)
                 start = 0
                 for i, x, y in elements(data, c, d):
                     if i == TIME:
@@ -177,9 +192,10 @@ def parse(data: bytes) -> Media:
                     elif i == SIMPLE:
                         _block(data, x, y, start, scale, out, bool(data[_vint(data, x, False)[1] + 2] & 0x80))
                     elif i == GROUP:
-                        for j, v, w in elements(data, x, y):
-                            if j == BLOCK:
-                                _block(data, v, w, start, scale, out, False)
+                        inner = {j: (v, w) for j, v, w in elements(data, x, y)}
+                        if BLOCK in inner:
+                            # a group without references stands alone
+                            _block(data, *inner[BLOCK], start, scale, out, REFERENCE not in inner)
             elif kind == CUES:
                 for _, e, f in elements(data, c, d):
                     time = 0
@@ -189,16 +205,37 @@ def parse(data: bytes) -> Media:
                         elif i == CUE_PLACE:
                             got = {j: _number(data, v, w) for j, v, w in elements(data, x, y)}
                             out.cues.append((time * scale, got.get(CUE_TRACK, 0), base + got.get(CUE_CLUSTER, 0)))
+            at = d
+    if not {place for _, _, place in out.cues} <= set(out.places):
+        raise ValueError("a cue names no cluster")
     return out
 
 
+def _track(data: bytes, a: int, b: int, out: Media) -> None:
+    """Codec of a track, and what gives its laced frames their times: the default duration, or rate, channels and depth of uncompressed sound."""
+    got = {i: (x, y) for i, x, y in elements(data, a, b)}
+    if NUMBER not in got or CODEC not in got:
+        return
+    n = _number(data, *got[NUMBER])
+    out.codecs[n] = data[slice(*got[CODEC])].decode("ascii", "replace")
+    if DURATION in got:
+        out.frame_ns[n] = _number(data, *got[DURATION])
+    elif AUDIO in got and out.codecs[n].startswith("A_PCM"):
+        audio = {i: (x, y) for i, x, y in elements(data, *got[AUDIO])}
+        rate = _real(data, *audio[RATE]) if RATE in audio else 8000.0
+        channels, depth = (_number(data, *audio[i]) if i in audio else d for i, d in ((CHANNELS, 1), (DEPTH, 8)))
+        if rate > 0 and channels and depth:
+            out.byte_ns[n] = 8e9 / (rate * channels * depth)
+
+
 def _block(data: bytes, at: int, end: int, start: int, scale: int, out: Media, key: bool) -> None:
+    """Packets of a block. Later frames of a lace follow by their track's times; where it states none they have the block's."""
     track, at, _ = _vint(data, at, False)
     (shift,), flags = struct.unpack_from(">h", data, at), data[at + 2]
     time = (start + shift) * scale
     for offset, size in laces(data, at + 3, end, flags >> 1 & 3):
         out.packets.append((track, time, offset, size, key))
-        time += size * 1_000_000_000 // RATE_HZ
+        time += out.frame_ns.get(track) or int(size * out.byte_ns.get(track, 0))
 
 
 def padded(text: str | None) -> tuple[bytes, int]:

@@ -1,7 +1,7 @@
 """Dictionary-compressed WARC archives.
 
-A Zstandard dictionary is trained on a bounded sample of the payloads. Each
-archive starts with a skippable frame (magic 0x184D2A5D) that holds it, and
+A Zstandard dictionary is trained on records as they are archived, headers
+included, of a bounded sample that stable keys choose. Each archive starts with a skippable frame (magic 0x184D2A5D) that holds it, and
 each record is a frame of its own, so any record can be read from its byte
 range and the dictionary. Records of equal payloads but the first are revisits
 without a payload.
@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textmill.llm.shared import bounded_sample, by_arrow, fresh_dir, rows_out, store, written
+from textmill.llm.shared import bounded_sample, by_arrow, fresh_dir, joined, rows_out, store, written
 
 # Frame magic and profile name of the public formats.
 DICT_MAGIC = 0x184D2A5D
@@ -28,22 +29,28 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 DATE = "2024-01-01T00:00:00Z"
 
-#: Payloads that train the dictionary at most, and bytes of each that do.
-SAMPLE_PAYLOADS = 1000
-SAMPLE_BYTES = 16_384
+#: Records that train the dictionary at most, bytes of them in all that do, and of the payload of one. Whole records are taken.
+SAMPLE_RECORDS = 1000
+SAMPLE_BYTES = 16 << 20
+SAMPLE_PAYLOAD = 1 << 16
 DICT_BYTES = 65_536
-#: Groups of equal payloads that are broadcast at most; beyond, they are joined by a shuffle.
+#: Groups of equal payloads that are broadcast at most (28 bytes each); beyond, only dense ones are.
 BROADCAST_GROUPS = 50_000
 
 
-def train_dictionary(pages: DataFrame, id_col: str, html_col: str) -> bytes:
-    """A dictionary from a bounded sample of the payloads; empty if they are too few or too small to train on."""
-    payloads = pages.select(F.col(id_col).alias("i"), F.substring(F.encode(F.coalesce(html_col, F.lit("")), "UTF-8"), 1, SAMPLE_BYTES).alias("p"))
-    rows = bounded_sample(payloads, SAMPLE_PAYLOADS, "i")
-    samples = [bytes(r.p) for r in rows.collect() if r.p]
+def train_dictionary(records: list[bytes]) -> bytes:
+    """A dictionary from whole records up to ``SAMPLE_BYTES``; empty, as the format allows, where they are too few or too small for the trainer."""
+    samples, full = [], 0
+    for r in records:
+        if full + len(r) <= SAMPLE_BYTES:
+            samples.append(r)
+            full += len(r)
+    if len(samples) < 8 or full < 8 * 1024:
+        return b""
     try:
-        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, samples)) // 8)), samples).as_bytes()
-    except (zstandard.ZstdError, ValueError):
+        return zstandard.train_dictionary(min(DICT_BYTES, full // 8), samples).as_bytes()
+    except zstandard.ZstdError as e:
+        warnings.warn(f"no dictionary: {e}", stacklevel=2)
         return b""
 
 
@@ -72,14 +79,24 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     payload are responses too. A null id comes after all others.
     """
     spark = pages.sparkSession
-    folder, dictionary = fresh_dir(spark, "warc"), train_dictionary(pages, id_col, html_col)
+    folder = fresh_dir(spark, "warc")
     payload = F.encode(F.coalesce(pages[html_col].cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(pages[id_col].cast("long").alias("page"), pages[url_col].cast("string").alias("url"), payload.alias("payload"))
-    digests = written(rows.select("page", F.unhex(F.sha1("payload")).alias("digest")), "digests")
-    groups = written(digests.groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "groups")
-    small = groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
-    rows = rows.join(F.broadcast(groups) if small else groups, "digest", "left").select("page", "url", "payload", "digest", "first")
+    digests = written(rows.select("page", "digest", F.octet_length("payload").alias("size")), "digests")
+    groups = written(digests.groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    # groups of many records are few and broadcast; payloads of the others are joined by a shuffle in which no digest is dense
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    chosen = bounded_sample(digests.filter(F.col("size") <= SAMPLE_PAYLOAD), SAMPLE_RECORDS, "page", "digest").select("page", "digest").distinct()
+    sample = rows.join(F.broadcast(chosen), ["page", "digest"], "left_semi").dropDuplicates(["page", "digest"])
+    texts = sorted(record(r.page, r.url, bytes(r.payload), base64.b32encode(r.digest).decode(), None, False) for r in sample.toLocalIterator())
+    dictionary = train_dictionary(texts)
+    small = groups.agg(F.count(F.lit(1))).first()[0] <= BROADCAST_GROUPS
+    if small:
+        rows = rows.join(F.broadcast(groups.drop("n")), "digest", "left")
+    else:
+        rows = joined(rows, groups, "digest", total).unionByName(rows.join(groups.select("digest"), "digest", "left_anti").withColumn("first", F.lit(None).cast("long")))
+    rows = rows.select("page", "url", "payload", "digest", "first")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.zst"
