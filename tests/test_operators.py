@@ -36,6 +36,11 @@ def test_hidden_markup_goes(spark):
     assert one(spark, tx.stripped_markup, html) == "seen me"
 
 
+def test_elements_out_of_sight_go(spark):
+    html = '<div style="opacity:0">a</div><p style="position:absolute; left:-9999px">b</p>c\u202ed\u2063<i style="color:red">e</i>'
+    assert one(spark, tx.stripped_markup, html) == "cd e"
+
+
 def test_content_hash_ignores_white_space(spark):
     assert one(spark, tx.content_hash, "a  b\n") == one(spark, tx.content_hash, " a b")
 

@@ -25,6 +25,12 @@ INJECTION = {
     "tool_abuse": r"(?:调用|执行|run|execute)\s*(?:shell|bash|cmd|命令|脚本)",
 }
 PII = {"phone": r"\b1[3-9]\d{9}\b", "id_number": r"\b\d{17}[\dXx]\b", "bank_card": r"\b\d{16,19}\b", "email": r"[\w.+-]+@[\w-]+\.[\w.]+"}
+LETTER = r"[A-Za-zÀ-ɏ一-鿿]"
+STRUCTURED = r"^(?:#{1,6} |[-*+•] |\d+[.)、]|[（(]?[一二三四五六七八九十]+[）)、.]|\|)"
+#: Styles that hide an element from a reader, and what goes from texts in this order.
+HIDDEN_STYLES = r"display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0|position\s*:\s*absolute\s*;\s*(?:left|top)\s*:\s*-\d{3,}"
+INVISIBLE = "[\u200b-\u200f\u202a-\u202e\u2060-\u2063\ufeff\u00ad]"
+CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 LATIN_TOKEN = r"[a-z][a-z0-9_\-]+"
 CJK_RUN = r"[一-鿿]+"
 
@@ -88,11 +94,7 @@ def page_break(line: Column) -> Column:
 def table_row(line: Column) -> Column:
     """At most 120 characters with two separators or more (tab, pipe, two blanks)."""
     s = F.rtrim(line)
-    return (F.length(s) <= 120) & (F.trim(s) != "") & (F.regexp_count(s, F.lit(r"\t")) + F.regexp_count(s, F.lit(r"\|")) + F.regexp_count(s, F.lit(r" {2,}")) >= 2)
-
-
-LETTER = r"[A-Za-zÀ-ɏ一-鿿]"
-STRUCTURED = r"^(?:#{1,6} |[-*+•] |\d+[.)、]|[（(]?[一二三四五六七八九十]+[）)、.]|\|)"
+    return (F.length(s) <= 120) & (F.trim(s) != "") & (F.regexp_count(s, F.lit(r"\t")) + F.regexp_count(s, F.lit(r"\|")) + F.regexp_count(s, F.lit(r"[ \u3000]{2,}")) >= 2)
 
 
 def letter_ratio(text: Column) -> Column:
@@ -107,17 +109,13 @@ def prose_line(line: Column) -> Column:
     return (F.length(s) >= 14) & ~s.rlike(STRUCTURED) & (letter_ratio(s) >= 0.5) & (F.regexp_count(s, F.lit(r"[ \t　]{2,}")) < 2) & ~s.rlike("[：:，,、]$")
 
 
-HIDDEN = r"(?is)<(\w+)[^>]*style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)[^\"']*[\"'][^>]*>.*?</\1\s*>"
-
-
 def stripped_markup(html: Column) -> Column:
     """Visible text: without hidden elements, comments, scripts, styles, tags, invisible and control characters; blanks squeezed."""
-    s = F.regexp_replace(html, HIDDEN, " ")
-    s = F.regexp_replace(s, r"(?s)<!--.*?-->", " ")
-    s = F.regexp_replace(s, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
-    s = F.regexp_replace(s, r"(?s)<[^>]+>", " ")
-    s = F.regexp_replace(s, r"[​-‏⁠﻿­]", "")
-    s = F.regexp_replace(s, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    hidden = r"(?is)<(\w+)[^>]*style\s*=\s*[\"'][^\"']*(?:" + HIDDEN_STYLES + r")[^\"']*[\"'][^>]*>.*?</\1\s*>"
+    s = F.regexp_replace(html, hidden, " ")
+    for gone in (r"(?s)<!--.*?-->", r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", r"(?s)<[^>]+>"):
+        s = F.regexp_replace(s, gone, " ")
+    s = F.regexp_replace(F.regexp_replace(s, INVISIBLE, ""), CONTROL, "")
     s = F.regexp_replace(s, r"[ \t　]{2,}", " ")
     return F.regexp_replace(F.regexp_replace(s, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textmill.operators.lexical import small
+
 
 def case_scores(judged: DataFrame, cases: DataFrame) -> DataFrame:
     """Recall at 1, 3, 5, 10, MRR and nDCG@10 per case from (item_id, rnk, hit); cases without hits score 0."""
@@ -24,7 +26,7 @@ def bootstrap(values: DataFrame, rounds: int = 1000) -> DataFrame:
     n = values.count()
     draws = values.sparkSession.range(rounds).withColumnRenamed("id", "r").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))))
     at = F.conv(F.substr(F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("i").cast("string"))), F.lit(1), F.lit(8)), 16, 10).cast("long") % max(n, 1)
-    means = draws.select("r", at.alias("idx")).join(F.broadcast(values), "idx").groupBy("r").agg(F.round(F.avg("v"), 9).alias("m"))
+    means = draws.select("r", at.alias("idx")).join(small(values), "idx").groupBy("r").agg(F.round(F.avg("v"), 9).alias("m"))
     ranked = means.withColumn("k", F.row_number().over(Window.orderBy("m")) - 1)
     pick = lambda k: F.max(F.when(F.col("k") == k, F.col("m")))
     ci = ranked.agg(F.round(pick(int(0.025 * rounds)), 6).alias("low"), F.round(pick(min(int(0.975 * rounds), rounds - 1)), 6).alias("high"))

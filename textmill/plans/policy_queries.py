@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from textmill.config import DEFAULT
 from textmill.functions import text as tx
 from textmill.functions.tools import schema_problems
-from textmill.operators import lexical
+from textmill.operators import lexical, split
 from textmill.plans.evaluation_queries import OBS, observations
 from textmill.plans.registry import Tables, query
 from textmill.plans.retrieval_queries import CLAIMS, FOCUS, INDEX, QW, RERANK, SENT, SSCORE, STOK, UNKNOWN, TOK, _hits_sql, evidence, extractive_answer, fused, grade_route, hits, overlap_channel, reranked, scored_sentences, verdicts, weighed_terms, with_text
@@ -267,3 +267,41 @@ def case_page(t: Tables) -> DataFrame:
     """A page of the cases with any of some tags (skip and limit are the feature)."""
     o = observations(t).filter(F.arrays_overlap(F.array("event_type", F.concat(F.lit("k"), (F.col("k") % 3).cast("string"))), F.array(F.lit("error"), F.lit("k0"))))
     return o.orderBy("case_id").offset(10).limit(50).select("case_id", "event_type")
+
+
+@query("""select * from (values (0, true), (1, true), (2, true), (3, false), (4, false)) v(case_id, abstained)""")
+def abstentions(t: Tables) -> DataFrame:
+    """Answers that say they are none, by a marker phrase or by their outcome."""
+    rows = t.spark.createDataFrame([(0, "资料不足，无法回答。", "answered"), (1, "see above", "clarify"), (2, "", "no_knowledge"), (3, "The limit is 8.", "answered"), (4, "", "answered")], "case_id int, answer string, outcome string")
+    return rows.select("case_id", tx.abstains(F.col("answer"), F.col("outcome")).alias("abstained"))
+
+
+@query("""select source, count(*)::bigint as n_docs, sum(greatest(ceil((length(text) - 800) / 700.0), 0)::bigint + 1)::bigint as n_leaves from documents where length(text) > 0 group by source""")
+def corpus_leaves(t: Tables) -> DataFrame:
+    """Documents and leaf chunks per source."""
+    n = F.size(split.strides(F.col("text"), 800, 700))
+    return t.documents.filter(F.length("text") > 0).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(n).cast("long").alias("n_leaves"))
+
+
+@query("""select user_id, event_type, event_id as first_id, n::bigint as seen from (select user_id, event_type, event_id, row_number() over (partition by user_id, event_type order by ts, event_id) as rn, count(*) over (partition by user_id, event_type) as n from events) where rn = 1""")
+def first_evidence(t: Tables) -> DataFrame:
+    """The first of each piece of evidence that a conversation gathers again and again; an aggregate, so no window over a hot user."""
+    first = F.min_by("event_id", F.struct("ts", "event_id"))
+    return t.events.groupBy("user_id", "event_type").agg(first.alias("first_id"), F.count(F.lit(1)).alias("seen"))
+
+
+@query("""select d.doc_id from documents d where length(d.text) > 0 and not exists (select 1 from documents o where o.doc_id = d.doc_id and o.doc_id % 3 = 0)""")
+def unindexed_leaves(t: Tables) -> DataFrame:
+    """Documents that an index of every third one doesn't hold yet: what an idempotent add takes."""
+    indexed = t.documents.filter("doc_id % 3 = 0").select("doc_id")
+    return t.documents.filter(F.length("text") > 0).join(indexed, "doc_id", "left_anti").select("doc_id")
+
+
+@query("""select * from (values (0, 2::bigint, 'a1'), (1, 3, 'a2'), (2, 0, 'a3'), (3, null, null)) v(case_id, n_failed, answer_id)""")
+def loose_fields(t: Tables) -> DataFrame:
+    """Records with alternative key names: the first key that is there, and a count that may be a number or a list."""
+    rows = t.spark.createDataFrame([(0, '{"failed_calls": 2, "answer_id": "a1"}'), (1, '{"failures": ["x", "y", "z"], "answerId": "a2"}'), (2, '{"failures": [], "id": "a3", "answer_id": null}'), (3, "no json")], "case_id int, props string")
+    v = F.try_parse_json("props")
+    at = lambda key, kind: F.try_variant_get(v, f"$.{key}", kind)
+    n = F.coalesce(at("failed_calls", "bigint"), F.size(at("failed_calls", "array<variant>")).cast("long"), at("failures", "bigint"), F.size(at("failures", "array<variant>")).cast("long"))
+    return rows.select("case_id", F.when(v.isNotNull(), n).alias("n_failed"), F.coalesce(*(at(k, "string") for k in ("answer_id", "answerId", "id"))).alias("answer_id"))

@@ -24,7 +24,10 @@ class Tables:
         """The table cut from its lineage, in the session's checkpoint folder; a folder of this machine only where none is set."""
         context = self.spark.sparkContext
         if context.getCheckpointDir() is None:
-            context.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", "/tmp/textmill-checkpoints"))
+            folder = self.spark.conf.get("spark.checkpoint.dir", None)
+            if not folder and not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
+            context.setCheckpointDir(folder or "/tmp/textmill-checkpoints")
         return df.checkpoint()
 
     def pin(self, name: str, df: DataFrame) -> None:

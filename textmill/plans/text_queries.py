@@ -28,6 +28,15 @@ def content_terms(t: Tables) -> DataFrame:
     return d.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("cf"))
 
 
+@query(f"""select doc_id, len(list_distinct(t))::bigint as n_content, 0::bigint as n_cjk from (select doc_id, {TOK} as t from documents)
+union all select * from (values (-1::bigint, 5::bigint, 5::bigint), (-2, 1, 0), (-3, 0, 0)) v""")
+def content_token_counts(t: Tables) -> DataFrame:
+    """Distinct content tokens per document, and of literals with function characters and fillers (the tables hold no CJK)."""
+    planted = t.spark.createDataFrame([(-1, "请问 内存 的 管理"), (-2, "根据 redis 的 问题"), (-3, "请问 为什么")], "doc_id long, text string")
+    d = t.documents.select("doc_id", "text").union(planted).select("doc_id", tx.content_tokens(F.col("text")).alias("c"))
+    return d.select("doc_id", F.size("c").cast("long").alias("n_content"), F.size(F.filter("c", lambda x: x.rlike("[一-鿿]"))).cast("long").alias("n_cjk"))
+
+
 @query(r"""select doc_id, len(s)::bigint as n_sentences, list_max(list_transform(s, lambda x: length(x)))::bigint as longest from (
 select doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?；;\n])', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') as s from documents)""")
 def sentence_stats(t: Tables) -> DataFrame:
@@ -309,13 +318,14 @@ def layout_restored(t: Tables) -> DataFrame:
     return r.select("doc_id", "columns_found", "headers_replayed", F.length("text").alias("n_chars"))
 
 
-BROADCAST_ROWS = 100_000
+#: Bytes of snippets that are sent to the documents in one pass.
+BROADCAST_BYTES = 64 << 20
 
 
 def containing(docs: DataFrame, items: DataFrame, text: str, snippet: str) -> DataFrame:
-    """Documents joined with the items whose snippet they contain, one pass over the documents for each block of items of a checked size."""
-    n = items.count()
-    blocks = max(1, -(-n // BROADCAST_ROWS))
+    """Documents joined with the items whose snippet they contain, one pass over the documents for each block of items of a checked size in bytes."""
+    size = items.agg(F.sum(F.octet_length(snippet) + 64)).first()[0] or 0
+    blocks = max(1, -(-size // BROADCAST_BYTES))
     if blocks == 1:
         return docs.join(F.broadcast(items), F.contains(docs[text], items[snippet]))
     out = None
