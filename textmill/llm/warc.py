@@ -89,7 +89,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     total = groups.agg(F.sum("n")).first()[0] or 0
     chosen = bounded_sample(digests.filter(F.col("size") <= SAMPLE_PAYLOAD), SAMPLE_RECORDS, "page", "digest").select("page", "digest").distinct()
     sample = rows.join(F.broadcast(chosen), ["page", "digest"], "left_semi").dropDuplicates(["page", "digest"])
-    texts = sorted(record(r.page, r.url, bytes(r.payload), base64.b32encode(r.digest).decode(), None, False) for r in sample.toLocalIterator())
+    texts = sorted(record(r.page, r.url, bytes(r.payload), base64.b32encode(r.digest).decode(), None, False) for r in sample.collect())  # SAMPLE_RECORDS of SAMPLE_PAYLOAD bytes at most
     dictionary = train_dictionary(texts)
     small = groups.agg(F.count(F.lit(1))).first()[0] <= BROADCAST_GROUPS
     if small:
