@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import random
 
 import pytest
@@ -53,6 +54,36 @@ def test_near_duplicates_keep_the_first_in_order(spark):
     assert got == {1: (True, None), 2: (False, 1), 3: (True, None), 4: (False, 1)}
 
 
+def test_near_pairs_and_totals_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    roots = [rng.getrandbits(63) - (1 << 62) for _ in range(12)] + [0, -1]
+    prints = [(i, rng.choice(roots) ^ sum({1 << rng.randrange(63) for _ in range(rng.randrange(4))})) for i in range(300)]
+    prints += [(300 + i, 0) for i in range(40)]  # many of one fingerprint
+    want = {(a, b, ((x ^ y) & (2**64 - 1)).bit_count()) for a, x in prints for b, y in prints if a < b and ((x ^ y) & (2**64 - 1)).bit_count() <= 3}
+    df = spark.createDataFrame(prints, "doc_id long, fp long")
+    got = dedup.near_pairs(df).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert tuple(dedup.near_totals(df).first()) == (len(want), len({b for _, b, _ in want}))
+    empty = df.filter("doc_id < 0")
+    assert dedup.near_pairs(empty).count() == 0
+    assert tuple(dedup.near_totals(empty).first()) == (0, 0)
+
+
+def test_vector_search_over_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, [float(rng.randrange(-2, 3)) for _ in range(4)]) for i in range(90)] + [(90, [0.0] * 4), (91, None), (92, []), (93, [1.0, 2.0]), (94, [1.0, None, 0.0, 2.0])]
+    monkeypatch.setattr(dense, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(dense, "VECTOR_BLOCK", 7)
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.qid, r.vec_id, r.rnk) for r in dense.vector_top_k(e.filter("vec_id % 9 = 0"), e, 5).collect()}
+    vecs, want = {i: [x or 0.0 for x in v] for i, v in rows if v}, set()
+    norm = lambda v: math.sqrt(sum(x * x for x in v))
+    for q in (i for i in vecs if i % 9 == 0):
+        s = [(-round(sum(x * y for x, y in zip(vecs[q], v)) / (norm(vecs[q]) * norm(v)), 6), i) for i, v in vecs.items() if i != q and len(v) == len(vecs[q]) and norm(v) and norm(vecs[q])]
+        want |= {(q, i, n + 1) for n, (d, i) in enumerate(sorted(s)[:5]) if d < 0}
+    assert got == want
+
+
 def test_neighbours_are_within_one_edit(spark):
     known = spark.createDataFrame([("memory",), ("memoir",), ("redis",)], "term string")
     got = lexical.neighbours(spark.createDataFrame([("memry",), ("redds",), ("x",)], "term string"), known).collect()

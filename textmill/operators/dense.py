@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,13 +15,56 @@ from textmill.functions import text as tx
 from textmill.operators.lexical import small, top_k
 
 DIM = 256
+#: Rows of a block of queries and of a block of vectors.
+QUERY_BLOCK, VECTOR_BLOCK = 512, 2048
+
+
+def blocks(vectors: DataFrame, id_col: str, rows: int) -> DataFrame:
+    """(ids array<long>, m binary): vectors packed into row-major matrices of doubles, ``rows`` to a block at most, all of one length in a block. Rows without a vector are left out."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                ids, vecs = b.column(0).slice(at, rows).to_numpy(zero_copy_only=False), b.column(1).slice(at, rows)
+                sizes = pc.list_value_length(vecs).to_numpy(zero_copy_only=False)
+                whole = vecs.flatten().to_numpy(zero_copy_only=False)
+                for n in np.unique(sizes).tolist():
+                    m = whole[np.repeat(sizes == n, sizes)].astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[sizes == n].tolist()], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
+
+    return vectors.filter("size(embedding) > 0").select(F.col(id_col).cast("long"), F.transform("embedding", lambda v: F.coalesce(v, F.lit(0.0)).cast("double")).alias("v")).mapInArrow(f, "ids array<long>, m binary")
+
+
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, by: str = "vec_id", ident: str = "vec_id", other: bool = True) -> DataFrame:
+    """(qid, ``ident``, score, rnk): exact cosine of a stated query set against all vectors; with ``other``, a vector isn't its own hit.
+
+    Both sides are packed into blocks, a product of matrices scores each two of
+    them, and only what may be among a query's k best of a block goes on. The
+    blocks of the queries are broadcast if their number allows.
+    """
+    q = blocks(queries.select(by, "embedding"), by, QUERY_BLOCK).select(F.col("ids").alias("qids"), F.col("m").alias("q"))
+    pairs = blocks(vectors.select(ident, "embedding"), ident, VECTOR_BLOCK).crossJoin(small(q, 16)).filter("length(q) div size(qids) = length(m) div size(ids)")
+
+    def unit(ids: list[int], raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        m = np.frombuffer(raw).reshape(len(ids), -1)
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.array(ids, np.int64), np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, m = unit(b.column(0)[i].as_py(), b.column(1)[i].as_py())
+                qids, qm = unit(b.column(2)[i].as_py(), b.column(3)[i].as_py())
+                s = qm @ m.T
+                if other:
+                    s[qids[:, None] == ids[None, :]] = -2.0
+                least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(qids), -2.0)
+                # scores are rounded before they are ranked, so what rounding may lift stays
+                r, c = np.nonzero(s >= np.maximum(least - 2e-6, 1e-9)[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(qids[r]), pa.array(ids[c]), pa.array(s[r, c])], names=["qid", ident, "score"])
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(qid, vec_id, score, rnk): exact cosine of a stated query set against all vectors; the query side is broadcast if its count allows."""
-    q = small(queries.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 2000)
-    s = vectors.crossJoin(q).filter("vec_id <> qid").select("qid", "vec_id", F.round(tx.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return top_k(s, k, "qid", "vec_id")
+    scored = pairs.select("ids", "m", "qids", "q").mapInArrow(f, f"qid long, {ident} long, score double")
+    return top_k(scored.withColumn("score", F.round("score", 6)), k, "qid", ident)
 
 
 def hashed_vectors(docs: DataFrame, id_col: str, dim: int = DIM) -> DataFrame:

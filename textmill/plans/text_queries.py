@@ -82,16 +82,16 @@ FIRST = f"f as (select min(doc_id) as doc_id, {HASH} as h from documents group b
 PAIRS = f"with {PRINTS}, {FIRST}, q as (select p.* from p join f using (doc_id)), n as (select x.doc_id as a, y.doc_id as b, bit_count(xor(x.fp, y.fp))::int as distance from q x join q y on x.doc_id < y.doc_id where bit_count(xor(x.fp, y.fp)) <= 3)"
 
 
-def _pairs(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _first_prints(t: Tables) -> DataFrame:
+    """Fingerprints of what is left after exact copies went, made once."""
     docs = t.documents
-    prints = dedup.md5_simhash(docs.join(dedup.exact_first(docs).select("doc_id"), "doc_id", "left_semi"))
-    return prints, dedup.near_pairs(prints)
+    return t.checkpointed(dedup.md5_simhash(docs.join(dedup.exact_first(docs).select("doc_id"), "doc_id", "left_semi")))
 
 
 @query(f"{PAIRS} select a, b, distance from n")
 def near_dup_pairs(t: Tables) -> DataFrame:
     """Pairs of different documents within three bits."""
-    return _pairs(t)[1]
+    return dedup.near_pairs(_first_prints(t))
 
 
 @query(f"{PAIRS} select (select count(*) from documents)::bigint as total, (select count(*) from documents)::bigint - (select count(*) from f)::bigint as exact_dropped, (select count(*) from n)::bigint as near_pairs, (select count(distinct b) from n)::bigint as near_candidates")
@@ -99,14 +99,14 @@ def dedup_report(t: Tables) -> DataFrame:
     """Totals of a dedup run in one row."""
     docs = t.documents
     first = dedup.exact_first(docs).agg(F.sum("copies").alias("total"), F.sum(F.col("copies") - 1).alias("exact_dropped"))
-    return first.crossJoin(_pairs(t)[1].agg(F.count(F.lit(1)).alias("near_pairs"), F.countDistinct("b").alias("near_candidates")))
+    return first.crossJoin(dedup.near_totals(_first_prints(t)))
 
 
 @query()
 def dedup_kept(t: Tables) -> DataFrame:
     """Exact copies and near ones dropped in id order, with what they matched."""
-    prints, pairs = _pairs(t)
-    return dedup.greedy_kept(t.checkpointed(prints.select("doc_id")), t.checkpointed(pairs))
+    prints = _first_prints(t)
+    return dedup.greedy_kept(prints.select("doc_id"), t.checkpointed(dedup.near_pairs(prints)))
 
 
 LET = "[A-Za-zÀ-ɏ一-鿿]"
