@@ -103,6 +103,11 @@ def letter_ratio(text: Column) -> Column:
     return F.when(n > 0, F.regexp_count(text, F.lit(LETTER)) / n).otherwise(F.lit(0.0))
 
 
+def cjk_ratio(text: Column) -> Column:
+    """CJK characters over all characters; 0 for an empty text."""
+    return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(CJK_RUN[:-1])) / F.length(text)).otherwise(F.lit(0.0))
+
+
 def prose_line(line: Column) -> Column:
     """14 characters and more, unstructured, half letters, fewer than two wide gaps, not open-ended."""
     s = F.trim(line)

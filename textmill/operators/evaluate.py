@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,6 +21,58 @@ def case_scores(judged: DataFrame, cases: DataFrame) -> DataFrame:
     return cases.select("item_id").join(g, "item_id", "left").fillna(0.0)
 
 
+#: Metrics of a run: what is averaged, and over which cases. A case without the value isn't counted.
+METRICS = {
+    **{f"recall_at_{k}": (f"recall_{k}", "true") for k in (1, 3, 5, 10)},
+    "mrr": ("mrr", "true"),
+    "ndcg_at_10": ("ndcg", "true"),
+    "source_hit_rate": ("source_hit", "true"),
+    "keyword_coverage": ("keyword_coverage", "true"),
+    "answer_support_rate": ("support", "not abstained"),
+    "answer_coverage": ("coverage", "not abstained"),
+    "abstention_accuracy": ("abstained", "expects_abstention"),
+    "hallucination_rate": ("not abstained", "expects_abstention"),
+    "false_refusal_rate": ("abstained", "must_answer"),
+    "answered_rate": ("not abstained", "true"),
+    "injection_leak_rate": ("leaked", "true"),
+    "avg_steps": ("steps", "true"),
+    "avg_tool_calls": ("tool_calls", "true"),
+    "tool_failure_rate": ("failed_calls > 0", "tool_calls > 0"),
+    "repeated_call_rate": ("repeated_calls > 0", "tool_calls > 0"),
+    "provider_failure_rate": ("failed", "true"),
+    "budget_stop_rate": ("budget_stop", "true"),
+    "latency_mean_ms": ("latency", "latency > 0"),
+    "tokens_mean": ("tokens", "true"),
+}
+PERCENTILES = {"latency_p50_ms": 0.5, "latency_p95_ms": 0.95}
+TAG_METRICS = ("recall_at_5", "mrr", "keyword_coverage", "abstention_accuracy", "false_refusal_rate", "avg_tool_calls")
+
+
+def _metric(name: str) -> Column:
+    """(value, n) of one metric."""
+    if name in PERCENTILES:
+        v = F.when(F.col("latency") > 0, F.col("latency"))
+        return F.struct(F.round(F.percentile(v, F.lit(PERCENTILES[name])), 6).alias("value"), F.count(v).alias("n"))
+    value, eligible = METRICS[name]
+    v = F.when(F.expr(eligible), F.expr(value).cast("double"))
+    return F.struct(F.round(F.avg(v), 6).alias("value"), F.count(v).alias("n"))
+
+
+def run_aggregate(cases: DataFrame) -> DataFrame:
+    """(metric, value, n) of all cases in one aggregate: each metric over its own eligible cases, NULL where there is none."""
+    names = [*METRICS, *PERCENTILES]
+    row = cases.agg(F.array(*(F.struct(F.lit(n).alias("metric"), _metric(n).alias("m")) for n in names)).alias("all"))
+    return row.select(F.explode("all").alias("x")).select("x.metric", "x.m.value", "x.m.n")
+
+
+def tag_aggregate(cases: DataFrame) -> DataFrame:
+    """(tag, metric, value, n) for each tag of ``tags``: seven metrics. The 95th percentile counts every observed case of the tag as eligible, though only positive latencies enter it."""
+    p95 = F.struct(_metric("latency_p95_ms").getField("value").alias("value"), F.count("latency").alias("n"))
+    items = [F.struct(F.lit(n).alias("metric"), _metric(n).alias("m")) for n in TAG_METRICS] + [F.struct(F.lit("latency_p95_ms").alias("metric"), p95.alias("m"))]
+    rows = cases.withColumn("tag", F.explode(F.array_distinct("tags"))).groupBy("tag").agg(F.array(*items).alias("all"))
+    return rows.select("tag", F.explode("all").alias("x")).select("tag", "x.metric", "x.m.value", "x.m.n")
+
+
 def bootstrap(values: DataFrame, rounds: int = 1000) -> DataFrame:
     """One row (mean, low, high): percentile interval of resampled means. Draws are MD5 of round and place modulo n, so any engine can repeat them; values are (idx from 0, v), few per run."""
     n = values.count()

@@ -89,6 +89,39 @@ def tag_slices(t: Tables) -> DataFrame:
     return o.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("support"), 6).alias("support"), F.round(F.percentile(F.when(F.col("latency") > 0, F.col("latency")), F.lit(0.95)), 6).alias("p95"))
 
 
+#: Fields of a case beside its retrieval metrics, from the observation of its number.
+CASE_FIELDS = ["outcome <> 'answered' as abstained", "recall_10 > 0 as must_answer", "recall_10 = 0 as expects_abstention", "support", "latency", "cast(k as double) / 100 as coverage", "case when k % 5 > 0 then (k % 5) / cast(4 as double) end as keyword_coverage", "case when k % 3 > 0 then k % 3 = 1 end as source_hit", "case when k % 4 = 0 then k >= 50 end as leaked", "k % 7 as steps", "k % 4 as tool_calls", "k % 2 as failed_calls", "k % 6 as repeated_calls", "k = 0 as failed", "k >= 90 as budget_stop", "k * 10 as tokens"]
+REPORT = f"{CASES}, {OBS}, cr as (select item_id, recall_1, recall_3, recall_5, recall_10, mrr, ndcg, event_type, {', '.join(CASE_FIELDS)} from cs join ob on ob.case_id = cs.item_id)"
+
+
+def case_report(t: Tables) -> DataFrame:
+    """Passages as cases joined with their retrieval metrics and with the observation of their number."""
+    c = evaluate.case_scores(judged(t), t.benchmark)
+    return c.join(observations(t).withColumnRenamed("case_id", "item_id"), "item_id").selectExpr("item_id", "recall_1", "recall_3", "recall_5", "recall_10", "mrr", "ndcg", "event_type", *CASE_FIELDS)
+
+
+def _metric_sql(name: str, n: str = "") -> str:
+    if name in evaluate.PERCENTILES:
+        value, count = f"quantile_cont(latency, {evaluate.PERCENTILES[name]}) filter (where latency > 0)", n or "count(*) filter (where latency > 0)"
+    else:
+        of, where = evaluate.METRICS[name]
+        value, count = f"avg(({of})::double) filter (where {where})", f"count({of}) filter (where {where})"
+    return f"'{name}' as metric, round({value}, 6) as value, {count}::bigint as n"
+
+
+@query(f"with {REPORT} " + " union all ".join(f"select {_metric_sql(n)} from cr" for n in [*evaluate.METRICS, *evaluate.PERCENTILES]))
+def run_report(t: Tables) -> DataFrame:
+    """The 25 metrics of a run."""
+    return evaluate.run_aggregate(case_report(t))
+
+
+@query(f"with {REPORT}, tg as (select *, unnest([event_type, case when must_answer then 'gold' else 'no_gold' end]) as tag from cr) " + " union all ".join(f"select tag, {_metric_sql(n, 'count(latency)')} from tg group by tag" for n in [*evaluate.TAG_METRICS, "latency_p95_ms"]))
+def tag_report(t: Tables) -> DataFrame:
+    """Seven metrics per tag of the cases."""
+    tags = F.array("event_type", F.when(F.col("must_answer"), "gold").otherwise("no_gold"))
+    return evaluate.tag_aggregate(case_report(t).withColumn("tags", tags))
+
+
 @query("select l.quality, l.toxic, count(*)::bigint as n, round(avg(d.n_chars), 6) as mean_chars, count(distinct d.source)::bigint as sources from documents d join labels l using (doc_id) group by all")
 def label_slices(t: Tables) -> DataFrame:
     """Documents by label."""
@@ -310,6 +343,13 @@ def dataset_increment(t: Tables) -> DataFrame:
     return o.filter("event_type = 'error'").join(o.filter("event_type = 'purchase'").select("run_id", "k").distinct(), ["run_id", "k"], "left_anti").groupBy("run_id", "k").agg(F.min("case_id").alias("case_id"))
 
 
+@query(f"with {OBS} select run_id, k, min(case_id) filter (where event_type = 'purchase') as dataset_case, case when count(*) filter (where event_type = 'purchase') > 0 then min(case_id) filter (where event_type = 'purchase') else min(case_id) end as case_id from ob where event_type in ('purchase', 'error') group by run_id, k")
+def dataset_union(t: Tables) -> DataFrame:
+    """The dataset with its increment: cases of a question that is there already stay, new questions are appended. One aggregate in place of the anti join and the union."""
+    old = F.min(F.when(F.col("event_type") == "purchase", F.col("case_id")))
+    return observations(t).filter("event_type in ('purchase', 'error')").groupBy("run_id", "k").agg(old.alias("dataset_case"), F.coalesce(old, F.min("case_id")).alias("case_id"))
+
+
 @query(f"with {OBS} select case_id, array_to_string(list_filter([case when k >= 40 then 'multi_hop' end, case when outcome <> 'answered' then 'no_knowledge' end], lambda x: x is not null), ',') as tags from ob")
 def tag_guess(t: Tables) -> DataFrame:
     """Guessed tags of new cases."""

@@ -161,6 +161,13 @@ def judge_agreement(t: Tables) -> DataFrame:
     return observations(t).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(agree.cast("int")), 6).alias("agreement"), F.count_if(~agree).alias("disagreements"))
 
 
+@query(f"with {OBS} select case_id, support, round(k / 100, 6) as judged, support >= 0.6 as lexical_ok from ob where (support >= 0.6) <> (k / 100 >= 0.6)")
+def judge_disagreements(t: Tables) -> DataFrame:
+    """The cases on which the lexical verdict and the judge's score differ."""
+    lexical_ok, judged = F.col("support") >= DEFAULT.support_floor, F.col("k") / 100
+    return observations(t).filter(lexical_ok != (judged >= 0.6)).select("case_id", "support", F.round(judged, 6).alias("judged"), lexical_ok.alias("lexical_ok"))
+
+
 @query(f"with {OBS} select count(distinct event_type)::bigint as scenarios, round(avg(case when outcome = 'answered' or k > 0 then 1.0 else 0.0 end), 6) as typed_failure, round(avg(case when support >= 0.3 then 1.0 else 0.0 end), 6) as recovered, count(*) filter (where k = 99)::bigint as crashes from ob")
 def fault_summary(t: Tables) -> DataFrame:
     """Rates of typed failures and recoveries over injected faults, and crashes."""

@@ -109,6 +109,51 @@ def rrf_fusion(t: Tables) -> DataFrame:
     return fused(t).filter("rnk <= 8").select("item_id", "doc_id", "score", "rnk")
 
 
+DENSE_TEXT = VEC.format(id="item_id", tok=TOK, table="benchmark").replace("vt", "qvt").replace("vb", "qvb").replace("vw", "qvw") + ", " + VEC.format(id="doc_id", tok=TOK, table="documents") + """,
+dn as (select qvw.id as item_id, vw.id as doc_id, round(sum(qvw.w * vw.w), 6) as score from qvw join vw using (bucket) group by all),
+de as (select * from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rnk from dn where score > 0) where rnk <= 24)"""
+
+
+def dense_hits(t: Tables, k: int) -> DataFrame:
+    """(item_id, doc_id, score, rnk): documents by the cosine of hashed vectors of whole texts."""
+    q, d = (dense.packed(dense.hashed_vectors(x, i)).withColumnRenamed("id", i) for x, i in ((t.benchmark, "item_id"), (t.documents, "doc_id")))
+    return dense.vector_top_k(q, d, k, "item_id", "doc_id", other=False).withColumnRenamed("qid", "item_id")
+
+
+def search(t: Tables, mode: str, k: int = DEFAULT.top_k) -> DataFrame:
+    """(item_id, doc_id, score, rnk, degraded) of one mode. A single channel keeps its raw scores, hybrid fuses pools of both; without a channel there is a row per passage that says so."""
+    pool = k * DEFAULT.pool_factor
+    if mode == "none":
+        return t.benchmark.select("item_id", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("rnk"), F.lit("NO_CHANNEL_ENABLED").alias("degraded"))
+    if mode not in ("hybrid", "dense", "sparse"):
+        raise ValueError(f"no such mode: {mode}")
+    channels = [f(t, pool).select("item_id", "doc_id", F.col("score").cast("double").alias("score"), "rnk") for name, f in (("dense", dense_hits), ("sparse", hits)) if mode in (name, "hybrid")]
+    ranked = channels[0] if len(channels) == 1 else fuse.rrf(channels[0].unionByName(channels[1]).withColumn("weight", F.lit(1.0)))
+    return ranked.filter(F.col("rnk") <= k).select("item_id", "doc_id", "score", "rnk", F.lit(None).cast("string").alias("degraded"))
+
+
+@query(f"""with {_hits_sql(24)}, {DENSE_TEXT}, hc as (select item_id, doc_id, round(sum(1.0::double / (60 + rnk)), 9) as score from (select item_id, doc_id, rnk from hits union all select item_id, doc_id, rnk from de) group by all),
+hy as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rnk from hc)
+select 'sparse' as mode, item_id, doc_id, score::double as score, rnk::int as rnk, null::varchar as degraded from hits where rnk <= 8 union all select 'dense', item_id, doc_id, score::double, rnk::int, null from de where rnk <= 8 union all select 'hybrid', item_id, doc_id, score::double, rnk::int, null from hy where rnk <= 8
+union all select 'none', item_id, null, null, null, 'NO_CHANNEL_ENABLED' from benchmark""")
+def search_modes(t: Tables) -> DataFrame:
+    """The search in each of its modes."""
+    out = None
+    for mode in ("sparse", "dense", "hybrid", "none"):
+        rows = search(t, mode).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(f"with {_hits_sql(10)}, {OVERLAP}, u as (select item_id, doc_id, score, 1 as agent from hits union all select item_id, doc_id, score, 2 from ov), f as (select * from (select *, row_number() over (partition by item_id, doc_id order by agent) as n from u) where n = 1) select item_id, doc_id, agent::int as agent, score::double as score, row_number() over (partition by item_id order by score desc, doc_id)::int as pos from f")
+def merged_evidence(t: Tables) -> DataFrame:
+    """Evidence of two agents as one list: the first agent's record of a document wins, then by score."""
+    u = hits(t, 10).select("item_id", "doc_id", F.col("score").cast("double").alias("score"), F.lit(1).alias("agent"))
+    u = u.unionByName(overlap_channel(t, 24).select("item_id", "doc_id", F.col("score").cast("double").alias("score"), F.lit(2).alias("agent")))
+    first = u.groupBy("item_id", "doc_id").agg(F.min("agent").alias("agent"), F.min_by("score", "agent").alias("score"))
+    return first.withColumn("pos", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")))
+
+
 @query(f"with {_hits_sql(10)} select item_id, doc_id, round(case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 1.0 end, 6) as norm from hits window w as (partition by item_id)")
 def minmax_scores(t: Tables) -> DataFrame:
     """Scores of the hits from 0 to 1."""

@@ -175,6 +175,18 @@ def budget_settlement(t: Tables) -> DataFrame:
     return t.events.select("user_id", "event_id", F.round(used, 6).alias("used"), (used > 500).alias("over"))
 
 
+#: Tokens set aside for a prompt before it is sent.
+RESERVED = "case when length(text) > 0 then greatest(1, cast(floor(length(text) / 1.6e0) as bigint)) + 8 else 0 end"
+
+
+@query(f"select conv_id, frozen, used, calls, greatest(frozen - used, 0) as remaining, used > 200 as over_budget from (select conv_id, coalesce(sum({RESERVED}) filter (where role = 'user'), 0)::bigint as frozen, coalesce(sum(length(text) // 2) filter (where role = 'assistant'), 0)::bigint as used, count(*) filter (where role = 'user')::bigint as calls from conversations group by conv_id)")
+def settlements(t: Tables) -> DataFrame:
+    """Tokens set aside and used per conversation, what of them is left, and whether the budget of 200 is exceeded. Used are two characters of an answer a token."""
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    g = t.conversations.groupBy("conv_id").agg(F.coalesce(F.sum(F.when(user, F.expr(RESERVED))), F.lit(0)).alias("frozen"), F.coalesce(F.sum(F.when(reply, F.expr("length(text) div 2"))), F.lit(0)).alias("used"), F.count_if(user).alias("calls"))
+    return g.select("conv_id", "frozen", "used", "calls", F.greatest(F.col("frozen") - F.col("used"), F.lit(0)).alias("remaining"), (F.col("used") > 200).alias("over_budget"))
+
+
 @query("""with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as r from events),
 g as (select user_id, event_id, value, r, value <= 300 as admitted, case when value <= 300 then round(value, 6) else 0.0 end as used from o where r = 1 union all
 select o.user_id, o.event_id, o.value, o.r, g.used + o.value <= 300, case when g.used + o.value <= 300 then round(g.used + o.value, 6) else g.used end from g join o on o.user_id = g.user_id and o.r = g.r + 1)

@@ -122,6 +122,14 @@ PROSE = rf"length(s) >= 14 and not regexp_matches(s, '^(?:#{{1,6}} |[-*+•] |\d
 LINES = "l as (select doc_id, i as n, trim(x) as s from (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as i from documents))"
 
 
+@query("select id, round(case when length(text) > 0 then len(regexp_extract_all(text, '[一-鿿]')) / length(text) else 0 end, 6) as ratio from (select doc_id as id, text from documents where length(text) > 0 union all select -1 - doc_id, '第' || doc_id || '章 ' || source from documents) where text is not null")
+def cjk_share(t: Tables) -> DataFrame:
+    """Share of CJK characters in texts, and in headings made from their number and source (the table has no such text)."""
+    heading = t.documents.select((-1 - F.col("doc_id")).alias("id"), F.concat(F.lit("第"), F.col("doc_id").cast("string"), F.lit("章 "), "source").alias("text")).filter("text is not null")
+    both = t.documents.filter("length(text) > 0").select(F.col("doc_id").alias("id"), "text").unionByName(heading)
+    return both.select("id", F.round(tx.cjk_ratio(F.col("text")), 6).alias("ratio"))
+
+
 @query(f"with {LINES} select doc_id, count(*)::bigint as lines, count(*) filter (where {PROSE})::bigint as prose from l where s <> '' group by doc_id")
 def prose_lines(t: Tables) -> DataFrame:
     """Lines that read as prose."""
