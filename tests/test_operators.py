@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
 from textmill.functions.tools import calculate, schema_problems
-from textmill.operators import dedup, dense, layout, lexical, models, split, state
+from textmill.operators import dedup, dense, evaluate, layout, lexical, models, split, state
 from textmill.plans.catalog import QUERIES
 from textmill.sources import files
 from textmill.streaming import twins
@@ -54,6 +54,26 @@ def test_near_duplicates_keep_the_first_in_order(spark):
     assert got == {1: (True, None), 2: (False, 1), 3: (True, None), 4: (False, 1)}
 
 
+def test_run_metrics_count_eligible_cases_only(spark):
+    base = dict(recall_1=1.0, recall_3=1.0, recall_5=1.0, recall_10=1.0, mrr=1.0, ndcg=1.0, source_hit=True, keyword_coverage=0.5, support=0.8, coverage=0.9, abstained=False, expects_abstention=False, must_answer=True, leaked=None, steps=2, tool_calls=1, failed_calls=1, repeated_calls=0, failed=False, budget_stop=False, latency=10.0, tokens=100, tags=["a", "b", "a"])
+    refused = base | dict(recall_5=0.0, source_hit=None, keyword_coverage=None, support=0.0, abstained=True, must_answer=True, tool_calls=0, latency=0.0, tags=["a"])
+    no_gold = base | dict(expects_abstention=True, must_answer=False, abstained=False, leaked=True, failed_calls=0, latency=30.0, tags=[])
+    types = "recall_1 double, recall_3 double, recall_5 double, recall_10 double, mrr double, ndcg double, source_hit boolean, keyword_coverage double, support double, coverage double, abstained boolean, expects_abstention boolean, must_answer boolean, leaked boolean, steps int, tool_calls int, failed_calls int, repeated_calls int, failed boolean, budget_stop boolean, latency double, tokens int, tags array<string>"
+    cases = spark.createDataFrame([tuple(x.values()) for x in (base, refused, no_gold)], types)
+    got = {r.metric: (r.value, r.n) for r in evaluate.run_aggregate(cases).collect()}
+    assert len(got) == 25
+    assert got["recall_at_5"] == (round(2 / 3, 6), 3) and got["source_hit_rate"] == (1.0, 2)
+    assert got["answer_support_rate"] == (0.8, 2) and got["false_refusal_rate"] == (0.5, 2)
+    assert got["abstention_accuracy"] == (0.0, 1) and got["hallucination_rate"] == (1.0, 1)
+    assert got["injection_leak_rate"] == (1.0, 1) and got["tool_failure_rate"] == (0.5, 2)
+    assert got["latency_p50_ms"] == (20.0, 2) and got["latency_mean_ms"] == (20.0, 2)
+    tags = {(r.tag, r.metric): (r.value, r.n) for r in evaluate.tag_aggregate(cases).collect()}
+    assert len(tags) == 14 and tags["a", "recall_at_5"] == (0.5, 2) and tags["b", "abstention_accuracy"] == (None, 0)
+    assert tags["a", "latency_p95_ms"] == (10.0, 2)  # both count, one latency is positive
+    none = {r.metric: (r.value, r.n) for r in evaluate.run_aggregate(cases.filter("false")).collect()}
+    assert len(none) == 25 and set(none.values()) == {(None, 0)}
+
+
 def test_near_pairs_and_totals_are_those_of_all_pairs(spark):
     rng = random.Random(3)
     roots = [rng.getrandbits(63) - (1 << 62) for _ in range(12)] + [0, -1]
