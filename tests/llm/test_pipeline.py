@@ -16,7 +16,7 @@ def test_stages_keep_the_columns_and_run_whole(spark, sf):
 
 def test_all_queries_are_registered():
     names = set(queries.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {n.partition("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.partition("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
 
 
 def test_decontamination_against_sql(spark, sf):
