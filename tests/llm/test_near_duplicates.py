@@ -145,3 +145,55 @@ def test_sample_is_the_same_in_every_partitioning(spark):
     df = spark.range(5000).selectExpr("id", "id % 7 as v")
     got = [sorted(r.id for r in bounded_sample(df.repartition(n), 100, "id").collect()) for n in (1, 3, 8)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 100
+
+
+def test_rows_of_one_id_are_decided_by_their_texts(spark):
+    one, other = "one text that nothing else repeats", "quite another document that shares nothing with the first one at all"
+    docs = spark.createDataFrame([(5, None, "a"), (5, None, "b"), (9, one, "x"), (9, other, "y"), (None, one, "z"), (None, "third words of no id", "n"), (None, "third words of no id", "m"), (3, "third words of no id", "k")], "doc_id long, text string, n string")
+    got = {tuple(r) for r in drop_near_duplicates(docs).collect()}
+    assert got == {(5, None, "a"), (9, one, "x"), (9, other, "y"), (3, "third words of no id", "k")}
+    assert [tuple(r) for r in drop_near_duplicates(docs.filter("doc_id is null")).filter("n <> 'z'").collect()] == [(None, "third words of no id", "m")]
+
+
+def mixed_corpus():
+    """Families of near copies of several sizes and similarities, exact and blank copies, repeated ids, nulls."""
+    r = np.random.default_rng(11)
+    some = lambda n: [f"w{x}" for x in r.integers(0, 5000, n)]
+    out = []
+    for _ in range(25):
+        base = some(int(r.integers(30, 300)))
+        out.append(" ".join(base))
+        for _ in range(int(r.integers(0, 6))):
+            ws = list(base)
+            for at in r.integers(0, len(ws), int(r.integers(0, max(2, len(ws) // 20)))):
+                ws[at] = f"x{int(r.integers(0, 9999))}"
+            out.append(" ".join(ws))
+    out += [" ".join(some(int(r.integers(1, 60)))) for _ in range(80)] + ["", None, " \n", "A b", "a  B"]
+    rows = [(i // 2 if i % 17 == 0 else i if i % 23 else None, t, i) for i, t in enumerate(out)]
+    return [rows[i] for i in r.permutation(len(rows))]
+
+
+def test_near_dedup_by_definition(spark):
+    """Every pair that is linked reaches the similarity, nine of ten that reach it are found, and exactly one row of each group stays."""
+    rows = mixed_corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(4)
+    sets = {n: set(shingles(words(t), 5)) for _, t, n in rows}
+    similar = lambda a, b: (not sets[a] and not sets[b]) or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    ns = [n for _, _, n in rows]
+    pairs = [(a, b) for i, a in enumerate(ns) for b in ns[:i] if similar(a, b)]
+    want = union_find(ns, pairs)
+    kept = {r.n for r in drop_near_duplicates(docs).collect()}
+    groups = {}
+    for n in ns:
+        groups.setdefault(want[n], set()).add(n)
+    assert all(kept & g for g in groups.values()), "a group lost all its documents"
+    right = sum(len(kept & g) == 1 for g in groups.values() if len(g) > 1)
+    assert right >= 0.9 * sum(len(g) > 1 for g in groups.values())
+    of = {n: (i, t) for i, t, n in rows}
+    for g in groups.values():
+        if len(kept & g) == 1:
+            i, _ = of[next(iter(kept & g))]
+            ids = [of[n][0] for n in g if of[n][0] is not None]
+            assert i == min(ids, default=None)
+    again = {r.n for r in drop_near_duplicates(docs.repartition(7)).collect()}
+    assert again == kept

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -51,21 +51,27 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFra
     return by_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), f, "doc_id long, sig array<long>")
 
 
+def raw_key(text: Column) -> Column:
+    """MD5 of a text; that of the empty one for null."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def word_signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc_id, text_key of the sequence of words, sig of four words, sketch): word-set SimHash, and a bottom sketch of k-word shingles for verification."""
+    """(doc_id, raw key of the text, text_key of the sequence of words, sig of four words, sketch): word-set SimHash, and a bottom sketch of k-word shingles for verification."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sign = WordSignatures()
         for b in batches:
             sigs, sketches, keys = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 ws = words(t)
                 keys.append(hashlib.md5(b" ".join(ws)).digest())
                 sigs.append(sign(ws).astype(SIGNED).tolist())
                 sketches.append(bottom_sketch(hashes(shingles(ws, k)), SKETCH).astype(SIGNED).tolist())
-            yield rows_out({"doc_id": (pa.int64(), b.column(0).to_pylist()), "text_key": (pa.binary(), keys), "sig": (pa.list_(pa.int64()), sigs), "sketch": (pa.list_(pa.int64()), sketches)})
+            yield rows_out({"doc_id": (pa.int64(), b.column(0).to_pylist()), "raw": (pa.binary(), b.column(1).to_pylist()), "text_key": (pa.binary(), keys), "sig": (pa.list_(pa.int64()), sigs), "sketch": (pa.list_(pa.int64()), sketches)})
 
-    return by_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), f, "doc_id long, text_key binary, sig array<long>, sketch array<long>")
+    text = docs[text_col].cast("string")
+    return by_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), raw_key(text).alias("raw"), text.alias("text")), f, "doc_id long, raw binary, text_key binary, sig array<long>, sketch array<long>")
 
 
 def _with_variants(rows: DataFrame, pieces: int, width: int) -> DataFrame:
@@ -217,27 +223,27 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return joined(prints, of, "sig", of.agg(F.sum("n")).first()[0] or 0).select("doc_id", F.lpad(F.lower(F.hex(F.col("sig")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, distance: int = 26) -> DataFrame:
-    """(doc_id, group_id) per row: groups of near copies, group_id being the least doc_id of the group.
+#: What the first document of a group or of equal texts is chosen by: the least id, nulls last, then the text's key.
+FIRST = "struct(doc_id is null as none, doc_id, raw)"
 
-    Candidates come from 256-bit word-set signatures in eight segments: all pairs
-    within 15 bits, and those up to ``distance`` with the chance that one of
-    eight segments differs by at most one bit. Links of the spanning forest are
-    verified on k-word shingles (bottom sketches of 256 hashes, exact for texts
-    of at most that many shingles) against the similarity; where one fails, all
-    pairs within the distance of what the forest connects there are verified. Equal texts always
-    share a group; blank and null texts count as equal.
-    """
+
+def _first_of_groups(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: float, distance: int) -> DataFrame:
+    """(doc_id, raw, first) per row: the document that its group keeps, as a struct of ``FIRST``."""
     signed = written(word_signatures(docs, id_col, text_col, k), "signatures")
-    nodes = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig"), F.count(F.lit(1)).alias("n")).filter("id is not null")
-    counted = written(nodes, "nodes")
-    nodes = counted.drop("n")
+    equal = signed.groupBy("text_key").agg(F.min(F.expr(FIRST)).alias("first"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
+    # numbers in the order of the keys: what is least or comes first doesn't depend on the partitioning
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = written(equal.repartitionByRange(parts, "text_key").sortWithinPartitions("text_key").withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = counted.select("id", "sig")
     # one node of each signature goes through the buckets; the others are linked to it
     first = nodes.groupBy("sig").agg(F.min("id").alias("id"))
     same = nodes.join(first.withColumnRenamed("id", "b"), "sig").filter("id <> b").select(F.col("id").alias("a"), "b")
-    links = bucket_links(first, 8, distance).union(same)
-    sketch = signed.select("doc_id", "sketch").join(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pairs = links.join(sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("y")), "b")
+    links = written(bucket_links(first, 8, distance).union(same), "links")
+    # the sketch of a node is that of its first document
+    linked = counted.join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", F.col("first.doc_id").alias("of_id"), F.col("first.raw").alias("of_raw"))
+    sketch = signed.select("doc_id", "raw", "sketch").join(linked, F.col("raw").eqNullSafe(F.col("of_raw")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).groupBy("id").agg(F.first("sketch").alias("sketch"))
+    sketch = written(sketch, "sketches")
+    pairs = links.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,20 +258,46 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         part = written(connected_components(tested), "parts")
         again = part.join(part.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct(), "component", "left_semi")
         again = again.join(again.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").select(F.col("component").alias("part"), "n", F.col("node").alias("id"))
-        members = again.join(nodes.select("id", "sig"), "id").join(sketch.withColumnRenamed("doc_id", "id"), "id")
+        members = again.join(nodes, "id").join(sketch, "id")
         near = near.union(_similar_links(members, distance, similarity))
-    parts = connected_components(near)
-    of = written(counted.join(parts, counted.id == parts.node, "left").select("text_key", "n", F.coalesce("component", "id").alias("group_id")), "groups")
-    return joined(signed.select("doc_id", "text_key"), of, "text_key", of.agg(F.sum("n")).first()[0] or 0).select("doc_id", "group_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
-    """The documents, one of each group of near copies: the one with the least id. Columns stay as they are; rows with a null id stay, repeated rows become one."""
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    gone = groups.filter("doc_id <> group_id").select("doc_id").distinct()
-    twice = groups.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    marks = gone.withColumn("mark", F.lit(1)).unionByName(twice.join(gone, "doc_id", "left_anti").withColumn("mark", F.lit(2)))
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    marked = rows.join(marks, "doc_id", "left").filter("mark is null or mark = 2")
-    single = marked.filter("mark is null").select("row.*")
-    return single.unionByName(marked.filter("mark = 2").groupBy("doc_id").agg(F.min_by("row", F.col("row").getField(text_col)).alias("row")).select("row.*"))
+    groups = counted.join(connected_components(near).withColumnRenamed("node", "id"), "id", "left").select("text_key", "n", "first", "component")
+    groups = written(groups, "groups")
+    heads = groups.filter("component is not null").groupBy("component").agg(F.min("first").alias("head"))
+    of = groups.join(heads, "component", "left").select("text_key", "n", F.coalesce("head", "first").alias("first"))
+    return joined(signed.select("doc_id", "raw", "text_key"), written(of, "firsts"), "text_key", groups.agg(F.sum("n")).first()[0] or 0).select("doc_id", "raw", "first")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, distance: int = 26) -> DataFrame:
+    """(doc_id, group_id) per row: groups of near copies, group_id being the least doc_id of the group.
+
+    Candidates come from 256-bit word-set signatures in eight segments: all pairs
+    within 15 bits, and those up to ``distance`` with the chance that one of
+    eight segments differs by at most one bit. Links of the spanning forest are
+    verified on k-word shingles (bottom sketches of 256 hashes, exact for texts
+    of at most that many shingles) against the similarity; where one fails, all
+    pairs within the distance of what the forest connects there are verified.
+    Equal texts always share a group; blank and null texts count as equal. Rows
+    of one id with different texts are different documents. Null ids are
+    documents like others; group_id is null where all of a group are.
+    """
+    return _first_of_groups(docs, id_col, text_col, k, similarity, distance).select("doc_id", F.col("first.doc_id").alias("group_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, distance: int = 26) -> DataFrame:
+    """The documents, one of each group of near copies, all columns as they are.
+
+    The one that stays has the least id of its group (null ids come last), of
+    several texts of that id the one with the least MD5, and of rows that repeat
+    both the one that compares least by its other columns. Rows of one id with
+    different texts are decided apart. Rules as for ``near_duplicate_groups``.
+    """
+    groups = _first_of_groups(docs, id_col, text_col, k, similarity, distance)
+    stays = groups.filter("doc_id <=> first.doc_id and raw = first.raw").groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("n"))
+    stays = written(stays.select(F.col("doc_id").alias("i"), F.col("raw").alias("k"), "n"), "stays")
+    rows = docs.select(docs[id_col].cast("long").alias("i"), raw_key(docs[text_col].cast("string")).alias("k"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    on = lambda a, b: a["i"].eqNullSafe(b["i"]) & (a["k"] == b["k"])
+    once, many = stays.filter("n = 1"), stays.filter("n > 1")
+    single = rows.join(once, on(rows, once), "left_semi").select("row.*")
+    repeated = rows.join(many, on(rows, many), "left_semi")
+    order = F.struct(F.to_json("row"), F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")))
+    return single.unionByName(repeated.groupBy("i", "k").agg(F.min_by("row", order).alias("row")).select("row.*"))
