@@ -58,7 +58,7 @@ def may_go(texts, least=25):
 
 def check_line_dedup(spark, texts):
     docs = spark.createDataFrame(rows(texts), SCHEMA)
-    runs = {r.d: {w for x in r.runs for w in range(x.a - 1, x.e)} for r in repeated_runs(docs).collect()}
+    runs = {r.d: {w for x in r.runs for w in range(x.a - 1, x.e)} for r in repeated_runs(docs)[0].collect()}
     got = {r.doc_id: r for r in drop_repeated_lines(docs, counts=True).collect()}
     low, high = must_go(texts), may_go(texts)
     assert len(got) == len(texts)
@@ -108,17 +108,38 @@ def test_runs_of_frequent_lines_are_found(spark):
     assert all(x in got[110].text for x in four) and not any(x in got[110 + i].text for x in four for i in range(1, 20))
 
 
-def test_passages_pasted_into_lines(spark, monkeypatch):
-    import textmill.llm.line_dedup as module
-
+def test_passages_pasted_into_lines(spark):
     r = random.Random(5)
     passages = [words(r, 60), words(r, 55) + ".", ". ".join(words(r, 13) for _ in range(4)) + ".", words(r, 35) + ". " + words(r, 20)]
     texts = [(100 * k + i, words(r, 30) + " " + p + " " + words(r, 30)) for k, p in enumerate(passages) for i in range(12)]
     got = check_line_dedup(spark, texts)
     assert all(got[i].removed_words >= 25 for i, _ in texts if i % 100)
-    # frequent fingerprints take the other way with the same result
-    monkeypatch.setattr(module, "HOT", 3)
-    assert {i: x.text for i, x in check_line_dedup(spark, texts).items()} == {i: x.text for i, x in got.items()}
+
+
+def test_texts_of_one_id_are_told_apart(spark, monkeypatch):
+    """Null and repeated ids: only what repeats goes, also where hashes of texts or of words collide."""
+    import textmill.llm.line_dedup as module
+
+    r = random.Random(23)
+    run = words(r, 40)
+    texts = [(i, f"{words(r, 5)}\n{run if k == 3 else words(r, 40)}\n{words(r, 5)}") for i in (None, 4) for k in range(30)] + [(1, run)]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    want = [(i, t, 41 if run in t else 0) for i, t in texts]
+    # the first is that of the null id; the others lose the run's 40 words
+    gone = lambda: sorted((str(x.doc_id), x.removed_words) for x in drop_repeated_lines(docs, counts=True).collect() if x.removed_words)
+    assert gone() == [("1", 40), ("4", 40)] and len(want) == 61
+    # eight values for all texts at first, and four for all words
+    monkeypatch.setattr(module, "_text_hash", lambda text, seed: module.F.expr(f"xxhash64({text}, {seed}L)" + (" % 8" if 0 <= seed < 2 else "")))
+    assert gone() == [("1", 40), ("4", 40)]
+    monkeypatch.setattr(module, "STEPS", (("w", "transform(t, x -> xxhash64(x) % 4)"), *module.STEPS[1:]))
+    kept = {x.text for x in drop_repeated_lines(docs).collect()}
+    assert all(t in kept for _, t in texts if run not in t)
+
+
+def test_repeated_rows_are_treated_alike(spark):
+    line = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame(rows([(7, line), (7, line), (8, line), (None, line), (None, line), (9, None), (9, "")]), SCHEMA)
+    assert sorted(((x.doc_id, x.text) for x in drop_repeated_lines(docs).collect()), key=str) == sorted([(7, ""), (7, ""), (8, ""), (None, line), (None, line), (9, None), (9, "")], key=str)
 
 
 def test_line_dedup_with_names_of_its_own(spark):
