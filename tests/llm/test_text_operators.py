@@ -7,10 +7,10 @@ import re
 import pytest
 
 from tests.llm.conftest import SCHEMA, rows, words
-from textmill.llm.decontaminate import contained_items, drop_contaminated, shingle_set
+from textmill.llm.decontaminate import cleaned, contained_items, drop_contaminated, shingle_set
 from textmill.llm.line_dedup import drop_repeated_lines, repeated_runs
 from textmill.llm.pii import KINDS, TOKEN, Field, base_spans, find, luhn, pii_table, synthetic, trained
-from textmill.llm.toxicity import Automaton, Lexicon, Scorer, allowed, drop_toxic, learn_toxicity, score_toxicity
+from textmill.llm.toxicity import QUOTES, Automaton, Lexicon, Scorer, allowed, drop_toxic, learn_toxicity, score_toxicity
 
 
 def line_words(text):
@@ -214,6 +214,48 @@ def test_quotation_counts_apart():
     assert open_ > 0.5 > quoted and none < 0.5
 
 
+MARKS = ["\u2014", "\u2013", "\u2026", "\u00a0", "\u202f", "\u3000", "\u2019", "\u00bf", "\u00a1", "\u3002", "\u2022"]
+
+
+def test_words_between_typographic_marks():
+    s = Scorer(Lexicon(["idiot"], [3.0], [False], [-1.0, 2.0, 0, 0, -1.0, 0]))
+    hits = lambda t: next(iter(s.features([t])))[1:5].tolist()
+    bare, quoted = hits("you idiot there"), hits('you "idiot" there')
+    assert bare[0] > 0 and quoted[0] == 0 and quoted[3] > 0
+    for m in MARKS:
+        assert hits(f"you {m}idiot{m} there") == bare and hits(f"you{m}idiot there") == bare, m
+    for a in QUOTES:
+        for b in QUOTES:
+            assert hits(f"you {a}idiot{b} there") == quoted, (a, b)
+    assert hits("you id\u200biot\u00ad there") == bare and hits("you idi0t there") == bare and hits("you 1d10t5 7h3re")[:2] == [0, 0]
+    assert hits("you 2024 3 a1b there")[:2] == [0, 0] and hits("") == [0, 0, 0, 0]
+    long = "table " * 400_000 + "idiot \u2014 " + "table\u2014" * 100_000
+    assert hits(long)[0] == bare[0]
+
+
+def test_items_are_found_across_typographic_marks(spark):
+    r = random.Random(12)
+    item = [f"w{r.randint(0, 10**6)}" for _ in range(14)]
+    texts = [(i, "x y z " + " ".join(item[:7]) + m + " ".join(item[7:]) + " end") for i, m in enumerate([" ", *MARKS, *QUOTES, " \u200b", "\u00ad "])]
+    texts += [(90, " ".join(w[:2] + "\u200b" + w[2:] for w in item)), (91, " ".join(item[:5])), (92, None)]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "\u2014 \u2026"), (3, "e\u0301t\u00e9 " * 3)], "item_id long, text string")
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    got = {(x.doc_id, x.item_id, x.n_common) for x in contained_items(docs, bench).collect()}
+    assert got == {(i, 1, 10) for i, _ in texts if i < 91}
+    assert sorted(x.doc_id for x in drop_contaminated(docs, bench).collect()) == [91, 92]
+    assert cleaned("A\u2014B\u0301\u00ad c\u00b2") == "a b\u0301 c\u00b2".encode()
+
+
+def test_learning_takes_one_text_of_an_id(spark):
+    docs = spark.createDataFrame(rows([(i % 40, f"text {i} idiot{'s' if i % 40 < 20 else ''} more {i * 7}") for i in range(400)] + [(None, None), (1, None)]), SCHEMA)
+    labels = spark.createDataFrame([(i, 1, int(i < 20)) for i in range(40)] + [(3, 1, 0), (None, 1, 1), (4, 1, 7)], "doc_id long, quality int, toxic int")
+    lexicon = learn_toxicity(docs, labels)
+    assert lexicon.coef and all(map(lambda v: v == v, lexicon.coef))
+    assert score_toxicity(docs, lexicon).count() == 402 and drop_toxic(docs, lexicon).columns == docs.columns
+    none = learn_toxicity(docs, labels.limit(0))
+    assert drop_toxic(docs, none).count() in (0, 402) and none.terms == []
+
+
 def test_toxicity_on_held_out_rows(spark, odd_docs, odd_texts, no_docs):
     at = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")

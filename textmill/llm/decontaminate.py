@@ -22,6 +22,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,20 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 BLOCK = 20_000
 STEP = np.uint64(0xD6E8FEB86659FD93)
-#: Bytes of words: letters, digits and everything beyond ASCII.
+#: Bytes of words in what ``cleaned`` returns: letters and digits, and everything beyond ASCII.
 WORD = np.array([b > 127 or chr(b).isalnum() for b in range(256)])
 
 
+#: Beyond ASCII, what shows nothing goes, and what is no letter, mark or number parts words.
+HIDDEN, BORDER = regex.compile(r"\p{Cf}"), regex.compile(r"[^\x00-\x7f\p{L}\p{M}\p{N}]")
+
+
+def cleaned(text: str) -> bytes:
+    """Lower-cased UTF-8 in which only word characters are beyond ASCII."""
+    text = text.lower()
+    return (text if text.isascii() else BORDER.sub(" ", HIDDEN.sub("", text))).encode("utf-8", "surrogatepass")
+
+
 def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words of lower-cased UTF-8."""
     w = np.concatenate(([False], WORD[np.frombuffer(data, np.uint8)], [False]))
@@ -66,7 +77,7 @@ class ItemTable:
         self.shingles: dict[int, tuple[int, set[bytes]]] = {}
         rows: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for n, (_, text) in enumerate(items):
-            data = text.lower().encode("utf-8", "surrogatepass")
+            data = cleaned(text)
             length = min(k, len(word_spans(data)[0]))
             if not length:
                 continue
@@ -87,7 +98,7 @@ class ItemTable:
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, shingles of the item in the text, shingles of the item) of every contained item."""
         place = 0
-        for part in batches_of([t.lower().encode("utf-8", "surrogatepass") for t in texts]):
+        for part in batches_of([cleaned(t) for t in texts]):
             data = b"\n".join(part) + b"\n"
             starts, ends = word_spans(data)
             first = np.searchsorted(starts, np.concatenate(([0], np.cumsum([len(t) + 1 for t in part]))))
@@ -145,8 +156,9 @@ def _loaded(path: str, k: int, containment: float) -> tuple[ItemTable, list[int]
 def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_common, n_shingles) of every document and item it contains.
 
-    Words are runs of letters, digits and non-ASCII characters of the lower-cased
-    text. An item is contained if the document has at least that share of its
+    Words are runs of letters, combining marks and numbers of the lower-cased text
+    without characters that show nothing, so dashes, quotes and blanks of any kind
+    part them. An item is contained if the document has at least that share of its
     distinct k-word shingles; items of fewer words are one shingle of all their
     words; items without words are never contained. Null and empty texts contain
     nothing. Repeated rows repeat their matches. Other columns are ignored.
@@ -169,7 +181,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", k: int = SHINGLE, containment: float = CONTAINMENT) -> DataFrame:
-    """The documents that contain no item, all columns as they are; rules as for ``contained_items``. No shuffle."""
+    """The documents that contain no item, all columns as they are; rules as for ``contained_items``: null and empty texts stay, repeated rows and rows of one id are decided by their texts. No shuffle."""
     for path in _blocks(items, item_col, item_text):
         at = docs.columns.index(text_col)
 

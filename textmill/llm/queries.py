@@ -119,8 +119,8 @@ def queries() -> dict[str, Query]:
 
 #: Exact containment by brute force: every distinct shingle of an item against every distinct shingle of a document.
 OP7_SQL = r"""
-with d as (select doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') as w from documents),
-b as (select item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') as w from benchmark),
+with d as (select doc_id, regexp_extract_all(regexp_replace(lower(text), '\p{Cf}', '', 'g'), '[\p{L}\p{M}\p{N}]+') as w from documents),
+b as (select item_id, regexp_extract_all(regexp_replace(lower(text), '\p{Cf}', '', 'g'), '[\p{L}\p{M}\p{N}]+') as w from benchmark),
 items as (select item_id, w, least(5, len(w)) as k from b where len(w) > 0),
 own as (select distinct item_id, k, array_to_string(w[i : i + k - 1], ' ') as s from (select item_id, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from items)),
 sizes as (select item_id, count(*) as n from own group by item_id),

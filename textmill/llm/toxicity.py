@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,17 @@ QUOTES = '"“”«»„'
 REPORTING = {"said", "says", "wrote", "quote", "quoted", "quoting", "word", "words", "term", "called", "dit", "mot", "sagte", "wort", "dijo", "palabra"}
 LETTER = np.array([b > 127 or chr(b).isalpha() for b in range(256)])
 WORDS = re.compile(r"[^\W\d_]+")
+#: Characters beyond ASCII that are no letters; those that show nothing; digits and signs that stand for letters inside words.
+MARKS, HIDDEN, LEET = re.compile(r"[^\w\x00-\x7f]|(?![\x00-\x7f])\d"), regex.compile(r"\p{Cf}"), re.compile(r"[013457$](?=[^\W\d_])")
+LETTERS = dict(zip("013457$", "oieasts"))
+
+
+def plain(text: str) -> str:
+    """Lower-cased, without characters that show nothing, quotation marks as ``"`` and other marks beyond ASCII as blanks, single digits between letters as the letters that they look like."""
+    text = text.lower()
+    if not text.isascii():
+        text = MARKS.sub(lambda m: '"' if m[0] in QUOTES else " ", HIDDEN.sub("", text))
+    return LEET.sub(lambda m: LETTERS[m[0]] if m.start() and WORDS.match(text, m.start() - 1) else m[0], text)
 
 
 @dataclass
@@ -173,7 +185,7 @@ class Scorer:
 
     def features(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Constant, exact hits, hits with an error, densest window, quoted hits, hits per root of the length."""
-        for part in batches_of([t.lower().encode("utf-8", "surrogatepass") for t in texts]):
+        for part in batches_of([plain(t).encode("utf-8", "surrogatepass") for t in texts]):
             data = b"\n".join(part) + b"\n"
             is_letter = np.concatenate(([False], LETTER[np.frombuffer(data, np.uint8)], [False]))
             starts, ends = np.flatnonzero(is_letter[1:] & ~is_letter[:-1]), np.flatnonzero(~is_letter[1:] & is_letter[:-1])
@@ -227,7 +239,7 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
         for b in batches:
             for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = WORDS.findall((text or "").lower())
+                words = WORDS.findall(plain(text or ""))
                 around = ["", *words, ""]
                 seen: dict[str, int] = defaultdict(int)
                 for i, w in enumerate(words):
@@ -308,13 +320,18 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) ->
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Lexicon:
-    """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0; at most ``sample`` rows of each class, chosen by hash."""
+    """Learns from labelled rows whose crc32(id as text) mod 5 isn't 0; at most ``sample`` ids of each class, chosen by hash.
+
+    Labels that disagree count as toxic. Of several texts of an id, the least
+    counts, null ones last; null ids and labels that aren't 0 or 1 don't. Without
+    rows of both classes no text is toxic beyond the share of the toxic class.
+    """
     rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1) and crc32(cast(id as string)) % 5 <> 0").groupBy("id").agg(F.max("toxic").alias("toxic"))
     part = [bounded_sample(rows.filter(F.col("toxic") == c), sample, "id") for c in (0, 1)]
     chosen = part[0].union(part[1])
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # at most 2 x sample rows of two numbers, so the broadcast is bounded
-    train = written(texts.join(F.broadcast(chosen), "id").select("text", "toxic"), "toxicity-sample")
+    train = written(texts.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic"), "toxicity-sample")
     sizes = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
     if not n_pos or not n_neg:
@@ -335,7 +352,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) per row. Null and empty texts get the score of a text without hits; a null id isn't held out."""
+    """(doc_id, held_out, score, predicted) per row. Words are runs of letters of ``plain`` texts, of any length. Null and empty texts get the score of a text without hits; a null id isn't held out; repeated rows score alike. Other columns are ignored."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lexicon)
@@ -348,7 +365,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", te
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """The documents with scores below 0.5, all columns as they are. No shuffle."""
+    """The documents with scores below 0.5, all columns as they are. Null and empty texts stay unless the regression says otherwise of texts without hits; rows with a null id and repeated rows are decided by their texts. No shuffle."""
     at = docs.columns.index(text_col)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
