@@ -143,14 +143,6 @@ def _by_doc(df, n):
     return out
 
 
-def test_approximate_search_finds_most(spark, sf):
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q = e.filter("vec_id % 50 = 0")
-    exact = {(r.qid, r.vec_id) for r in dense.vector_top_k(q, e, 10).collect()}
-    near = {(r.qid, r.vec_id) for r in dense.cell_top_k(q, e, 10, planes=2, tables=12).collect()}
-    assert len(exact & near) >= 0.9 * len(exact)
-
-
 def test_recall_of_the_cells_query(spark):
     at = "/root/testdata/sf0.1"
     e = spark.read.parquet(f"{at}/embeddings.parquet")

@@ -1,4 +1,4 @@
-"""Vectors: exact top-k, hashed text vectors, and cells for approximate search."""
+"""Vectors: exact top-k and hashed text vectors; the approximate search is in ``ann``."""
 
 from __future__ import annotations
 
@@ -79,19 +79,3 @@ def packed(sparse: DataFrame, dim: int = DIM) -> DataFrame:
     """(id, embedding) as dense arrays."""
     m = sparse.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("m"))
     return m.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0.0))).alias("embedding"))
-
-
-def cell_top_k(queries: DataFrame, vectors: DataFrame, k: int, planes: int = 4, tables: int = 8) -> DataFrame:
-    """Approximate top-k: sign patterns of fixed planes as cells, several tables, exact cosine within a shared cell."""
-    def keys(df: DataFrame) -> DataFrame:
-        def sign(p: int) -> object:
-            # plane p: a fixed sign per coordinate by hash
-            signed = F.transform("embedding", lambda v, i: F.when(F.xxhash64(F.lit(p), i) % 2 == 0, v).otherwise(-v).cast("double"))
-            return F.when(F.aggregate(signed, F.lit(0.0), lambda s, v: s + v) >= 0, F.lit("1")).otherwise(F.lit("0"))
-
-        cells = F.array(*(F.concat(F.lit(f"{t}:"), *(sign(t * planes + p) for p in range(planes))) for t in range(tables)))
-        return df.select("vec_id", "embedding", F.explode(cells).alias("cell"))
-
-    a = keys(queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "cell")
-    pairs = keys(vectors).join(a, "cell").filter("vec_id <> qid").dropDuplicates(["qid", "vec_id"])
-    return top_k(pairs.select("qid", "vec_id", F.round(tx.cosine(F.col("q"), F.col("embedding")), 6).alias("score")), k, "qid", "vec_id")

@@ -9,13 +9,25 @@ from pyspark.sql.window import Window
 from textmill.config import DEFAULT
 from textmill.functions import text as tx
 
-#: Rows of a query side that are broadcast at most; beyond, the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of a query side that are broadcast at most; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it has at most that many rows, as counted."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes of a row: texts and lists by their lengths, the rest as eight each."""
+    size = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(df[name]), F.lit(0))
+        elif kind.startswith("array"):
+            size = size + 16 * F.greatest(F.coalesce(F.size(df[name]), F.lit(0)), F.lit(0))
+    return size
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """The table with a broadcast hint if it has at most that many rows and bytes, as counted."""
+    got = df.limit(rows + 1).select(_bytes(df).cast("long").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if got.n <= rows and got.b <= most else df
 
 
 def hinted(df: DataFrame, few: bool) -> DataFrame:
@@ -40,14 +52,15 @@ def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size(tx.tokens(F.col(text_col)))).alias("avg_dl"))
 
 
-def query_terms(items: DataFrame, n: int = 12) -> DataFrame:
-    """(item_id, term, qtf) of the first ``n`` tokens of the texts."""
-    t = items.select("item_id", F.explode(F.slice(tx.tokens(F.col("text")), 1, n)).alias("term"))
+def query_terms(items: DataFrame, n: int | None = None) -> DataFrame:
+    """(item_id, term, qtf) of all tokens of the texts, or of the first ``n``."""
+    t = tx.tokens(F.col("text"))
+    t = items.select("item_id", F.explode(t if n is None else F.slice(t, 1, n)).alias("term"))
     return t.groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def bm25(terms: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item_id, doc_id, score) of every document with a query term. The postings of other terms are dropped before they are counted per document."""
+    """(item_id, doc_id, score) of every document with a query term, without an index. The postings of other terms are dropped before they are counted per document."""
     few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # bounds what is derived from the terms too
     wanted = terms.select("term").distinct()
     t = docs.select("doc_id", tx.tokens(F.col("text")).alias("t"))

@@ -171,17 +171,15 @@ def prefix_curve(t: Tables) -> DataFrame:
     return u.filter("rn <= prefix and (prefix <= n or prefix = 1000000)").groupBy("prefix").agg(F.round(F.avg("v"), 6).alias("mean"))
 
 
-SHORT = "select q.vec_id as qid, v.vec_id, round(list_cosine_similarity({q}::double[], {v}::double[]), 6) as score from embeddings q join embeddings v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0"
-
-
-@query("with " + ", ".join(f"{n} as (select qid, vec_id from (select *, row_number() over (partition by qid order by score desc, vec_id) as r from ({SHORT.format(q=q, v=v)}) where score > 0) where r <= 10)" for n, q, v in (("ex", "q.embedding", "v.embedding"), ("ap", "q.embedding[1:32]", "v.embedding[1:32]"))) + " select ex.qid, round(count(ap.vec_id) / count(*), 6) as overlap from ex left join ap using (qid, vec_id) group by ex.qid")
+@query()
 def ann_overlap(t: Tables) -> DataFrame:
-    """Share of the exact ten nearest that a search over half the dimensions finds."""
-    e = t.embeddings
-    half = e.withColumn("embedding", F.slice("embedding", 1, 32))
-    ex = dense.vector_top_k(e.filter("vec_id % 50 = 0"), e, 10).select("qid", "vec_id")
-    ap = dense.vector_top_k(half.filter("vec_id % 50 = 0"), half, 10).select("qid", "vec_id", F.lit(1).alias("found"))
-    return ex.join(ap, ["qid", "vec_id"], "left").groupBy("qid").agg(F.round(F.count("found") / F.count(F.lit(1)), 6).alias("overlap"))
+    """Share of the exact ten nearest of every fiftieth vector that the stored index finds, and the share of all vectors that it compares whole."""
+    q = t.embeddings.filter("vec_id % 50 = 0")
+    found = t.vector_index.search(q, 10).select("qid", F.col("id").alias("vec_id"), "compared")
+    exact = dense.vector_top_k(q, t.embeddings, 10).select("qid", "vec_id")
+    n = t.embeddings.agg(F.count(F.lit(1)).alias("n"))
+    g = exact.join(found, ["qid", "vec_id"], "left").groupBy("qid").agg(F.round(F.count("compared") / F.count(F.lit(1)), 6).alias("overlap"), F.max("compared").alias("compared"))
+    return g.crossJoin(F.broadcast(n)).select("qid", "overlap", F.round(F.coalesce("compared", F.lit(0)) / F.col("n"), 6).alias("compared_share"))
 
 
 PAIR = f"pr as (select u.conv_id, u.turn, {TOK.replace('text', 'u.text')} as a, {TOK.replace('text', 'v.text')} as b from conversations u join conversations v on v.conv_id = u.conv_id and v.turn = u.turn + 1 where u.role = 'user' and v.role = 'assistant')"

@@ -21,7 +21,7 @@ g as (select conv_id, turn, count(*) as n, count(*) filter (where df is null) as
 select conv_id, turn, case when fixes is not null then 'term_fix' when oov / n >= 0.4 then 'hyde' when rare >= 3 or (rare >= 2 and n <= 8) then 'step_back' when n <= 3 and generic = n then 'specify' else 'none' end as method, coalesce(fixes, '') as fixes from g""")
 def rewrite_plans(t: Tables) -> DataFrame:
     """How each user turn is rewritten: misspelt words first, then unknown, too narrow and too broad ones; with the words' replacements."""
-    df = lexical.document_frequency(lexical.postings(t.documents))
+    df = t.index.frequency()
     u = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     unknown = u.select("term").distinct().join(df, "term", "left_anti")
     fixes = lexical.neighbours(unknown, df.select("term")).groupBy("term").agg(F.min("neighbour").alias("fix"))
@@ -50,7 +50,7 @@ def attribution_gate(t: Tables) -> DataFrame:
 @query(f"with {_hits_sql(8)}, {QW}, x as (select item_id, unnest(list_filter(q, lambda x: length(x) > 1)) as term from qw), sn as (select distinct item_id, term from hits join tf using (doc_id)) select x.item_id, round(avg(case when sn.term is null then 0.0 else 1.0 end), 6) as footprint from x left join sn using (item_id, term) group by x.item_id")
 def evidence_footprint(t: Tables) -> DataFrame:
     """Share of the query's terms that the evidence found so far holds."""
-    q = t.benchmark.select("item_id", F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 12))).alias("term")).filter("length(term) > 1")
+    q = t.benchmark.select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).filter("length(term) > 1")
     seen = evidence(t, 8).select("item_id", F.explode(F.array_intersect("q", tx.tokens(F.col("text")))).alias("term")).distinct().withColumn("seen", F.lit(1))
     return q.join(seen, ["item_id", "term"], "left").groupBy("item_id").agg(F.round(F.avg(F.coalesce("seen", F.lit(0))), 6).alias("footprint"))
 
@@ -112,10 +112,10 @@ def compression_account(t: Tables) -> DataFrame:
     return g.withColumn("savings", F.round(1 - F.col("chars_after") / F.col("chars_before"), 6)).select("item_id", "units", F.col("chars_before").cast("long").alias("chars_before"), F.col("chars_after").cast("long").alias("chars_after"), "savings", F.col("sentences_kept").cast("long").alias("sentences_kept"), "sentences_total")
 
 
-@query(f"with {_hits_sql(1)}, f as (select item_id, unnest(list_slice(list_distinct({TOK}), 1, 1000)) as fact from benchmark), c as (select f.item_id, f.fact, coalesce(contains(lower(d.text), f.fact), false) as found from f left join hits using (item_id) left join documents d using (doc_id)) select item_id, round(avg(case when found then 1.0 else 0.0 end), 6) as hit_rate, coalesce(string_agg(fact, '|' order by fact) filter (where not found), '') as misses from c group by item_id")
+@query(f"with {_hits_sql(1)}, f as (select item_id, unnest(list_distinct({TOK})) as fact from benchmark), c as (select f.item_id, f.fact, coalesce(contains(lower(d.text), f.fact), false) as found from f left join hits using (item_id) left join documents d using (doc_id)) select item_id, round(avg(case when found then 1.0 else 0.0 end), 6) as hit_rate, coalesce(string_agg(fact, '|' order by fact) filter (where not found), '') as misses from c group by item_id")
 def fact_hit_rate(t: Tables) -> DataFrame:
     """Share of a passage's words that the text of its best hit contains in any case, and those it lacks."""
-    f = t.benchmark.select("item_id", F.explode(F.slice(F.array_distinct(tx.tokens(F.col("text"))), 1, 1000)).alias("fact"))
+    f = t.benchmark.select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("fact"))
     best = evidence(t, 1).select("item_id", F.lower("text").alias("text"))
     c = f.join(best, "item_id", "left").withColumn("found", F.coalesce(F.contains("text", "fact"), F.lit(False)))
     return c.groupBy("item_id").agg(F.round(F.avg(F.col("found").cast("int")), 6).alias("hit_rate"), F.array_join(F.array_sort(F.collect_list(F.when(~F.col("found"), F.col("fact")))), "|").alias("misses"))
@@ -297,11 +297,12 @@ def first_evidence(t: Tables) -> DataFrame:
     return t.events.groupBy("user_id", "event_type").agg(first.alias("first_id"), F.count(F.lit(1)).alias("seen"))
 
 
-@query("""select d.doc_id from documents d where length(d.text) > 0 and not exists (select 1 from documents o where o.doc_id = d.doc_id and o.doc_id % 3 = 0)""")
+@query("select doc_id from documents where length(text) > 0 and doc_id not in (select doc_id from labels where doc_id is not null)")
 def unindexed_leaves(t: Tables) -> DataFrame:
-    """Documents that an index of every third one doesn't hold yet: what an idempotent add takes."""
-    indexed = t.documents.filter("doc_id % 3 = 0").select("doc_id")
-    return t.documents.filter(F.length("text") > 0).join(indexed, "doc_id", "left_anti").select("doc_id")
+    """Documents that a stored index of the labelled ones doesn't hold yet: what an idempotent add takes."""
+    labelled = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    held = t.stored_index("labelled", "documents", labelled).store.read("documents").select("doc_id")
+    return t.documents.filter(F.length("text") > 0).join(held, "doc_id", "left_anti").select("doc_id")
 
 
 @query("""select * from (values (0, 2::bigint, 'a1'), (1, 3, 'a2'), (2, 0, 'a3'), (3, null, null)) v(case_id, n_failed, answer_id)""")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textmill.operators.ann import VectorIndex
+from textmill.operators.lexical_index import LexicalIndex
 from textmill.shipping import ensure_importable
+from textmill.storage import Conflict, Store, checkpointed, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,17 +27,43 @@ class Tables:
 
     def checkpointed(self, df: DataFrame) -> DataFrame:
         """The table cut from its lineage, in the session's checkpoint folder; a folder of this machine only where none is set."""
-        context = self.spark.sparkContext
-        if context.getCheckpointDir() is None:
-            folder = self.spark.conf.get("spark.checkpoint.dir", None)
-            if not folder and not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir has to name a folder that the cluster shares")
-            context.setCheckpointDir(folder or "/tmp/textmill-checkpoints")
-        return df.checkpoint()
+        return checkpointed(df)
+
+    def _state(self, table: str) -> str:
+        """A digest of the paths, sizes and times of a table's files: an index of other contents has another name."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))
+        return hashlib.sha256(repr(files).encode()).hexdigest()[:24]
+
+    def _stored(self, kind: type, name: str, table: str, rows: DataFrame | None = None) -> object:
+        """The index of a table in the shared folder; built by the first query that asks for it."""
+        index = kind(Store(self.spark, f"{shared_dir(self.spark)}/{name}-{self._state(table)}"))
+        if not index.store.version():
+            try:
+                index.rebuild(getattr(self, table) if rows is None else rows)
+            except Conflict:  # another session has built it meanwhile
+                pass
+        return index
+
+    @cached_property
+    def index(self) -> LexicalIndex:
+        """The stored inverted index of ``documents``."""
+        return self._stored(LexicalIndex, "lexical", "documents")
+
+    def stored_index(self, name: str, table: str, rows: DataFrame) -> LexicalIndex:
+        """The stored inverted index of rows that derive from a table."""
+        return self._stored(LexicalIndex, name, table, rows)
+
+    @cached_property
+    def vector_index(self) -> VectorIndex:
+        """The stored vector index of ``embeddings``."""
+        return self._stored(VectorIndex, "vectors", "embeddings")
 
     def pin(self, name: str, df: DataFrame) -> None:
         """Keeps a table that one plan derives several others from, so that it is made once."""
-        self.pinned[name] = self.checkpointed(df)
+        self.pinned[name] = checkpointed(df)
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

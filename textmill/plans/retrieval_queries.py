@@ -14,7 +14,7 @@ from textmill.plans.text_queries import TOK
 
 INDEX = f"""tk as (select doc_id, {TOK} as t from documents), tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(t) as term from tk) group by all),
 dl as (select doc_id, len(t) as dl from tk), st as (select count(*) as n_docs, avg(dl) as avg_dl from dl), df as (select term, count(*) as df from tf group by term)"""
-QT = f"qt as (select item_id, term, count(*) as qtf from (select item_id, unnest(list_slice({TOK}, 1, 12)) as term from benchmark) group by all)"
+QT = f"qt as (select item_id, term, count(*) as qtf from (select item_id, unnest({TOK}) as term from benchmark) group by all)"
 SCORES = f"""{INDEX}, {QT}, sc as (select item_id, doc_id, round(sum(ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * qtf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avg_dl))), 6) as score
 from qt join tf using (term) join df using (term) join dl using (doc_id), st group by item_id, doc_id)"""
 
@@ -24,16 +24,16 @@ def _hits_sql(k: int) -> str:
 
 
 def hits(t: Tables, k: int) -> DataFrame:
-    """BM25 hits of the benchmark passages' first twelve tokens."""
+    """BM25 hits of the benchmark passages in the stored index."""
     if "evidence" in t.pinned:
         return t.pinned["evidence"].filter(F.col("rnk") <= k).select("item_id", "doc_id", "score", "rnk")
-    return lexical.top_k(lexical.bm25(lexical.query_terms(t.benchmark), t.documents), k)
+    return lexical.top_k(t.index.bm25(lexical.query_terms(t.benchmark)), k)
 
 
 @query(f"with {INDEX} select term, df::bigint as df from df")
 def bm25_df(t: Tables) -> DataFrame:
     """Document frequencies."""
-    return lexical.document_frequency(lexical.postings(t.documents))
+    return t.index.frequency()
 
 
 @query(f"with {_hits_sql(10)} select item_id, doc_id, score, rnk::int as rnk from hits")
@@ -45,7 +45,7 @@ def bm25_topk(t: Tables) -> DataFrame:
 @query(f"with {INDEX} select term, round(case when (n_docs - df + 0.5) / (df + 0.5) <= 0 then 1e-6 else ln(1 + (n_docs - df + 0.5) / (df + 0.5)) + 0.1 end, 6) as weight from df, st")
 def idf_weights(t: Tables) -> DataFrame:
     """Coverage weights of all terms."""
-    df = lexical.document_frequency(lexical.postings(t.documents)).crossJoin(F.broadcast(lexical.corpus_stats(t.documents)))
+    df = t.index.frequency().crossJoin(F.broadcast(t.index.stats()))
     return df.select("term", F.round(lexical.idf_weight(F.col("df"), F.col("n_docs")), 6).alias("weight"))
 
 
@@ -71,8 +71,8 @@ def dense_topk(t: Tables) -> DataFrame:
 
 @query()
 def ann_cells_topk(t: Tables) -> DataFrame:
-    """Approximate search within shared cells."""
-    return dense.cell_top_k(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, 10, planes=2, tables=12)
+    """Approximate search in the stored index: ten nearest of every fiftieth vector, with the codes and vectors that it looked at."""
+    return t.vector_index.search(t.embeddings.filter("vec_id % 50 = 0"), 10).withColumnRenamed("id", "vec_id")
 
 
 @query("select q.vec_id as qid, v.label, round(max(list_cosine_similarity(q.embedding::double[], v.embedding::double[])), 6) as best from embeddings q, embeddings v where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id group by all")
@@ -88,8 +88,7 @@ TERMS = "item_id, doc_id, rnk, score"
 def overlap_channel(t: Tables, k: int) -> DataFrame:
     """Second channel: documents by how many of the query's distinct terms they hold."""
     q = lexical.query_terms(t.benchmark).select("item_id", "term")
-    d = t.documents.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    return lexical.top_k(d.join(lexical.small(q), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score")), k)
+    return lexical.top_k(t.index.of_terms(q).join(lexical.small(q), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score")), k)
 
 
 OVERLAP = "ov as (select * from (select item_id, doc_id, count(*) as score, row_number() over (partition by item_id order by count(*) desc, doc_id) as rnk from qt join tf using (term) group by item_id, doc_id) where rnk <= 24)"
@@ -167,7 +166,7 @@ def union_hits(t: Tables) -> DataFrame:
     return fuse.union_max(a.unionByName(overlap_channel(t, 24).select("item_id", "doc_id", F.col("score").cast("double").alias("score"), "rnk")))
 
 
-QW = f"qw as (select item_id, list_distinct(list_slice({TOK}, 1, 12)) as q, array_to_string(list_slice({TOK}, 1, 12), ' ') as qs from benchmark)"
+QW = f"qw as (select item_id, list_distinct({TOK}) as q, array_to_string({TOK}, ' ') as qs from benchmark)"
 
 
 #: Hits of a passage in any list that texts are joined to.
@@ -176,8 +175,8 @@ POOL = 2 * DEFAULT.top_k * DEFAULT.pool_factor
 
 def with_text(t: Tables, h: DataFrame) -> DataFrame:
     """Hits with the texts of document and query. The documents side isn't shuffled while the hits are few by count."""
-    q = t.benchmark.select("item_id", F.slice(tx.tokens(F.col("text")), 1, 12).alias("q12"))
-    q = q.select("item_id", F.array_distinct("q12").alias("q"), F.array_join("q12", " ").alias("qs"))
+    q = t.benchmark.select("item_id", tx.tokens(F.col("text")).alias("qt"))
+    q = q.select("item_id", F.array_distinct("qt").alias("q"), F.array_join("qt", " ").alias("qs"))
     few = t.benchmark.count() * POOL <= lexical.BROADCAST_ROWS  # a passage has that many hits at most, so nothing is searched twice to count them
     return t.documents.select("doc_id", "text", "source").join(lexical.hinted(h, few), "doc_id").join(lexical.hinted(q, few), "item_id")
 
@@ -308,10 +307,8 @@ def weighed_terms(t: Tables) -> DataFrame:
     """(item_id, term, w): distinct query terms with length times rarity."""
     if "weights" in t.pinned:
         return t.pinned["weights"]
-    q = t.benchmark.select("item_id", F.explode(F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 12))).alias("term"))
-    d = t.documents.select(F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term")).join(lexical.small(q.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = t.documents.agg(F.count(F.lit(1)).alias("n_docs"))
-    return q.join(d, "term", "left").crossJoin(F.broadcast(n)).select("item_id", "term", (F.length("term") * lexical.idf_weight(F.col("df"), F.col("n_docs"))).alias("w"))
+    q = t.benchmark.select("item_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    return q.join(t.index.frequency(), "term", "left").crossJoin(F.broadcast(t.index.stats())).select("item_id", "term", (F.length("term") * lexical.idf_weight(F.col("df"), F.col("n_docs"))).alias("w"))
 
 
 def coverage(t: Tables) -> DataFrame:
@@ -396,7 +393,7 @@ UNKNOWN = rf"uk as (select distinct term from (select unnest({TOK}) as term from
 @query(f"with {INDEX}, {UNKNOWN} select uk.term, min(df.term) as first_neighbour, count(*)::bigint as n from uk join df on length(uk.term) >= 2 and length(df.term) >= 2 and abs(length(uk.term) - length(df.term)) <= 1 and levenshtein(uk.term, df.term) <= 1 group by uk.term")
 def oov_neighbors(t: Tables) -> DataFrame:
     """Unknown words of user turns with known ones within one edit."""
-    known = lexical.document_frequency(lexical.postings(t.documents)).select("term")
+    known = t.index.frequency().select("term")
     used = t.conversations.filter("role = 'user'").select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
     n = lexical.neighbours(used.join(known, "term", "left_anti"), known)
     return n.groupBy("term").agg(F.min("neighbour").alias("first_neighbour"), F.count(F.lit(1)).alias("n"))
@@ -407,7 +404,7 @@ g as (select conv_id, turn, count(*) as n, count(*) filter (where df is null) as
 select conv_id, turn, oov / n >= 0.4 as alias_defect, rare >= 3 or (rare >= 2 and n <= 8) as too_narrow, n <= 3 and generic = n as too_broad from g""")
 def query_defects(t: Tables) -> DataFrame:
     """Defects of user turns by document frequencies."""
-    df = lexical.document_frequency(lexical.postings(t.documents))
+    df = t.index.frequency()
     u = t.conversations.filter("role = 'user'").select("conv_id", "turn", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     total = df.agg(F.greatest(F.sum("df"), F.lit(1)).alias("total"))
     g = u.join(df, "term", "left").crossJoin(F.broadcast(total)).groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("df").isNull()).alias("oov"), F.count_if(F.col("df").between(1, 2)).alias("rare"), F.count_if(F.coalesce("df", F.lit(0)) / F.col("total") >= 0.3).alias("generic"))

@@ -66,21 +66,24 @@ def ttl_expiry(t: Tables) -> DataFrame:
     return t.events.crossJoin(F.broadcast(m)).groupBy("user_id").agg(F.count_if(alive).alias("alive"), F.count_if(~alive).alias("expired"))
 
 
-@query(r"select trim(substr(text, 1, 12)) as episode, count(*)::bigint as n from conversations group by 1 having count(*) >= 2 and trim(substr(text, 1, 12)) not in (select trim(substr(text, 1, 12)) from conversations where role = 'system')")
+EPISODE = r"lower(trim(regexp_replace(unnest(string_split(regexp_replace(text, '([。！？!?；;.\n])', '\1' || chr(1), 'g'), chr(1))), '\s+', ' ', 'g')))"
+
+
+@query(rf"with s as (select conv_id, role, {EPISODE} as episode from conversations) select episode, count(*)::bigint as n from s where episode <> '' group by episode having count(*) >= 2 and episode not in (select episode from s where role = 'system')")
 def consolidation(t: Tables) -> DataFrame:
-    """Episodes seen twice and more that aren't known yet."""
-    e = F.trim(F.substr("text", F.lit(1), F.lit(12))).alias("episode")
-    known = t.conversations.filter("role = 'system'").select(e).distinct()
-    return t.conversations.groupBy(e).agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").join(known, "episode", "left_anti")
+    """Episodes, the sentences of turns, that are said twice and more and that no system turn has yet."""
+    s = t.conversations.select("role", F.explode(tx.sentences(F.col("text"), "。！？!?；;.\n")).alias("s")).select("role", F.lower(F.trim(F.regexp_replace("s", r"\s+", " "))).alias("episode"))
+    known = s.filter("role = 'system'").select("episode").distinct()
+    return s.groupBy("episode").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2 and episode <> ''").join(known, "episode", "left_anti")
 
 
-RECALL = f"q as (select item_id, list_distinct(list_slice({TOK}, 1, 12)) as q from benchmark), qx as (select item_id, len(q) as n, unnest(q) as term from q), m as (select conv_id, turn, least(1.0, 0.5 + 0.1 * turn) as conf, unnest(list_distinct({TOK})) as term from conversations), s as (select item_id, conv_id, turn, round(count(*) / any_value(n) + 0.2 * any_value(conf), 6) as score from qx join m using (term) group by item_id, conv_id, turn)"
+RECALL = f"q as (select item_id, list_distinct({TOK}) as q from benchmark), qx as (select item_id, len(q) as n, unnest(q) as term from q), m as (select conv_id, turn, least(1.0, 0.5 + 0.1 * turn) as conf, unnest(list_distinct({TOK})) as term from conversations), s as (select item_id, conv_id, turn, round(count(*) / any_value(n) + 0.2 * any_value(conf), 6) as score from qx join m using (term) group by item_id, conv_id, turn)"
 
 
 @query(f"with {RECALL} select item_id, conv_id, turn, score::double as score from (select *, row_number() over (partition by item_id order by score desc, conv_id, turn) as r from s) where r <= 5")
 def recall_score(t: Tables) -> DataFrame:
     """Five best memories per query: token overlap and confidence."""
-    q = t.benchmark.select("item_id", F.array_distinct(F.slice(tx.tokens(F.col("text")), 1, 12)).alias("q"))
+    q = t.benchmark.select("item_id", F.array_distinct(tx.tokens(F.col("text"))).alias("q"))
     q = lexical.small(q.select("item_id", F.size("q").alias("n"), F.explode("q").alias("term")))
     m = t.conversations.select("conv_id", "turn", F.least(F.lit(1.0), 0.5 + 0.1 * F.col("turn")).alias("conf"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
     s = m.join(q, "term").groupBy("item_id", "conv_id", "turn").agg(F.round(F.count(F.lit(1)) / F.first("n") + 0.2 * F.first("conf"), 6).alias("score"))
@@ -159,12 +162,12 @@ def active_docs(t: Tables) -> DataFrame:
     return v.filter("not deleted").drop("deleted")
 
 
-@query(f"select doc_id || ':' || h as key from (select doc_id, {HASH} as h from documents) where doc_id % 3 = 0 except select doc_id || ':' || h from (select doc_id, {HASH} as h from documents) where doc_id not in (select doc_id from labels)")
+@query(f"select doc_id || ':' || h as key from (select doc_id, {HASH} as h from documents) except select doc_id || ':' || h from (select doc_id, {HASH} as h from documents) where doc_id not in (select doc_id from labels where toxic = 1)")
 def stale_keys(t: Tables) -> DataFrame:
-    """Active cache keys that are valid no more."""
+    """Active cache keys that are valid no more: those of documents that were found toxic."""
     key = F.concat_ws(":", F.col("doc_id").cast("string"), tx.content_hash(F.col("text"))).alias("key")
-    active = t.documents.filter("doc_id % 3 = 0").select(key).distinct()
-    valid = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_anti").select(key)
+    active = t.documents.select(key).distinct()
+    valid = t.documents.join(t.labels.filter("toxic = 1").select("doc_id").distinct(), "doc_id", "left_anti").select(key)
     return active.join(valid, "key", "left_anti")
 
 
