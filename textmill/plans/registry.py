@@ -29,17 +29,17 @@ class Tables:
         """The table cut from its lineage, in the session's checkpoint folder; a folder of this machine only where none is set."""
         return checkpointed(df)
 
-    def _state(self, table: str) -> str:
-        """A digest of the paths, sizes and times of a table's files: an index of other contents has another name."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        files = sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))
+    def state(self, *tables: str) -> str:
+        """A digest of the paths, sizes and times of tables' files: what is stored of other contents has another name."""
+        jvm, conf, files = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration(), []
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
+            files += sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(conf).listStatus(path))
         return hashlib.sha256(repr(files).encode()).hexdigest()[:24]
 
     def _stored(self, kind: type, name: str, table: str, rows: DataFrame | None = None) -> object:
         """The index of a table in the shared folder; built by the first query that asks for it."""
-        index = kind(Store(self.spark, f"{shared_dir(self.spark)}/{name}-{self._state(table)}"))
+        index = kind(Store(self.spark, f"{shared_dir(self.spark)}/{name}-{self.state(table)}"))
         if not index.store.version():
             try:
                 index.rebuild(getattr(self, table) if rows is None else rows)

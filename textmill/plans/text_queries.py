@@ -105,8 +105,7 @@ def dedup_report(t: Tables) -> DataFrame:
 @query()
 def dedup_kept(t: Tables) -> DataFrame:
     """Exact copies and near ones dropped in id order, with what they matched."""
-    prints = _first_prints(t)
-    return dedup.greedy_kept(prints.select("doc_id"), t.checkpointed(dedup.near_pairs(prints)))
+    return dedup.greedy_near(_first_prints(t))
 
 
 LET = "[A-Za-zÀ-ɏ一-鿿]"
@@ -142,12 +141,7 @@ q as (select *, lag(s) over (partition by doc_id order by n) as was, count(*) ov
 select doc_id, round(case when max(c) < 20 then 1.0 else 1.0 - count(*) filter (where was is not null and not regexp_matches(was, '[。！？!?；;.…”」）)]$') and not regexp_matches(s, '^[　（(【]')) / (max(c) - 1) end, 6) as ratio from q group by doc_id""")
 def reading_order(t: Tables) -> DataFrame:
     """Share of prose lines that follow a sentence end; 1 below 20 prose lines. Documents without prose have no row."""
-    s = F.trim(F.col("line"))
-    p = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).filter((s != "") & tx.prose_line(F.col("line"))).select("doc_id", "n", s.alias("s"))
-    p = p.withColumn("was", F.lag("s").over(Window.partitionBy("doc_id").orderBy("n")))
-    broken = F.col("was").isNotNull() & ~F.col("was").rlike("[。！？!?；;.…”」）)]$") & ~F.col("s").rlike("^[　（(【]")
-    g = p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.count_if(broken).alias("b"))
-    return g.select("doc_id", F.round(F.when(F.col("c") < 20, 1.0).otherwise(1.0 - F.col("b") / (F.col("c") - 1)), 6).alias("ratio"))
+    return layout.reading_order(t.documents)
 
 
 STRIP = r"html"
@@ -323,7 +317,7 @@ def gold_in_corpus(t: Tables) -> DataFrame:
 def layout_restored(t: Tables) -> DataFrame:
     """Texts after layout repair."""
     r = layout.restored(t.documents)
-    return r.select("doc_id", "columns_found", "headers_replayed", F.length("text").alias("n_chars"))
+    return r.select("doc_id", "columns_found", "headers_replayed", "lines_moved", "page_breaks", F.length("text").alias("n_chars"))
 
 
 #: Bytes of snippets that are sent to the documents in one pass.
