@@ -15,8 +15,8 @@ from collections.abc import Callable
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
-CAP = 900_000
-BITS = 22
+CAP = 400_000
+BITS = 21
 ZEROS = [bytes(-n & 7) for n in range(8)]
 #: Bits of the last eight bytes that belong to a word of so many bytes over a multiple of eight.
 MASK = np.array([(1 << 64) - 1, *((1 << 8 * n) - 1 for n in range(1, 8))], np.uint64)
