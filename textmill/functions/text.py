@@ -165,6 +165,16 @@ def complex_question(text: Column) -> Column:
     return text.rlike("|".join(COMPLEX_MARKERS)) | (F.regexp_count(text, F.lit("[?？]")) >= 2) | (F.length(text) >= 60)
 
 
+def wider_question(text: Column) -> Column:
+    """A step back: the first 40 characters as a request for the whole."""
+    return F.concat(F.lit("请综合回答："), F.regexp_replace(F.substr(text, F.lit(1), F.lit(40)), r"\s+", " "))
+
+
+def hypothetical(text: Column) -> Column:
+    """What an answer would begin with: the question's last sentence."""
+    return F.concat(F.lit("关于这个问题："), F.coalesce(F.try_element_at(sentences(text), F.lit(-1)), F.lit("")))
+
+
 def outermost(words: Column) -> Column:
     """The words that no other of the array contains."""
     return F.filter(words, lambda x: ~F.exists(words, lambda y: (y != x) & F.contains(y, x)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import textmill.plans.answer_queries
 import textmill.plans.corpus_queries
 import textmill.plans.evaluation_queries
 import textmill.plans.policy_queries
