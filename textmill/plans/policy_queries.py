@@ -130,16 +130,17 @@ def observation_records(t: Tables) -> DataFrame:
     return j.select("item_id", flat(lambda x: x.doc_id.cast("string")).alias("retrieved_chunk_ids"), flat(lambda x: x.source).alias("retrieved_sources"), F.size("u").cast("long").alias("n"), (F.size("u") == 0).alias("abstained"))
 
 
-# Tools of the literal policy table: name, side effects, compensator.
-TOOLS = [("knowledge_search", False, ""), ("calculator", False, ""), ("create_ticket", True, "cancel_ticket"), ("send_mail", True, "")]
+# Tools that runs call, which are the types of their events: whether one has side effects, and what compensates it.
+TOOLS = [("view", False, ""), ("click", False, ""), ("signup", True, "cancel_signup"), ("purchase", True, "refund"), ("error", True, "")]
 
 
-@query("select name, case when not side_effects then 'safe' when compensator <> '' then 'confirm' else 'required' end as level, not side_effects as auto_approve from (values " + ", ".join(f"('{n}', {str(s).lower()}, '{c}')" for n, s, c in TOOLS) + ") v(name, side_effects, compensator)")
+@query("select name, case when not side_effects then 'safe' when compensator <> '' then 'confirm' else 'required' end as level, not side_effects as auto_approve, count(event_id)::bigint as calls, count(distinct user_id)::bigint as runs from (values " + ", ".join(f"('{n}', {str(s).lower()}, '{c}')" for n, s, c in TOOLS) + ") v(name, side_effects, compensator) join events on event_type = name group by all")
 def tool_risk(t: Tables) -> DataFrame:
-    """Risk of tools: read-only ones are safe, those that can be compensated need a confirmation, others an approval."""
+    """Risk of the tools that runs have called: read-only ones are safe, those that can be compensated need a confirmation, others an approval."""
     tools = t.spark.createDataFrame(TOOLS, "name string, side_effects boolean, compensator string")
     level = F.when(~F.col("side_effects"), "safe").when(F.col("compensator") != "", "confirm").otherwise("required")
-    return tools.select("name", level.alias("level"), (~F.col("side_effects")).alias("auto_approve"))
+    calls = t.events.groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("user_id").alias("runs"))
+    return tools.join(calls, "name").select("name", level.alias("level"), (~F.col("side_effects")).alias("auto_approve"), "calls", "runs")
 
 
 VOTE = "case {} % 3 when 0 then 'A' when 1 then 'B' else 'tie' end"
@@ -226,16 +227,16 @@ def argument_problems(t: Tables) -> DataFrame:
 # Words that ask for a date, and what counts as arithmetic.
 DATE_WORDS = ("今天", "昨天", "明天", "现在", "日期", "几号", "星期", "时间")
 ARITHMETIC = r"[\d+\-*/×÷()（）.]{3,}"
-DECISIONS = [(0, "内存管理是什么", ""), (1, "今天几号", "knowledge_search"), (2, "算 12*(3+4)", "knowledge_search"), (3, "现在 3+4 是多少", "knowledge_search|datetime"), (4, "内存 管理", "knowledge_search"), (5, "今天 1+1", "knowledge_search|datetime|calculator")]
+SEQUENCE = ("knowledge_search", "datetime", "calculator")
 
 
-@query("select case_id, case when used = '' then 'knowledge_search' when not contains(used, 'datetime') and regexp_matches(question, '" + "|".join(DATE_WORDS) + "') then 'datetime' when not contains(used, 'calculator') and regexp_matches(question, '" + ARITHMETIC + "') then 'calculator' else 'answer' end as decision, case when used <> '' then regexp_extract(question, '" + ARITHMETIC + "') else '' end as expression from (values " + ", ".join(f"({n}, '{q}', '{u}')" for n, q, u in DECISIONS) + ") v(case_id, question, used)")
+@query("with d as (select conv_id, turn, text, list_slice([" + ", ".join(f"'{x}'" for x in SEQUENCE) + "], 1, turn // 2) as used from conversations where role = 'user') select conv_id, turn, case when len(used) = 0 then 'knowledge_search' when not list_contains(used, 'datetime') and regexp_matches(text, '" + "|".join(DATE_WORDS) + "') then 'datetime' when not list_contains(used, 'calculator') and regexp_matches(text, '" + ARITHMETIC + "') then 'calculator' else 'answer' end as decision, case when len(used) > 0 then regexp_extract(text, '" + ARITHMETIC + "') else '' end as expression from d")
 def tool_decisions(t: Tables) -> DataFrame:
-    """Next tool without a model: search first, then the date, then arithmetic, each once; else the answer."""
-    d = t.spark.createDataFrame(DECISIONS, "case_id int, question string, used string").withColumn("u", F.split("used", r"\|"))
-    q = F.col("question")
-    decision = F.when(F.col("used") == "", "knowledge_search").when(~F.array_contains("u", "datetime") & q.rlike("|".join(DATE_WORDS)), "datetime").when(~F.array_contains("u", "calculator") & q.rlike(ARITHMETIC), "calculator").otherwise("answer")
-    return d.select("case_id", decision.alias("decision"), F.when(F.col("used") != "", F.regexp_extract("question", ARITHMETIC, 0)).otherwise("").alias("expression"))
+    """Next tool for each question without a model: search first, then the date, then arithmetic, each once; else the answer. A turn has used one tool for each answer before it."""
+    d = t.conversations.filter("role = 'user'").withColumn("used", F.slice(F.array(*map(F.lit, SEQUENCE)), 1, F.greatest(F.expr("cast(turn div 2 as int)"), F.lit(0))))
+    q = F.col("text")
+    decision = F.when(F.size("used") == 0, "knowledge_search").when(~F.array_contains("used", "datetime") & q.rlike("|".join(DATE_WORDS)), "datetime").when(~F.array_contains("used", "calculator") & q.rlike(ARITHMETIC), "calculator").otherwise("answer")
+    return d.select("conv_id", "turn", decision.alias("decision"), F.when(F.size("used") > 0, F.regexp_extract("text", ARITHMETIC, 0)).otherwise("").alias("expression"))
 
 
 #: Longer sentences score nothing whatever they hold, so they are no candidates.
@@ -276,11 +277,15 @@ def case_page(t: Tables) -> DataFrame:
     return o.orderBy("case_id").offset(10).limit(50).select("case_id", "event_type")
 
 
-@query("""select * from (values (0, true), (1, true), (2, true), (3, false), (4, false)) v(case_id, abstained)""")
+MARKERS = "|".join(tx.ABSTAIN_MARKERS)
+
+
+@query(f"with r as (select *, row_number() over (partition by conv_id order by turn desc) as back from conversations), l as (select conv_id, text as answer, case when role = 'assistant' then 'answered' else 'no_knowledge' end as outcome from r where back = 1) select conv_id, outcome, outcome in ('no_knowledge', 'insufficient_evidence', 'clarify') or regexp_matches(answer, '{MARKERS}') as abstained from l")
 def abstentions(t: Tables) -> DataFrame:
-    """Answers that say they are none, by a marker phrase or by their outcome."""
-    rows = t.spark.createDataFrame([(0, "资料不足，无法回答。", "answered"), (1, "see above", "clarify"), (2, "", "no_knowledge"), (3, "The limit is 8.", "answered"), (4, "", "answered")], "case_id int, answer string, outcome string")
-    return rows.select("case_id", tx.abstains(F.col("answer"), F.col("outcome")).alias("abstained"))
+    """Conversations whose last word is no answer: by a marker phrase, or by an outcome; one that ends with a question has none."""
+    last = t.conversations.groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), "turn").alias("l"))
+    rows = last.select("conv_id", F.col("l.text").alias("answer"), F.when(F.col("l.role") == "assistant", "answered").otherwise("no_knowledge").alias("outcome"))
+    return rows.select("conv_id", "outcome", tx.abstains(F.col("answer"), F.col("outcome")).alias("abstained"))
 
 
 @query("""select source, count(*)::bigint as n_docs, sum(greatest(ceil((length(text) - 800) / 700.0), 0)::bigint + 1)::bigint as n_leaves from documents where length(text) > 0 group by source""")
@@ -305,11 +310,15 @@ def unindexed_leaves(t: Tables) -> DataFrame:
     return t.documents.filter(F.length("text") > 0).join(held, "doc_id", "left_anti").select("doc_id")
 
 
-@query("""select * from (values (0, 2::bigint, 'a1'), (1, 3, 'a2'), (2, 0, 'a3'), (3, null, null)) v(case_id, n_failed, answer_id)""")
+#: Records of several writers, made of an event's own fields: other key names, a count or a list, nulls, and no JSON at all.
+RECORDS = """case event_type when 'click' then '{"failed_calls": ' || k || ', "answer_id": "a' || k || '"}' when 'error' then '{"failures": ["' || k || '", "x"], "answerId": "b' || k || '"}' when 'view' then '{"failures": [], "id": "c' || k || '", "answer_id": null}' else 'no json: ' || props end"""
+
+
+@query("select event_id, case event_type when 'click' then k when 'error' then 2 when 'view' then 0 end::bigint as n_failed, case event_type when 'click' then 'a' || k when 'error' then 'b' || k when 'view' then 'c' || k end as answer_id from (select *, json_extract_string(props, '$.k')::int as k from events)")
 def loose_fields(t: Tables) -> DataFrame:
     """Records with alternative key names: the first key that is there, and a count that may be a number or a list."""
-    rows = t.spark.createDataFrame([(0, '{"failed_calls": 2, "answer_id": "a1"}'), (1, '{"failures": ["x", "y", "z"], "answerId": "a2"}'), (2, '{"failures": [], "id": "a3", "answer_id": null}'), (3, "no json")], "case_id int, props string")
-    v = F.try_parse_json("props")
+    rows = t.events.withColumn("k", F.get_json_object("props", "$.k").cast("int")).select("event_id", F.expr(RECORDS).alias("record"))
+    v = F.try_parse_json("record")
     at = lambda key, kind: F.try_variant_get(v, f"$.{key}", kind)
     n = F.coalesce(at("failed_calls", "bigint"), F.size(at("failed_calls", "array<variant>")).cast("long"), at("failures", "bigint"), F.size(at("failures", "array<variant>")).cast("long"))
-    return rows.select("case_id", F.when(v.isNotNull(), n).alias("n_failed"), F.coalesce(*(at(k, "string") for k in ("answer_id", "answerId", "id"))).alias("answer_id"))
+    return rows.select("event_id", F.when(v.isNotNull(), n).alias("n_failed"), F.coalesce(*(at(k, "string") for k in ("answer_id", "answerId", "id"))).alias("answer_id"))

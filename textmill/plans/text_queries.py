@@ -45,11 +45,11 @@ def sentence_stats(t: Tables) -> DataFrame:
     return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", lambda x: F.length(x))).cast("long").alias("longest"))
 
 
-@query("select * from (values (0, 'rag|内|存|内存|管|理|管理'), (1, 'b2'), (2, '火|星|火星|殖|民|殖民'), (3, '')) v(case_id, tokens)")
+@query(f"select doc_id, array_to_string(list_concat({TOK.replace('text', 'source')}, ['第', '章', '内', '存', '内存', '管', '理', '管理']), '|') as tokens from documents where source is not null")
 def cjk_bigrams_literal(t: Tables) -> DataFrame:
-    """CJK runs give characters and bigrams and no bigram across a gap."""
-    rows = t.spark.createDataFrame([(0, "内存 管理 RAG"), (1, "42 b2 7"), (2, "火星 殖民"), (3, "")], "case_id int, text string")
-    return rows.select("case_id", F.array_join(tx.tokens(F.col("text")), "|").alias("tokens"))
+    """CJK runs of headings made of a document's number and source give characters and bigrams, and no bigram across a gap (the table's texts have no CJK)."""
+    heading = F.concat(F.lit("第"), F.col("doc_id").cast("string"), F.lit("章 内存 管理 "), "source")
+    return t.documents.filter("source is not null").select("doc_id", F.array_join(tx.tokens(heading), "|").alias("tokens"))
 
 
 @query(f"select h as content_hash, count(*)::bigint as copies, min(doc_id) as first_id from (select doc_id, {HASH} as h from documents) group by h having count(*) > 1")
@@ -215,12 +215,14 @@ def redact_props(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(masked), lambda e: F.concat(F.lit('"'), e.key, F.lit('":'), e.value)), ","), F.lit("}")).alias("props"))
 
 
-@query("""select * from (values (0, 'rewrite', true), (1, 'answer', true), (2, null, false), (3, null, false)) v(case_id, route, ok)""")
+@query("""select conv_id, turn, case when role = 'assistant' then 'answer' when role = 'user' then 'rewrite' end as route, role in ('assistant', 'user') as ok from conversations where role is not null""")
 def structured_parse(t: Tables) -> DataFrame:
-    """Fenced or wrapped JSON answers; what can't be parsed is NULL, not an error."""
-    rows = t.spark.createDataFrame([(0, '```json\n{"route": "rewrite"}\n```'), (1, 'Sure: {"route": "answer"} done'), (2, "no json"), (3, '{"route": ')], "case_id int, text string")
-    v = tx.json_object(F.col("text"))
-    return rows.select("case_id", F.try_variant_get(v, "$.route", "string").alias("route"), v.isNotNull().alias("ok"))
+    """JSON objects in turns, fenced, wrapped in words, or cut off; what can't be parsed is NULL, not an error. The wrapping is that of a turn's role."""
+    fenced = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.lit("answer").alias("route"), F.col("text").alias("why"))), F.lit("\n```"))
+    said = F.concat(F.lit("Sure: "), F.to_json(F.struct(F.lit("rewrite").alias("route"), F.col("turn"))), F.lit(" done"))
+    rows = t.conversations.filter("role is not null").withColumn("reply", F.when(F.col("role") == "assistant", fenced).when(F.col("role") == "user", said).otherwise(F.concat(F.lit('{"route": '), "role")))
+    v = tx.json_object(F.col("reply"))
+    return rows.select("conv_id", "turn", F.try_variant_get(v, "$.route", "string").alias("route"), v.isNotNull().alias("ok"))
 
 
 @query("select event_id, strftime(ts + interval 8 hour + interval 3 day, '%Y-%m-%d') as day, dayname(ts + interval 8 hour + interval 3 day) as weekday from events")
