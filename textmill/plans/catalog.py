@@ -9,6 +9,7 @@ import textmill.plans.policy_queries
 import textmill.plans.retrieval_queries
 import textmill.plans.state_queries
 import textmill.plans.stream_queries
+import textmill.plans.structure_queries
 import textmill.plans.text_queries  # noqa: F401
 from textmill.plans.registry import ORACLES, QUERIES
 
