@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from textmill.llm.piece_codec import PieceCodec
 from textmill.llm.shared import by_arrow, rows_out
 
+#: Words that a worker keeps from one task to the next at most.
+KEPT_WORDS = 150_000
+
 _codecs: dict[str, PieceCodec] = {}
 
 
@@ -30,8 +33,8 @@ def piece_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
     """
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(model)
         for b in batches:
-            c = codec(model)
             got = [(ids.tolist(), text) for ids, text in c.encode([t or "" for t in b.column(1).to_pylist()])]
             back = c.decode([ids for ids, _ in got])
             digest = lambda s: hashlib.sha256(s).hexdigest()
@@ -39,6 +42,8 @@ def piece_ids(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str
             if texts:
                 out |= {"ids": (pa.list_(pa.int32()), [ids for ids, _ in got]), "decoded": (pa.string(), back)}
             yield rows_out(out)
+        if c.table.n > KEPT_WORDS:
+            c.table.clear()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts
     return by_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), f, schema, rows=64)

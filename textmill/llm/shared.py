@@ -7,6 +7,7 @@ master gets a folder under ``/tmp`` once; on a cluster it is an error.
 
 from __future__ import annotations
 
+import ctypes
 import posixpath
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,6 +55,15 @@ def store(url: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(url)
 
 
+def hand_back() -> None:
+    """Returns freed memory to the system: a worker stays between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which keeps its own books
+        pass
+
+
 def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object, rows: int = BATCH_ROWS) -> DataFrame:
     """``mapInArrow`` over batches cut to at most ``rows`` rows.
 
@@ -71,7 +81,13 @@ def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             for at in range(0, b.num_rows, rows):
                 yield b.slice(at, rows)
 
-    return df.mapInArrow(lambda batches: f(cut(batches)), schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(cut(batches))
+        finally:
+            hand_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def rows_out(columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
