@@ -29,11 +29,13 @@ from pyspark.sql.window import Window
 
 from textmill.llm.checksums import crc32c
 from textmill.llm.shared import by_arrow, fresh_dir, rows_out, store, written
-from textmill.llm.word_table import WordTable, batches_of, pieces_of
+from textmill.llm.word_table import WordTable, batches_of, pieces_of, ragged
 
 MASK_DELTA = 0xA282EAD8
 #: Bytes of text in a shard, about, where the session's shuffle partitions would make larger ones.
 SHARD_BYTES = 256 << 20
+#: Words that a worker keeps at most.
+WORDS = 900_000
 HEAD = struct.Struct("<QI")
 ENTRY = struct.Struct("<?qQQQ")  # id is present, id, offset, bytes of the record, tokens
 
@@ -123,25 +125,31 @@ class WordIds:
         if any(self.BORDER.search(t.encode("utf-8")) for t in special):
             raise ValueError("the vocabulary has special tokens over white space")
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)", re.IGNORECASE)
-        self.table = WordTable(self._encode, [np.uint8, np.int64])
+        self.table = WordTable(self._encode, [np.uint8, np.int64], WORDS)
 
     def _encode(self, chunks: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         words = [c.decode("utf-8") for c in chunks]
         plain = [i for i, w in enumerate(words) if self.PLAIN(w)]  # one piece each: many share one call
-        ids: list[list[int]] = [[] for _ in words]
+        flat, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for at in range(0, len(plain), 4096):
             some = plain[at : at + 4096]
-            e = self.tokenizer.encode(" ".join(words[i] for i in some), add_special_tokens=False)
-            for of, token in zip(e.word_ids, e.ids):
-                ids[some[of]].append(token)
-        rest = [i for i, w in enumerate(words) if not self.PLAIN(w)]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-            ids[i] = e.ids
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.array([i for x in ids for i in x], np.uint64)
+            e = self.tokenizer.encode(" ".join([words[i] for i in some]), add_special_tokens=False)
+            flat.append(np.array(e.ids, np.uint64))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        taken = set(plain)
+        rest = [i for i in range(len(words)) if i not in taken]
+        for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False):
+            flat.append(np.array(e.ids, np.uint64))
+            sizes.append(np.array([len(e.ids)], np.int64))
+        # back into the order of the words
+        place = np.empty(len(words), np.int64)
+        place[np.array(plain + rest, np.int64)] = np.arange(len(words))
+        counts = np.concatenate(sizes)
+        flat = ragged(np.concatenate(flat), np.concatenate(([0], np.cumsum(counts))), place)[0]
+        counts = counts[place]
         bounds = np.concatenate(([0], np.cumsum(1 + sum((flat >> np.uint64(7 * k) > 0).astype(np.int64) for k in range(1, 5)))))
         ends = np.cumsum(counts)
-        return [(np.frombuffer(varints(flat), np.uint8), bounds[ends] - bounds[ends - counts]), (counts, np.ones(len(ids), np.int64))]
+        return [(np.frombuffer(varints(flat), np.uint8), bounds[ends] - bounds[ends - counts]), (counts, np.ones(len(words), np.int64))]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, int]]:
         """Payload and number of ids of each text."""

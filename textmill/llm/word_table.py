@@ -16,7 +16,6 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 CAP = 400_000
-BITS = 21
 ZEROS = [bytes(-n & 7) for n in range(8)]
 #: Bits of the last eight bytes that belong to a word of so many bytes over a multiple of eight.
 MASK = np.array([(1 << 64) - 1, *((1 << 8 * n) - 1 for n in range(1, 8))], np.uint64)
@@ -52,13 +51,14 @@ class Hasher:
 class WordTable:
     """Rows of one or more ragged outputs per word. ``encode`` gets a list of words as bytes and returns, for each output, the values of all words one after another and each word's number of values."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], kinds: list[type]) -> None:
-        self.encode, self.kinds, self.hash = encode, kinds, Hasher()
+    def __init__(self, encode: Callable[[list[bytes]], list[tuple[np.ndarray, np.ndarray]]], kinds: list[type], cap: int | None = None) -> None:
+        self.encode, self.kinds, self.hash, self.cap = encode, kinds, Hasher(), cap or CAP
+        self.bits = (4 * self.cap).bit_length()  # at most a quarter to a half of the slots are taken
         self.clear()
 
     def clear(self) -> None:
         """Forgets all words."""
-        self.key, self.row = np.zeros(1 << BITS, np.uint64), np.zeros(1 << BITS, np.int32)
+        self.key, self.row = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.n = 0
         # output 0 is the word itself in units of eight bytes, filled with zeros
         self.at = [np.zeros(1, np.int64) for _ in range(len(self.kinds) + 1)]
@@ -66,7 +66,7 @@ class WordTable:
         self.size = np.zeros(0, np.int64)
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
-        return (h >> np.uint64(64 - BITS)).astype(np.int64)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Row of each hash, -1 if unknown."""
@@ -76,7 +76,7 @@ class WordTable:
             hit = k == h[todo]
             out[todo[hit]] = self.row[slot[hit]]
             on = ~hit & (k != 0)
-            todo, slot = todo[on], (slot[on] + 1) & ((1 << BITS) - 1)
+            todo, slot = todo[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
     def _add(self, h: np.ndarray) -> None:
@@ -87,7 +87,7 @@ class WordTable:
             self.key[slot[free]] = h[free]
             mine = self.key[slot] == h
             self.row[slot[mine]] = rows[mine]
-            h, rows, slot = h[~mine], rows[~mine], (slot[~mine] + 1) & ((1 << BITS) - 1)
+            h, rows, slot = h[~mine], rows[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
 
     def _append(self, words: list[bytes]) -> None:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -120,7 +120,7 @@ class WordTable:
         new = np.flatnonzero(out < 0)
         if len(new):
             fresh, first = np.unique(h[new], return_index=True)
-            if self.n + len(fresh) > CAP:
+            if self.n + len(fresh) > self.cap:
                 self.clear()
                 fresh, first = np.unique(h, return_index=True)
                 new = np.arange(len(h))
@@ -147,8 +147,8 @@ class WordTable:
         h = self.hash(np.frombuffer(data, np.uint8), starts, ends)
         lanes = np.ndarray((len(data),), "<u8", data + bytes(8), strides=(1,))
         parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in self.kinds]
-        for at in range(0, len(h), CAP):
-            some = slice(at, at + CAP)
+        for at in range(0, len(h), self.cap):
+            some = slice(at, at + self.cap)
             rows = self._rows(data, lanes, starts[some], ends[some], h[some])
             for i, part in enumerate(parts):
                 part.append(ragged(self.flat[i + 1], self.at[i + 1], rows))
