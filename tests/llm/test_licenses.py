@@ -122,3 +122,36 @@ def test_table(odd_docs, odd_texts, no_docs):
     got = license_table(odd_docs).collect()
     assert len(got) == len(odd_texts) and all(r.n_licenses == 0 and r.licenses == "" and r.spans == "" for r in got)
     assert license_table(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("License: MIT", ["MIT"]),
+    ("# My tool\n\nMIT License\n\nCopyright me", ["MIT"]),
+    ("License: GPLv3+", ["GPL-3.0-or-later"]),
+    ('"license" = "Apache-2.0"\nauthor = x', ["Apache-2.0"]),
+    ("License: BSD-3-Clause\nVersion: 1", ["BSD-3-Clause"]),
+    ("Distributed under the PostgreSQL License.", ["PostgreSQL"]),
+    ("Licensed under the EUPL 1.2", ["EUPL-1.2"]),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright", ["GPL-3.0-only"]),
+    ("Apache License\nVersion 2.0, January 2004\n\nTERMS", ["Apache-2.0"]),
+    ("The code is in the public domain.", ["public-domain"]),
+    ("This is not licensed under the MIT License.", []),
+    ("It isn't released under the GPL.", []),
+    ("SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", ["GPL-2.0-only WITH Linux-syscall-note"]),
+    ("SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)", ["GPL-2.0-only WITH Classpath-exception-2.0", "MIT"]),
+    ("the license of a driver", []),
+    ("license: see the office", []),
+    ("“Released under the MIT License” — all of it", ["MIT"]),
+])
+def test_labels_headings_and_denials(text, want):
+    assert sorted({x[0] for x in scan(text)}) == want
+
+
+def test_many_grants_take_linear_time():
+    import time
+
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software.\n\n"
+    began = time.process_time()
+    ids = [("mit-grant", 3 * i) for i in range(60_000)] + [("mit-warranty", 200_000)]
+    assert len(match_rules(ids)) == 60_000 and time.process_time() - began < 5
+    assert len(scan(grant * 8000)) == 8000

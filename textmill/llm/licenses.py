@@ -10,6 +10,7 @@ sentences apart.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from textmill.llm.shared import by_arrow, rows_out
 
 GAP = 6
 #: Each known sentence holds one of these, and each statement one, or a short name behind "under" or "subject to".
-MARKS = ("licen", "rights reserved", "copyright", "warrant", "redistrib", "unencumbered", "spdx", "creative commons", "permission", "advertising materials", "endorse or promote", "special exception", "classpath", "copy of the mpl", "anyone is free to copy", "held liable", "be liable", "public domain", "origin of this software", "plainly marked")
+MARKS = ("licen", "rights reserved", "copyright", "warrant", "redistrib", "unencumbered", "public domain", "spdx", "creative commons", "permission", "advertising materials", "endorse or promote", "special exception", "classpath", "copy of the mpl", "anyone is free to copy", "held liable", "be liable", "public domain", "origin of this software", "plainly marked")
 SHORT = re.compile(r"(?<![a-z])(?:[al]?gpl|mpl|bsl|bsd|epl|cc|mit|isc|wtfpl|apache|zlib|expat)(?![a-uw-z])")
 
 # Sentences of public licences, in lower case without punctuation; "*" stands for any words.
@@ -66,6 +67,7 @@ SENTENCES = {
     "wtfpl": "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed",
     "cc0": "to the extent possible under law * has waived all copyright and related or neighboring rights to *",
     "public-domain": "* released into the public domain",
+    "public-domain-state": "* is in the public domain",
     "all-rights": "* all rights reserved *",
 }
 # Names of licences in statements, as patterns over normalised words, and the identifiers they mean.
@@ -88,6 +90,8 @@ NAMES = [
     ("Unlicense", r"unlicense", ""),
     ("WTFPL", r"wtfpl", ""),
     ("CC0-1.0", r"(?:creative commons |cc ?)(?:zero|0)(?: public domain dedication)?", "1 0"),
+    ("PostgreSQL", r"postgresql license", ""),
+    ("EUPL-{v}", r"european union public license|eupl", "1 0|1 1|1 2"),
 ]
 CC_WORDS = {"attribution": "BY", "by": "BY", "noncommercial": "NC", "nc": "NC", "sharealike": "SA", "sa": "SA", "noderivatives": "ND", "noderivs": "ND", "nd": "ND"}
 CC = re.compile(r"(?:creative commons|cc)(?P<parts>(?: (?:attribution|by|noncommercial|non commercial|nc|sharealike|share alike|sa|noderivatives|noderivs|no derivatives|nd))+)(?: (?:version |v ?)?(?P<v>[1-4])(?: (?P<m>[0-9]))?)?")
@@ -133,7 +137,7 @@ RULES = [
     ("public-domain", ("public-domain",)),
     ("all-rights-reserved", ("all-rights",)),
 ]
-ALIAS = {"mit-short-grant": "mit-grant", "mit-bare-warranty": "mit-warranty", "boost-warranty": "mit-warranty", "gnu-see-plain": "gnu-see", "gnu-classpath": "gnu-exception"}
+ALIAS = {"public-domain-state": "public-domain", "mit-short-grant": "mit-grant", "mit-bare-warranty": "mit-warranty", "boost-warranty": "mit-warranty", "gnu-see-plain": "gnu-see", "gnu-classpath": "gnu-exception"}
 EXACT = {s: ALIAS.get(i, i) for i, s in SENTENCES.items() if "*" not in s}
 #: The exact ones by their last words: a heading or a copyright line may stand before a sentence without a stop.
 TAILS: dict[str, list[str]] = {}
@@ -145,6 +149,12 @@ OPEN_ENDED = [(ALIAS.get(i, i), re.compile(re.escape(s).replace(r"\ \*\ ", " (?:
 END = re.compile(r"(?<=[.!?])(?<![ (]v\.)(?<!\bVer\.)[\"')\]]*\s+|(?<=[:;])\s+(?=[^\w\n]*[A-Z0-9])|\n[^\w\n]*(?:\n[^\w\n]*)+")
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+() -]+)")
+#: A label at the start of a line, as in headers and package files, and its value.
+LABEL = re.compile(r"^[^\w\n]*licen[cs]e[\"']?[ \t]*[:=][ \t]*[\"']?([^\n\"',;]{2,60})", re.IGNORECASE | re.MULTILINE)
+#: What may stand behind a licence's name in a heading: the date of its text.
+DATED = re.compile(r"(?: [0-9]{1,2})?(?: (?:january|february|march|april|may|june|july|august|september|october|november|december) [0-9]{4})?")
+#: A statement behind one of these says the opposite.
+DENIED = re.compile(r"\b(?:not|never|cannot|nor|n t|isn t|aren t|wasn t)(?: \S+){0,2} $")
 SPDX_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9.+-]*")
 
 
@@ -172,6 +182,8 @@ def statements(s: str) -> list[tuple[str, str]]:
     """(class, identifier) of the licences that a normalised sentence says to be under, in order."""
     out = []
     for said in OPEN.finditer(s):
+        if DENIED.search(s, 0, said.start()):
+            continue
         at = said.end()
         while True:
             m = next((x for x in ((i, p.match(s, at)) for i, p in STATEMENTS) if x[1]), None)
@@ -204,6 +216,35 @@ def _named(ident: str, m: re.Match) -> tuple[str, str]:
     return kind, name
 
 
+def titled(s: str) -> list[tuple[str, str]]:
+    """(class, identifier) of the licence whose name, with a version and a date, is all that a normalised text says."""
+    s = re.sub(r"\b([al]?gpl|mpl|epl|eupl)v?([0-9])", r"\1 v\2", s.removeprefix("the "))
+    for ident, p in STATEMENTS:
+        if (m := p.match(s)) and DATED.fullmatch(s, m.end()):
+            return [_named(ident, m)]
+    if (c := CC.match(s)) and c.end() == len(s):
+        return [("other", "CC-" + "-".join(dict.fromkeys(CC_WORDS[w] for w in c["parts"].split())) + (f"-{c['v']}.{c['m'] or 0}" if c["v"] else ""))]
+    return []
+
+
+def expression(text: str) -> list[tuple[str, int, int]]:
+    """(identifier, start, end) of an SPDX expression; an exception belongs to the licence before it."""
+    out: list[tuple[str, int, int]] = []
+    joins = False
+    for x in SPDX_ID.finditer(text):
+        if x.group().upper() in ("OR", "AND"):
+            continue
+        if x.group().upper() == "WITH":
+            joins = bool(out)
+        elif joins:
+            name, a, _ = out.pop()
+            out.append((f"{name} WITH {x.group()}", a, x.end()))
+            joins = False
+        else:
+            out.append((x.group(), *x.span()))
+    return out
+
+
 def _at_end(s: str) -> str | None:
     """Identifier of the longest known sentence that a normalised one ends with."""
     found = [x for x in TAILS.get(" ".join(s.rsplit(" ", 4)[-4:]), ()) if s.endswith(" " + x)]
@@ -218,7 +259,7 @@ def identifiers(text: str) -> list[tuple[str, str, int, int, int]]:
             continue
         s = normalised(text[a:b])
         known = EXACT.get(s) or _at_end(s) or next((i for i, p in OPEN_ENDED if p.fullmatch(s)), None)
-        said = statements(s)
+        said = statements(s) or (titled(s) if "license" in s else [])
         out += [(kind, name, place, a, b) for kind, name in said]
         if known and not (said and known in ("public-domain", "all-rights")):
             out.append((known, "", place, a, b))
@@ -239,10 +280,13 @@ def match_rules(ids: list[tuple[str, int]], gap: int = GAP) -> list[tuple[int, l
                 continue
             got = [first]
             for want in rule[1:]:
-                k = next((k for k in range(got[-1] + 1, len(ids)) if not used[k] and ids[k][0] == want), None)
-                if k is None or ids[k][1] - ids[got[-1]][1] > gap:
+                places = where[want]
+                at = bisect.bisect_right(places, got[-1])
+                while at < len(places) and used[places[at]] and ids[places[at]][1] - ids[got[-1]][1] <= gap:
+                    at += 1
+                if at == len(places) or ids[places[at]][1] - ids[got[-1]][1] > gap:
                     break
-                got.append(k)
+                got.append(places[at])
             if len(got) == len(rule):
                 for k in got:
                     used[k] = True
@@ -254,8 +298,10 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     """(licence, start, end) of each match of a rule and each SPDX identifier, by start."""
     if not text or not marked(text.lower()):
         return []
-    out = [(x.group(), m.start(), m.end()) for m in SPDX.finditer(text) for x in SPDX_ID.finditer(m[1]) if x.group() not in ("OR", "AND", "WITH", "or", "and", "with")]
-    ids = identifiers(text)
+    out = [(x, m.start(), m.end()) for m in SPDX.finditer(text) for x, _, _ in expression(m[1])]
+    for m in LABEL.finditer(text):
+        out += [(name, m.start(), m.end()) for _, name in titled(normalised(m[1].replace("+", " or later")))]
+    ids = [x for x in identifiers(text) if not any(a <= x[3] and x[4] <= b for _, a, b in out)]
     for r, got in match_rules([(x[0], x[2]) for x in ids]):
         name = re.sub(r"<\w+>", lambda _: ids[got[0]][1], RULES[r][0])
         out.append((name, ids[got[0]][3], ids[got[-1]][4]))
