@@ -99,6 +99,10 @@ def _shape(s: str) -> str:
 CUES = {"email": "mail", "mail": "mail", "contact": "mail", "ip": "ip", "host": "ip", "server": "ip", "card": "card", "visa": "card", "account": "card", "iban": "iban", "phone": "phone", "tel": "phone", "call": "phone", "mobile": "phone", "fax": "phone", "token": "secret", "key": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "pwd": "secret", "bank": "iban", "ssn": "id", "passport": "id", "social": "id"}
 
 
+#: Addresses with a run of zeros left out.
+SHORT_IP = re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){1,6}(?::[0-9a-fA-F]{1,4}){1,6}(?![\w:])")
+
+
 def mod_97(s: str) -> bool:
     """The check digits of a bank account hold."""
     s = s.replace(" ", "").upper()
@@ -132,6 +136,8 @@ def features(s: str, before: str, assigned: bool = False) -> list[str]:
         f.append("upper-letters")
     if s.count(":") > 3 and re.fullmatch(r"(?:[0-9a-fA-F]{0,4}:){2,7}[0-9a-fA-F]{1,4}", s):
         f += ["colon-groups", f"colons={s.count(':')}"]
+    if "::" in s and SHORT_IP.fullmatch(s):
+        f.append("short-groups" if digits else "scoped-words")
     if re.match(r"[A-Z]{2}[0-9]{2}", s):
         f.append("check-digits" if mod_97(s) else "account-like")
     if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}", s):
@@ -158,6 +164,8 @@ def starts(text: str, x: int, y: int) -> list[tuple[int, int]]:
     # the pattern of runs is tried only where a word is long enough
     if any(len(w) >= 16 and RUN.search(w) for w in text[x:y].split()):
         near += [(m.start(), m.start()) for m in RUN.finditer(text, x, y)]
+    if "::" in text[x:y]:
+        near += [(m.start(), m.start()) for m in SHORT_IP.finditer(text, x, y)]
     near += [(at, at) for at in assigned(text, x, y)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(near):
@@ -194,7 +202,7 @@ def candidates(text: str, tokens: list[tuple[int, int]], near: list[tuple[int, i
             if b - a < 6 or not text[b - 1].isalnum():
                 continue
             s = text[a:b]
-            if a in values and not re.search(r"[\s\"'<>]", s) and (b == len(text) or text[b] in " \t\n\"',;.<>)" or b == tokens[-1][1]) or j == i + 1 and RUN.fullmatch(s):
+            if a in values and not re.search(r"[\s\"'<>]", s) and (b == len(text) or text[b] in " \t\n\"',;.<>)" or b == tokens[-1][1]) or j == i + 1 and RUN.fullmatch(s) or "::" in s and (m := SHORT_IP.match(text, a)) and m.end() == b:
                 yield i, j
                 continue
             if b - a < 7:
@@ -302,16 +310,18 @@ def synthetic(n: int = 600, seed: int = 11) -> list[tuple[str, list[tuple[int, i
 
     make = {
         0: email,
-        1: lambda: r.choice((r.choice((".", " . ")).join(str(r.randint(1, 255)) for _ in range(4)), ":".join(hexa(4) for _ in range(8)), f"2001:db8::{hexa(4)}:{num(2)}:{hexa(4)}")),
+        1: lambda: r.choice((r.choice((".", " . ")).join(str(r.randint(1, 255)) for _ in range(4)), ":".join(hexa(4) for _ in range(8)), f"2001:db8::{hexa(4)}:{num(2)}:{hexa(4)}", f"fe80::{hexa(r.randint(1, 4))}", f"{hexa(4)}:{hexa(4)}::{hexa(r.randint(1, 4))}")),
         2: card,
-        3: lambda: r.choice((f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(11)}", f"0{num(3)} {num(7)}", f"0{num(2)}/{num(7)}")),
-        4: lambda: r.choice(("AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), hexa(40), hexa(32), some("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", 32))),
+        3: lambda: r.choice((f"0{r.randint(1, 9)} " + " ".join(num(2) for _ in range(4)), f"0{r.randint(1, 9)}." + ".".join(num(2) for _ in range(4)), f"+{r.randint(1, 99)} ({num(3)}) {num(3)}-{num(4)}", f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"+{num(11)}", f"0{num(3)} {num(7)}", f"0{num(2)}/{num(7)}")),
+        4: lambda: r.choice(("AKIA" + some("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), some("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", 32))),
         5: iban,
         6: lambda: f"{num(3)}-{num(2)}-{num(4)}",
     }
-    none = (lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: num(5), lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"version {num(1)}.{num(2)}.{num(3)}", lambda: num(14), lambda: f"{num(4)} {num(4)}", lambda: f"{word()} {num(3)}", lambda: f"{num(3)}.{num(5)}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"{word()}{num(6)}", lambda: f"isbn {num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", lambda: some("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 8), lambda: f"{word()} at {word()} {word()}")
+    # digests, commits and identifiers are runs of hexadecimal digits too: without a cue they are no secrets
+    digest = lambda: r.choice(("commit ", "md5 ", "sha1 ", "sha256: ", "rev ", "digest ", "checksum ", "etag ", "", "", "")) + r.choice((hexa(40), hexa(32), hexa(64), hexa(12), "-".join(map(hexa, (8, 4, 4, 4, 12)))))
+    none = (digest, digest, digest, lambda: r.choice(("add::face", "bad::cafe", "dead::beef::add")), lambda: f"{num(4)}-{num(2)}-{num(2)}", lambda: num(5), lambda: f"{num(1)},{num(3)},{num(3)}", lambda: f"version {num(1)}.{num(2)}.{num(3)}", lambda: num(14), lambda: f"{num(4)} {num(4)}", lambda: f"{word()} {num(3)}", lambda: f"{num(3)}.{num(5)}", lambda: f"{num(2)}:{num(2)}:{num(2)}", lambda: f"{word()}{num(6)}", lambda: f"isbn {num(3)}-{num(1)}-{num(4)}-{num(4)}-{num(1)}", lambda: some("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 8), lambda: f"{word()} at {word()} {word()}")
     cues = {0: ("email", "contact"), 1: ("host", "server"), 2: ("card", "account"), 3: ("phone", "call", "tel"), 4: ("token =", "key:", "secret"), 5: ("bank", "iban"), 6: ("ssn", "social")}
-    values = (lambda: hexa(r.randint(8, 20)), lambda: word() + num(r.randint(1, 3)), lambda: word() + some("!#%&", 1) + num(2) + word(), lambda: make[4]())
+    values = (lambda: hexa(r.randint(8, 20)), lambda: hexa(r.choice((32, 40))), lambda: word() + num(r.randint(1, 3)), lambda: word() + some("!#%&", 1) + num(2) + word(), lambda: make[4]())
     out = []
     for _ in range(n):
         text, gold = " ".join(word() for _ in range(r.randint(1, 4))), []
