@@ -55,6 +55,18 @@ def test_pieces_property(text):
     c = codec(PIECE)
     ((ids, digits),) = c.encode([text])
     assert ids.tolist() == c.library.encode(text) and digits.decode() == ",".join(map(str, ids.tolist()))
+    assert c.differing == 0
+
+
+def test_units_that_differ_are_counted(monkeypatch):
+    c = PieceCodec(PIECE)
+    texts = [r[0] for r in __import__("pyarrow.parquet", fromlist=["x"]).read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).to_pandas().head(300).itertuples(index=False)]
+    assert len(list(c.encode(texts))) == 300 and c.differing == 0
+    broken = PieceCodec(PIECE)
+    monkeypatch.setattr(broken, "merge", lambda units: (np.concatenate([broken.symbol[[ord(x) for x in u]] for u in units]), np.array([len(u) for u in units])))
+    with pytest.warns(RuntimeWarning, match="differ"):
+        ((ids, _),) = broken.encode(["hello there"])
+    assert broken.differing > 0 and ids.tolist() == c.library.encode("hello there")
 
 
 def test_damage_is_found():
