@@ -98,3 +98,16 @@ def test_archives_round_trip(spark):
     assert sorted((str(x.page_id), x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got) == want
     assert all((x.payload is None) == (x.record_type == "revisit") for x in got)
     assert read_archives(write_archives(df.limit(0))).count() == 0
+
+
+def test_media_without_packets_and_null_media(spark):
+    from textmill.llm.matroska import element, media_digests, packet_table, parse
+
+    head, empty = element(0x1A45DFA3, b""), element(0x1A45DFA3, b"") + element(0x18538067, b"")
+    for data in (b"", head, b"no file at all"):
+        with pytest.raises(ValueError):
+            parse(data)
+    df = spark.createDataFrame([(1, 0, bytearray(empty)), (2, 5, None)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media_digests(df).collect()}
+    assert got[1].payload_bytes == 0 and "last_ns=-1" in got[1].feature and got[2].feature is None and got[2].n_bytes == 5
+    assert packet_table(df).count() == 0

@@ -157,8 +157,10 @@ def laces(data: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
 
 
 def parse(data: bytes) -> Media:
-    """Tables of a Matroska file. ValueError for damaged files, and for cues that name no cluster."""
+    """Tables of a Matroska file. ValueError for damaged files, those without a segment, and cues that name no cluster."""
     try:
+        if all(i != SEGMENT for i, _, _ in elements(data, 0, len(data))):
+            raise ValueError("no segment")
         return _parse(data)
     except (IndexError, struct.error) as e:
         raise ValueError("cut off within an element") from e
@@ -262,7 +264,7 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
         for b in batches:
             rows = []
             for doc, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                m = parse(data) if data else Media()
+                m = parse(data) if data is not None else Media()
                 cued = {(t, time) for time, t, _ in m.cues}
                 rows += [(doc, t, m.codecs.get(t), time, o, n, k, (t, time) in cued) for t, time, o, n, k in m.packets]
             cols = list(zip(*rows)) or [()] * 8
@@ -273,17 +275,20 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Per row of ``media_column``: what its file gives when it is read back, with a feature string of packets, clusters, cues, duration and sample moments."""
+    """Per row of ``media_column``: what its file gives when it is read back, with a feature string of packets, clusters, cues, duration (-1 without packets) and sample moments. Null media give nulls; damaged files raise."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for doc, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                if data is None:
+                    rows.append((doc, n, *[None] * 6))
+                    continue
                 m = parse(data)
                 payload = b"".join([data[o : o + s] for _, _, o, s, _ in m.packets])
                 x = np.frombuffer(payload, np.uint8).astype(np.int64)
                 crossings = int(np.count_nonzero((x[1:] >= 128) != (x[:-1] >= 128)))
-                feature = f"packets={len(m.packets)};clusters={m.clusters};cues={len(m.cues)};last_ns={m.packets[-1][1]};sum={int(x.sum())};squares={int((x * x).sum())};crossings={crossings}"
+                feature = f"packets={len(m.packets)};clusters={m.clusters};cues={len(m.cues)};last_ns={m.packets[-1][1] if m.packets else -1};sum={int(x.sum())};squares={int((x * x).sum())};crossings={crossings}"
                 rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             cols = list(zip(*rows)) or [()] * 8
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
