@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.operators.lexical import small
+from textmill.storage import checkpointed
 
 
 def case_scores(judged: DataFrame, cases: DataFrame) -> DataFrame:
@@ -73,6 +74,15 @@ def tag_aggregate(cases: DataFrame) -> DataFrame:
     return rows.select("tag", F.explode("all").alias("x")).select("tag", "x.metric", "x.m.value", "x.m.n")
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """The rows with ``idx`` from 0 in order: ranges are numbered apart, each from the number of rows in those before it."""
+    dealt = checkpointed(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    offset = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).select("part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
+    return dealt.withColumn("own", own).join(F.broadcast(offset), "part").withColumn("idx", (F.col("own") + F.col("before")).cast("long")).drop("part", "own", "before")
+
+
 def bootstrap(values: DataFrame, rounds: int = 1000) -> DataFrame:
     """One row (mean, low, high): percentile interval of resampled means. Draws are MD5 of round and place modulo n, so any engine can repeat them; values are (idx from 0, v), few per run."""
     n = values.count()

@@ -141,8 +141,8 @@ select (select round(avg(v), 6) from v) as mean, round(max(m) filter (where k =
 
 
 def _indexed(per_user: DataFrame) -> DataFrame:
-    """(idx, v) by user; one row per user, so the single window is small."""
-    return per_user.withColumn("idx", (F.row_number().over(Window.orderBy("user_id")) - 1).cast("long")).select("idx", "v")
+    """(idx, v) by user."""
+    return evaluate.numbered(per_user, "user_id").select("idx", "v")
 
 
 @query("with " + _boot("select row_number() over (order by user_id) - 1 as idx, round(avg(value), 6) as v from events group by user_id"))
@@ -166,7 +166,7 @@ def paired_delta(t: Tables) -> DataFrame:
 def prefix_curve(t: Tables) -> DataFrame:
     """Mean over the first 50, 100, 200 and all users, those prefixes that are there."""
     u = t.events.groupBy("user_id").agg(F.avg("value").alias("v"))
-    u = u.withColumn("rn", F.row_number().over(Window.orderBy("user_id"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    u = evaluate.numbered(u, "user_id").withColumn("rn", F.col("idx") + 1).crossJoin(F.broadcast(u.agg(F.count(F.lit(1)).alias("n"))))
     u = u.withColumn("prefix", F.explode(F.array(*(F.lit(p).cast("long") for p in (50, 100, 200, 1_000_000)))))
     return u.filter("rn <= prefix and (prefix <= n or prefix = 1000000)").groupBy("prefix").agg(F.round(F.avg("v"), 6).alias("mean"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import text as tx
-from textmill.operators import dedup, layout, split
+from textmill.operators import dedup, layout, lexical, split
 from textmill.plans.registry import Tables, query
 
 TOK = r"regexp_extract_all(lower(text), '[a-z][a-z0-9_\-]+')"
@@ -311,7 +311,7 @@ def gold_in_corpus(t: Tables) -> DataFrame:
     """Whether the first 60 normalised characters of a passage are in a document."""
     gold = t.benchmark.select("item_id", F.substr(tx.gold_form(F.col("text")), F.lit(1), F.lit(60)).alias("s"))
     # equality on the first 20 characters at every offset would explode the corpus; the passages are few and checked, so they are sent to the documents
-    found = containing(t.documents.select(tx.gold_form(F.col("text")).alias("d")), gold, "d", "s").select("item_id").distinct().withColumn("present", F.lit(True))
+    found = containing(t.documents.select("doc_id", tx.gold_form(F.col("text")).alias("d")), gold, "d", "s").select("item_id").distinct().withColumn("present", F.lit(True))
     return gold.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("present", F.lit(False)).alias("present"))
 
 
@@ -322,22 +322,27 @@ def layout_restored(t: Tables) -> DataFrame:
     return r.select("doc_id", "columns_found", "headers_replayed", "lines_moved", "page_breaks", F.length("text").alias("n_chars"))
 
 
-#: Bytes of snippets that are sent to the documents in one pass.
-BROADCAST_BYTES = 64 << 20
-
-
-def containing(docs: DataFrame, items: DataFrame, text: str, snippet: str) -> DataFrame:
-    """Documents joined with the items whose snippet they contain, one pass over the documents for each block of items of a checked size in bytes."""
-    size = items.agg(F.sum(F.octet_length(snippet) + 64)).first()[0] or 0
-    blocks = max(1, -(-size // BROADCAST_BYTES))
-    if blocks == 1:
-        return docs.join(F.broadcast(items), F.contains(docs[text], items[snippet]))
-    out = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64(*items.columns), F.lit(blocks)) == b)
-        got = docs.join(F.broadcast(part), F.contains(docs[text], part[snippet]))
-        out = got if out is None else out.union(got)
-    return out
+def containing(docs: DataFrame, items: DataFrame, text: str, snippet: str, id_col: str = "doc_id") -> DataFrame:
+    """Documents joined with the items whose snippet they contain.
+
+    A text that contains a snippet has its inner words whole, all but the first
+    and the last. So texts and snippets meet by the snippet's longest inner word,
+    an equality join over words without texts, and only what meets is searched.
+    Snippets without an inner word are searched in all texts.
+    """
+    words = F.split(items[snippet], r"\s+")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.element_at(F.array_sort(F.filter(inner, lambda w: w != ""), lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, 1).when(a > b, -1).otherwise(0)), -1)
+    keyed = items.select(F.struct(*items.columns).alias("item"), F.when(F.size(F.filter(inner, lambda w: w != "")) > 0, longest).alias("word"))
+    of = docs.select(docs[id_col].alias("id"), F.explode(F.array_distinct(F.split(docs[text], r"\s+"))).alias("word"))
+    met = of.join(lexical.small(keyed.filter("word is not null")), "word").select("id", "item")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), docs[id_col].alias("at"))
+    pairs = rows.join(met, F.col("at").eqNullSafe(F.col("id"))).select("doc", "item")
+    bare = keyed.filter("word is null").select("item")
+    if not bare.isEmpty():
+        pairs = pairs.unionByName(rows.select("doc").crossJoin(lexical.small(bare)))
+    found = pairs.filter(F.contains(F.col("doc").getField(text), F.col("item").getField(snippet)))
+    return found.select(*(F.col("doc").getField(c).alias(c) for c in docs.columns), *(F.col("item").getField(c).alias(c) for c in items.columns))
 
 
 @query()
