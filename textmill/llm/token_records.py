@@ -219,7 +219,7 @@ def write_token_records(docs: DataFrame, tokenizer: str, end_id: int, id_col: st
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    return written(by_arrow(rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text"), f, "shard int, path string, index string, records long, tokens long", rows=64), "token-manifest")
+    return written(by_arrow(rows.repartitionByRange(shards, "id").sortWithinPartitions("id", "text"), f, "shard int, path string, index string, records long, tokens long"), "token-manifest")
 
 
 _encoders: dict[str, WordIds] = {}

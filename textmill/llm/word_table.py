@@ -48,6 +48,23 @@ class Hasher:
         return ((h[ends] - h[starts]) * self.down[starts] ^ (ends - starts).astype(np.uint64)) | np.uint64(1)
 
 
+class Grown:
+    """An array that grows at its end; ``data`` has room behind the ``n`` values that count."""
+
+    def __init__(self, kind: type, first: tuple = ()) -> None:
+        self.data, self.n = np.array(first, kind), len(first)
+
+    def put(self, values: np.ndarray) -> None:
+        """Appends values; room grows by half, so each is copied a few times at most."""
+        end = self.n + len(values)
+        if end > len(self.data):
+            grown = np.empty(max(end, len(self.data) * 3 // 2), self.data.dtype)
+            grown[: self.n] = self.data[: self.n]
+            self.data = grown
+        self.data[self.n : end] = values
+        self.n = end
+
+
 class WordTable:
     """Rows of one or more ragged outputs per word. ``encode`` gets a list of words as bytes and returns, for each output, the values of all words one after another and each word's number of values."""
 
@@ -61,9 +78,9 @@ class WordTable:
         self.key, self.row = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         self.n = 0
         # output 0 is the word itself in units of eight bytes, filled with zeros
-        self.at = [np.zeros(1, np.int64) for _ in range(len(self.kinds) + 1)]
-        self.flat = [np.zeros(0, k) for k in (np.uint64, *self.kinds)]
-        self.size = np.zeros(0, np.int64)
+        self.at = [Grown(np.int64, (0,)) for _ in range(len(self.kinds) + 1)]
+        self.flat = [Grown(k) for k in (np.uint64, *self.kinds)]
+        self.size = Grown(np.int64)
 
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -93,15 +110,15 @@ class WordTable:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         lanes = np.frombuffer(b"".join([w + ZEROS[len(w) & 7] for w in words]), np.uint64)
         for i, (flat, n) in enumerate([(lanes, sizes + 7 >> 3), *self.encode(words)]):
-            self.at[i] = np.concatenate((self.at[i], self.at[i][-1] + np.cumsum(n)))
-            self.flat[i] = np.concatenate((self.flat[i], flat.astype(self.flat[i].dtype, copy=False)))
-        self.size = np.concatenate((self.size, sizes))
+            self.at[i].put(self.at[i].data[self.at[i].n - 1] + np.cumsum(n))
+            self.flat[i].put(flat)
+        self.size.put(sizes)
         self.n += len(words)
 
     def _differ(self, lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Places of the words whose bytes aren't those of their rows; ``lanes`` has the eight bytes from each byte of the buffer on."""
         sizes = ends - starts
-        wrong = self.size[rows] != sizes
+        wrong = self.size.data[rows] != sizes
         same = np.flatnonzero(~wrong & (sizes > 0))
         if len(same):
             n = sizes[same] + 7 >> 3
@@ -109,7 +126,7 @@ class WordTable:
             step = np.arange(int(n.sum())) - np.repeat(borders, n)
             own = lanes[np.repeat(starts[same], n) + 8 * step]
             own[borders + n - 1] &= MASK[sizes[same] & 7]
-            unlike = self.flat[0][np.repeat(self.at[0][rows[same]], n) + step] != own
+            unlike = self.flat[0].data[np.repeat(self.at[0].data[rows[same]], n) + step] != own
             if unlike.any():
                 wrong[same] = np.logical_or.reduceat(unlike, borders)
         return np.flatnonzero(wrong)
@@ -151,7 +168,7 @@ class WordTable:
             some = slice(at, at + self.cap)
             rows = self._rows(data, lanes, starts[some], ends[some], h[some])
             for i, part in enumerate(parts):
-                part.append(ragged(self.flat[i + 1], self.at[i + 1], rows))
+                part.append(ragged(self.flat[i + 1].data, self.at[i + 1].data, rows))
         out = []
         for part, kind in zip(parts, self.kinds):
             if len(part) == 1:
