@@ -13,6 +13,9 @@ from textmill.operators.lexical_index import LexicalIndex
 from textmill.shipping import ensure_importable
 from textmill.storage import Conflict, Store, checkpointed, shared_dir
 
+#: Raised when what is stored for queries changes its form: older folders are then left alone.
+FORMAT = 1
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -35,7 +38,7 @@ class Tables:
         for table in tables:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{table}.parquet")
             files += sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in path.getFileSystem(conf).listStatus(path))
-        return hashlib.sha256(repr(files).encode()).hexdigest()[:24]
+        return hashlib.sha256(repr((FORMAT, files)).encode()).hexdigest()[:24]
 
     def _stored(self, kind: type, name: str, table: str, rows: DataFrame | None = None) -> object:
         """The index of a table in the shared folder; built by the first query that asks for it."""
