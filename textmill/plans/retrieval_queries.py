@@ -78,8 +78,7 @@ def ann_cells_topk(t: Tables) -> DataFrame:
 @query("select q.vec_id as qid, v.label, round(max(list_cosine_similarity(q.embedding::double[], v.embedding::double[])), 6) as best from embeddings q, embeddings v where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id group by all")
 def cosine_pairs(t: Tables) -> DataFrame:
     """Best cosine per label, as intents match prototypes."""
-    q = lexical.small(t.embeddings.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 2000)
-    return t.embeddings.crossJoin(q).filter("vec_id <> qid").groupBy("qid", "label").agg(F.round(F.max(tx.cosine(F.col("q"), F.col("embedding"))), 6).alias("best"))
+    return dense.label_best(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings).select("qid", "label", F.round("score", 6).alias("best"))
 
 
 TERMS = "item_id, doc_id, rnk, score"
