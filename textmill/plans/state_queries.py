@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textmill.functions import text as tx
-from textmill.operators import dedup, lexical, state
+from textmill.operators import dedup, dense, lexical, state
 from textmill.plans.registry import Tables, query
 from textmill.plans.text_queries import HASH, TOK
 
@@ -102,10 +102,8 @@ CACHE = "cs as (select q.vec_id as qid, v.vec_id, round(list_cosine_similarity(q
 
 def cache(t: Tables) -> DataFrame:
     """(qid, entry, score): the best entry of the same scope."""
-    e = t.embeddings
-    q = lexical.small(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), "label"), 2000)
-    s = e.join(q, "label").filter("vec_id <> qid").select("qid", "vec_id", F.round(tx.cosine(F.col("q"), F.col("embedding")), 6).alias("s"))
-    return s.groupBy("qid").agg(F.max_by("vec_id", F.struct("s", -F.col("vec_id"))).alias("entry"), F.max("s").alias("score"))
+    best = dense.label_best(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings, own=True)
+    return best.select("qid", F.col("vec_id").alias("entry"), "score")
 
 
 @query(f"with {CACHE} select qid, entry, score, score >= 0.7 as hit from cl")
