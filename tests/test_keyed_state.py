@@ -105,3 +105,57 @@ def test_cache_against_a_plain_one(spark, folder):
     assert {x[0] for x in want.values()} == {"put", "hit", "miss", "no_scope"}
     held = keyed.held_state(spark, f"{folder}/run", "entries").select("key.scope", "user_map_key.entry", "user_map_value.hits")
     assert rows(held) == sorted(((s, e, x[1]) for s, c in plain.items() for e, x in c.held.items()), key=str)
+
+
+class Held(dict):
+    """A state variable of the kinds that ``Episodes`` uses."""
+
+    appendList = lambda self, xs: self.update({(e,): (at,) for e, at in xs})
+    get = lambda self: iter([(e, at) for (e,), (at,) in self.items()])
+    iterator = lambda self: iter(list(self.items()))
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+
+class Handle:
+    def __init__(self):
+        self.timers, self.most = set(), 0
+
+    def getListState(self, *a):  # noqa: N802
+        return Held()
+
+    getMapState = getListState
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+        self.most = max(self.most, len(self.timers))
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def test_a_user_has_one_timer_however_many_episodes():
+    import pandas as pd
+
+    handle, e = Handle(), keyed.Episodes(1000)
+    e.init(handle)
+    times = [1_000_000 + 10 * i for i in range(50)]
+    list(e.handleInputRows((7,), iter([pd.DataFrame({"event_id": range(50), "ts": pd.to_datetime(times, unit="ms")})]), Now(0)))
+    got, fired = [], 0
+    for water in (1_000_500, 1_001_105, 1_001_105, 1_009_999):
+        for at in sorted(t for t in handle.timers if t <= water):
+            handle.timers.discard(at)
+            fired += 1
+            for out in e.handleExpiredTimer((7,), Now(water), Now(at)):
+                got += [(x.event_id, x.expired_at.value // 1_000_000) for x in out.itertuples()]
+        assert len(e.fresh) == 0 and {k[0] for k in e.held} == {i for i, t in enumerate(times) if t + 1000 > water}
+    assert got == [(i, t + 1000) for i, t in enumerate(times)]
+    assert handle.most == 1 and fired == 3 and not handle.timers

@@ -59,31 +59,48 @@ class Facts(StatefulProcessor):
 
 
 class Episodes(StatefulProcessor):
-    """Episodes of a user by number, each with a timer ``ttl`` after its time; what expires comes out once."""
+    """Episodes of a user by number, each expiring ``ttl`` after its time; what expires comes out once.
+
+    What a batch brings is appended to ``fresh`` in one call. A user has one
+    timer: past the watermark while something is fresh, else at the least expiry
+    held. When it fires, all that the watermark has passed goes in one pass, and
+    what is fresh and hasn't expired moves to ``held``.
+    """
 
     def __init__(self, ttl_ms: int) -> None:
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.fresh = handle.getListState("fresh", "event_id long, expires long")
         self.held = handle.getMapState("held", "event_id long", "expires long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        timers = set(self.handle.listTimers())
-        for ts, event in _ordered(rows, "ts", "event_id")[["ts", "event_id"]].itertuples(index=False):
-            at = _ms(ts) + self.ttl
-            self.held.updateValue((int(event),), (at,))
-            if at not in timers:
-                timers.add(at)
-                self.handle.registerTimer(at)
+        self.fresh.appendList([(int(event), _ms(ts) + self.ttl) for ts, event in _ordered(rows, "ts", "event_id")[["ts", "event_id"]].itertuples(index=False)])
+        soon, timers = max(timerValues.getCurrentWatermarkInMs(), 0) + 1, list(self.handle.listTimers())
+        if soon not in timers:
+            for at in timers:
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(soon)
         yield from ()
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802,N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        gone = sorted(k[0] for k, v in self.held.iterator() if v[0] <= at)
-        for event in gone:
-            self.held.removeKey((event,))
-        yield pd.DataFrame([(key[0], e, pd.Timestamp(at, unit="ms")) for e in gone], columns=["user_id", "event_id", "expired_at"])
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        # of a number that comes again, the last time counts
+        stored, fresh = {k[0]: v[0] for k, v in self.held.iterator()}, dict(self.fresh.get())
+        due = stored | fresh
+        left = {event: at for event, at in due.items() if at > now}
+        for event in stored:
+            if event not in left:
+                self.held.removeKey((event,))
+        for event in fresh:
+            if event in left:
+                self.held.updateValue((event,), (left[event],))
+        self.fresh.clear()
+        if left:
+            self.handle.registerTimer(min(left.values()))
+        gone = sorted((at, event) for event, at in due.items() if at <= now)
+        yield pd.DataFrame({"user_id": key[0], "event_id": [e for _, e in gone], "expired_at": pd.to_datetime([at for at, _ in gone], unit="ms")})
 
     def close(self) -> None:
         """Nothing to close."""
