@@ -149,3 +149,35 @@ def test_codes_bound_the_scores(spark):
     assert np.allclose(np.sqrt(((m - book.cells[cell] - book.decode(code)) ** 2).sum(axis=1)), rest)
     plain = [min(((x - book.cells[c] - np.concatenate([book.words[0][i], book.words[1][j], book.words[2][k]])) ** 2).sum() for i in range(7) for j in range(7) for k in range(7)) for x, c in zip(m, cell)]
     assert np.allclose(np.array(plain) ** 0.5, rest)
+
+
+def test_best_of_blocks_are_those_of_all_scores(spark, store, monkeypatch):
+    import random
+
+    monkeypatch.setattr(lexical, "ITEM_BLOCK", 7)
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 16)
+    monkeypatch.setattr(lexical, "AT_ONCE", 64)
+    r = random.Random(9)
+    words = [f"w{chr(97 + i)}" for i in range(20)] + ["缓存", "内存"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    docs = [(i, text(r.randrange(30))) for i in range(150)] + [(200 + i, "wa wb wb 缓存") for i in range(90)] + [(400, None), (401, ""), (402, "zz"), (403, "wa wc"), (403, "wc wd"), (-5, "wa wb wb 缓存")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    items = spark.createDataFrame([(i, text(r.randrange(1, 9))) for i in range(40)] + [(50, "wa wb 缓存"), (51, "nowhere"), (52, "")], "item_id long, text string")
+    index, terms = LexicalIndex(store), lexical.query_terms(items)
+    index.rebuild(docs.filter("doc_id % 2 = 0"))
+    index.add(docs)
+    rows = lambda df: sorted(map(tuple, df.select("item_id", "doc_id", "score", "rnk").collect()))
+    assert rows(index.top_k(terms, 5)) == rows(lexical.top_k(index.bm25(terms), 5))
+    plain = index.postings().join(terms, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    assert rows(index.overlap_top_k(terms, 5)) == rows(lexical.top_k(plain, 5))
+    assert [x.doc_id for x in index.top_k(terms, 5).filter("item_id = 50").orderBy("rnk").collect()][:1] in ([-5], [200], [403]) and index.store.read("documents").filter("doc_id = 403").first().dl == 4
+    plan = index.top_k(terms, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "doc_id" not in "".join(x for x in plan.splitlines() if "hashpartitioning(item_id" in x and "doc_id," in x.split("hashpartitioning")[1])
+
+
+def test_vectors_of_counts_are_those_of_texts(spark, sf, store):
+    docs, index = spark.read.parquet(f"{sf}/documents.parquet"), LexicalIndex(store)
+    index.rebuild(docs)
+    want = {x.id: x.embedding for x in dense.packed(dense.hashed_vectors(docs, "doc_id")).collect()}
+    got = {x.doc_id: x.embedding for x in dense.counted_vectors(index.forward()).collect()}
+    assert got.keys() == want.keys() and all(abs(a - b) < 1e-12 for i in got for a, b in zip(got[i], want[i]))
