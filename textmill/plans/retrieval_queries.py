@@ -27,7 +27,7 @@ def hits(t: Tables, k: int) -> DataFrame:
     """BM25 hits of the benchmark passages in the stored index."""
     if "evidence" in t.pinned:
         return t.pinned["evidence"].filter(F.col("rnk") <= k).select("item_id", "doc_id", "score", "rnk")
-    return lexical.top_k(t.index.bm25(lexical.query_terms(t.benchmark)), k)
+    return t.index.top_k(lexical.query_terms(t.benchmark), k)
 
 
 @query(f"with {INDEX} select term, df::bigint as df from df")
@@ -86,8 +86,7 @@ TERMS = "item_id, doc_id, rnk, score"
 
 def overlap_channel(t: Tables, k: int) -> DataFrame:
     """Second channel: documents by how many of the query's distinct terms they hold."""
-    q = lexical.query_terms(t.benchmark).select("item_id", "term")
-    return lexical.top_k(t.index.of_terms(q).join(lexical.small(q), "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("score")), k)
+    return t.index.overlap_top_k(lexical.query_terms(t.benchmark), k)
 
 
 OVERLAP = "ov as (select * from (select item_id, doc_id, count(*) as score, row_number() over (partition by item_id order by count(*) desc, doc_id) as rnk from qt join tf using (term) group by item_id, doc_id) where rnk <= 24)"
@@ -114,7 +113,8 @@ de as (select * from (select *, row_number() over (partition by item_id order by
 
 def dense_hits(t: Tables, k: int) -> DataFrame:
     """(item_id, doc_id, score, rnk): documents by the cosine of hashed vectors of whole texts."""
-    q, d = (dense.packed(dense.hashed_vectors(x, i)).withColumnRenamed("id", i) for x, i in ((t.benchmark, "item_id"), (t.documents, "doc_id")))
+    q = dense.packed(dense.hashed_vectors(t.benchmark, "item_id")).withColumnRenamed("id", "item_id")
+    d = dense.counted_vectors(t.index.forward())
     return dense.vector_top_k(q, d, k, "item_id", "doc_id", other=False).withColumnRenamed("qid", "item_id")
 
 
