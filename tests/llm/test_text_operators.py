@@ -116,6 +116,24 @@ def test_passages_pasted_into_lines(spark):
     assert all(got[i].removed_words >= 25 for i, _ in texts if i % 100)
 
 
+def test_matches_are_extended_to_whole_runs(spark, monkeypatch):
+    """What is found of a pasted passage goes from its first to its last word, however long that is, also in a text that repeats itself."""
+    import textmill.llm.line_dedup as module
+
+    r = random.Random(15)
+    passages = [words(r, n) for n in (60, 90, 200, 700)]
+    texts = [(100 * k + i, words(r, 30 + i) + " " + p + " " + words(r, 30)) for k, p in enumerate(passages) for i in range(6)]
+    texts += [(900, words(r, 9) + " " + " ".join(["p q r"] * 200) + " " + words(r, 9)), (901, words(r, 8) + " " + " ".join(["p q r"] * 150) + " " + words(r, 8))]
+    want = may_go(texts)
+    for stretch in ((48, 1024), (300,)):
+        monkeypatch.setattr(module, "STRETCH", stretch)
+        got = check_line_dedup(spark, texts)
+        assert all(got[i].removed_words == len(want[i]) for i, _ in texts if i % 100 and i < 900)
+        assert got[901].removed_words == 450
+    monkeypatch.setattr(module, "PICKED", 0)
+    assert {(i, x.text) for i, x in check_line_dedup(spark, texts).items()} == {(i, x.text) for i, x in got.items()}
+
+
 def test_texts_of_one_id_are_told_apart(spark, monkeypatch):
     """Null and repeated ids: only what repeats goes, also where hashes of texts or of words collide."""
     import textmill.llm.line_dedup as module
