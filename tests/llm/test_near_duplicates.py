@@ -197,3 +197,33 @@ def test_near_dedup_by_definition(spark):
             assert i == min(ids, default=None)
     again = {r.n for r in drop_near_duplicates(docs.repartition(7)).collect()}
     assert again == kept
+
+
+def threshold_corpus():
+    """Families of texts of 6 to 900 words with similarities about the bound, on a template that all share, and a text of few words."""
+    r = np.random.default_rng(21)
+    template = [f"t{x}" for x in r.integers(0, 3000, 150)]
+    out = []
+    for n in (6, 12, 30, 60, 120, 300, 500, 900) * 3:
+        base = [f"w{x}" for x in r.integers(0, 4000, n)] + template[: n // 4]
+        for edits in (0, *r.integers(max(1, n // 70), n // 35 + 3, 5).tolist()):
+            ws = list(base)
+            for at in r.permutation(len(ws))[:edits].tolist():
+                ws[at] = f"x{int(r.integers(0, 10**6))}"
+            out.append(" ".join(ws))
+    out += [" ".join([*template, *(f"v{x}" for x in r.integers(0, 10**6, 25))]) for _ in range(20)] + ["few words"]
+    return [(i, out[j]) for i, j in enumerate(r.permutation(len(out)).tolist())]
+
+
+def test_near_copies_are_those_of_all_pairs(spark, monkeypatch):
+    texts = threshold_corpus()
+    sets = {i: set(shingles(words(t), 5)) for i, t in texts}
+    share = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in sets for j in sets if i < j}
+    assert sum(0.8 <= x < 0.85 for x in share.values()) > 20 and sum(0.75 <= x < 0.8 for x in share.values()) > 20
+    want = union_find(sets, [p for p, x in share.items() if x >= 0.8])
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for part in (1024, 3):
+        monkeypatch.setattr(simhash_module, "PART", part)
+        assert {x.doc_id: x.group_id for x in near_duplicate_groups(docs).collect()} == want
+    # and without what SimHash finds first
+    assert {x.doc_id: x.group_id for x in near_duplicate_groups(docs, distance=-1).collect()} == want

@@ -80,16 +80,3 @@ class WordSignatures:
                 self.at.update(zip(new, range(first, first + len(new))))
             votes += self.rows[[self.at[w] for w in part]].sum(axis=0, dtype=np.int32)
         return np.packbits(votes > 0).view(">u8").astype(np.uint64)
-
-
-def bottom_sketch(h: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` smallest distinct hashes, ascending; all of them for short texts."""
-    return np.unique(h)[:size]
-
-
-def sketch_jaccard(a: np.ndarray, b: np.ndarray, size: int) -> float:
-    """Jaccard of two shingle sets from their sketches: exact where both are whole, else over the ``size`` smallest of the union. Two empty sets: 1."""
-    union = np.union1d(a, b)
-    if max(len(a), len(b)) >= size:
-        union = union[:size]
-    return 1.0 if not len(union) else float(np.isin(union, a).__and__(np.isin(union, b)).sum() / len(union))

@@ -21,6 +21,7 @@ every pair of members meets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +32,16 @@ from pyspark.sql.window import Window
 
 from textmill.llm.components import connected_components
 from textmill.llm.shared import by_arrow, joined, rows_out, written
-from textmill.llm.shingle_hash import WordSignatures, bottom_sketch, hashes, shingles, simhash, sketch_jaccard, words
+from textmill.llm.shingle_hash import WordSignatures, hashes, shingles, simhash, words
 
 MAX_BUCKET = 2048
 RUNS = 64
+#: Sets that are compared with each other in one go.
 PART = 1024
-SKETCH = 256
+#: A prefix has one more of so many hashes than would have to share one, and has to share one of so many.
+SLACK = 20
+#: Texts up to which their keys are broadcast to pick them; beyond, the join shuffles.
+PICKED = 1_000_000
 SIGNED = np.int64
 
 
@@ -56,22 +61,46 @@ def raw_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def word_signatures(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc_id, raw key of the text, text_key of the sequence of words, sig of four words, sketch): word-set SimHash, and a bottom sketch of k-word shingles for verification."""
+def least_common(n: int, similarity: float) -> int:
+    """What a set of n has in common at least with any set that it reaches the similarity with."""
+    return math.ceil(n * similarity - 1e-9)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of hashes as a column of lists of longs."""
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.zeros(0, np.uint64)]).astype(SIGNED)))
+
+
+def _prefixes(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: float) -> DataFrame:
+    """(doc_id, raw key of the text, text_key of the sequence of words, size, prefix): the number of the text's distinct k-word shingles, and as many of their least hashes as have to hold more than a ``SLACK``-th of what it shares with a near copy."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = WordSignatures()
         for b in batches:
-            sigs, sketches, keys = [], [], []
+            sizes, prefixes, keys = [], [], []
             for t in b.column(2).to_pylist():
                 ws = words(t)
                 keys.append(hashlib.md5(b" ".join(ws)).digest())
-                sigs.append(sign(ws).astype(SIGNED).tolist())
-                sketches.append(bottom_sketch(hashes(shingles(ws, k)), SKETCH).astype(SIGNED).tolist())
-            yield rows_out({"doc_id": (pa.int64(), b.column(0).to_pylist()), "raw": (pa.binary(), b.column(1).to_pylist()), "text_key": (pa.binary(), keys), "sig": (pa.list_(pa.int64()), sigs), "sketch": (pa.list_(pa.int64()), sketches)})
+                h = np.unique(hashes(shingles(ws, k)))
+                sizes.append(len(h))
+                prefixes.append(h[: len(h) - least_common(len(h), similarity) + 1 + len(h) // SLACK])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), _lists(prefixes)], names=["doc_id", "raw", "text_key", "size", "prefix"])
 
     text = docs[text_col].cast("string")
-    return by_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), raw_key(text).alias("raw"), text.alias("text")), f, "doc_id long, raw binary, text_key binary, sig array<long>, sketch array<long>")
+    return by_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), raw_key(text).alias("raw"), text.alias("text")), f, "doc_id long, raw binary, text_key binary, size int, prefix array<long>")
+
+
+def _shingle_sets(texts: DataFrame, k: int) -> DataFrame:
+    """(id, size, sig of four words, hashes ascending) of (id, text): word-set SimHash, and the text's k-word shingles."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = WordSignatures()
+        for b in batches:
+            ws = [words(t) for t in b.column(1).to_pylist()]
+            sets = [np.unique(hashes(shingles(w, k))) for w in ws]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in sets], pa.int32()), _lists([sign(w) for w in ws]), _lists(sets)], names=["id", "size", "sig", "hashes"])
+
+    return by_arrow(texts.select("id", "text"), f, "id long, size int, sig array<long>, hashes array<long>")
 
 
 def _with_variants(rows: DataFrame, pieces: int, width: int) -> DataFrame:
@@ -150,59 +179,60 @@ def bucket_links(nodes: DataFrame, segments: int, distance: int) -> DataFrame:
     return by_arrow(full.select("m"), f, "a long, b long", rows=64).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _similar_forest(ids: np.ndarray, sigs: np.ndarray, sketches: list[np.ndarray], distance: int, similarity: float) -> list[tuple[int, int]]:
-    """Spanning forest of the graph of pairs within the distance that also reach the similarity."""
-    size = np.array([len(x) for x in sketches])
-    ends = np.cumsum(size)
-    codes = np.unique(np.concatenate(sketches), return_inverse=True)[1]
-    of = [codes[e - n : e] for e, n in zip(ends, size)]
-    left, own, out = np.ones(len(ids), bool), np.zeros(len(codes), bool), []
-    for root in range(len(ids)):
-        if not left[root]:
-            continue
-        left[root] = False
-        todo = [root]
-        while todo:
-            v = todo.pop()
-            other = np.flatnonzero(left)
-            other = other[np.bitwise_count(sigs[other] ^ sigs[v]).sum(axis=1, dtype=np.int64) <= distance]
-            if not len(other):
-                continue
-            own[of[v]] = True
-            common = np.array([np.count_nonzero(own[of[u]]) for u in other])
-            own[of[v]] = False
-            # what two sketches have in common bounds the similarity from above
-            for u in other[common >= similarity * np.minimum(size[v] + size[other] - common, SKETCH) - 1e-9].tolist():
-                if sketch_jaccard(sketches[v], sketches[u], SKETCH) >= similarity:
-                    left[u] = False
-                    out.append((int(ids[v]), int(ids[u])))
-                    todo.append(u)
-    return out
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of hashes reach the similarity. Each set of a is read once, those of its b after it."""
+    other = pairs.join(sets.select(F.col("id").alias("b"), "hashes"), "b").select("a", "b", "hashes")
+    own = sets.join(pairs.select(F.col("a").alias("id")).distinct(), "id").select(F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "hashes")
 
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0, SIGNED)
+        for batch in batches:
+            found, rows = ([], []), batch.column(2)
+            flat, ends = rows.flatten().to_numpy(), np.append(0, np.cumsum(rows.value_lengths().to_numpy()))
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                h = flat[ends[i] : ends[i + 1]]
+                if b is None:
+                    held = np.sort(h)
+                    continue
+                common = int(np.count_nonzero(held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h)) if len(held) else 0
+                if common >= similarity * (len(held) + len(h) - common) - 1e-9:
+                    found[0].append(a)
+                    found[1].append(b)
+            yield rows_out({"a": (pa.int64(), found[0]), "b": (pa.int64(), found[1])})
+
+    return by_arrow(own.union(other).repartition("a").sortWithinPartitions("a", F.asc_nulls_first("b")), f, "a long, b long")
+
+
+def _rare_keys(sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, size, key, left): of each set the hashes of which two sets of the similarity share one at least, and how many hashes of the set are left from there on, all in the order of how many sets have them.
+
+    Hashes that no other set has come first in that order and are no keys; a set of too many of them has no near copy.
+    """
+    shared = _shared_keys(sets.select("id", "size", F.explode("hashes").alias("key")))
+    listed = shared.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("o"))
+    listed = listed.withColumn("more", F.size("o") - F.ceil(F.col("size") * similarity - 1e-9).cast("int") + 1).filter("more > 0")
+    keys = listed.select("id", "size", F.size("o").alias("all"), F.expr("posexplode(slice(o, 1, more)) as (at, x)"))
+    return keys.select("id", "size", F.col("x.key").alias("key"), F.expr("all - at").alias("left"))
 
-def _similar_links(members: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """(a, b): links that connect, in each part, what its pairs within both bounds connect. ``members`` has part, n of the part, id, sig and sketch."""
-    dealt = _in_runs(members, PART).select("part", "lo", "hi", "id", "sig", "sketch")
-    keys = ("part", "lo", "hi")
 
-    def links(rows: list[tuple]) -> list[tuple[int, int]]:
-        ids, sigs = np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64).view(np.uint64)
-        return _similar_forest(ids, sigs, [x[2] for x in rows], distance, similarity)
+def _candidates(keys: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of different components that share a key and may reach the similarity by their sizes and by what is left from the key on. ``keys`` has component; dense keys are dealt into runs."""
+    w = Window.partitionBy("key")
+    open_ = keys.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("two", F.min("component").over(w) < F.max("component").over(w)).filter("two")
+    met = _in_runs(open_, PART).groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("id", "size", "left", "component")).alias("m")).select("m")
+    bound = similarity / (1 + similarity)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
-        out = lambda found: rows_out({k: (pa.int64(), [x[j] for x in found]) for j, k in enumerate(("a", "b"))})
-        for b in batches:
-            for part, lo, hi, i, sig, sketch in zip(*b.to_pydict().values()):
-                if (part, lo, hi) != at:
-                    if rows:
-                        yield out(links(rows))
-                    at, rows = (part, lo, hi), []
-                rows.append((i, sig, np.array(sketch, np.int64).view(np.uint64)))
-        if rows:
-            yield out(links(rows))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, size, left, component = (batch.column(0)[i].values.field(j).to_numpy() for j in range(4))
+                for v in range(len(ids) - 1):
+                    rest = slice(v + 1, None)
+                    u = v + 1 + np.flatnonzero((component[rest] != component[v]) & (np.minimum(left[rest], left[v]) >= bound * (size[rest].astype(np.int64) + size[v]) - 1e-6))
+                    if len(u):
+                        yield rows_out({"a": (pa.int64(), np.maximum(ids[u], ids[v])), "b": (pa.int64(), np.minimum(ids[u], ids[v]))})
 
-    return by_arrow(dealt.repartition(*keys).sortWithinPartitions(*keys), f, "a long, b long")
+    return by_arrow(met, f, "a long, b long", rows=64).distinct()
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, distance: int = 2) -> DataFrame:
@@ -227,40 +257,36 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 FIRST = "struct(doc_id is null as none, doc_id, raw)"
 
 
-def _first_of_groups(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: float, distance: int) -> DataFrame:
-    """(doc_id, raw, first) per row: the document that its group keeps, as a struct of ``FIRST``."""
-    signed = written(word_signatures(docs, id_col, text_col, k), "signatures")
-    equal = signed.groupBy("text_key").agg(F.min(F.expr(FIRST)).alias("first"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
-    # numbers in the order of the keys: what is least or comes first doesn't depend on the partitioning
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = written(equal.repartitionByRange(parts, "text_key").sortWithinPartitions("text_key").withColumn("id", F.monotonically_increasing_id()), "nodes")
-    nodes = counted.select("id", "sig")
+def _similar_links(sets: DataFrame, similarity: float, distance: int) -> DataFrame:
+    """(a, b): links that connect what all pairs of sets that reach the similarity connect. SimHash finds most; what it leaves apart is compared by shared keys."""
+    nodes = sets.select("id", "sig")
     # one node of each signature goes through the buckets; the others are linked to it
     first = nodes.groupBy("sig").agg(F.min("id").alias("id"))
     same = nodes.join(first.withColumnRenamed("id", "b"), "sig").filter("id <> b").select(F.col("id").alias("a"), "b")
     links = written(bucket_links(first, 8, distance).union(same), "links")
-    # the sketch of a node is that of its first document
-    linked = counted.join(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi").select("id", F.col("first.doc_id").alias("of_id"), F.col("first.raw").alias("of_raw"))
-    sketch = signed.select("doc_id", "raw", "sketch").join(linked, F.col("raw").eqNullSafe(F.col("of_raw")) & F.col("doc_id").eqNullSafe(F.col("of_id"))).groupBy("id").agg(F.first("sketch").alias("sketch"))
-    sketch = written(sketch, "sketches")
-    pairs = links.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+    near = written(_similar(links, sets, similarity), "near")
+    parts = connected_components(near).select(F.col("node").alias("id"), "component")
+    keys = _rare_keys(sets, similarity).join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    pairs = written(_candidates(written(keys, "keys"), similarity).join(links, ["a", "b"], "left_anti"), "pairs")
+    return near.union(written(_similar(pairs, sets, similarity), "near"))
 
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c, x, y = b.to_pydict().values()
-            near = [sketch_jaccard(np.array(p, np.int64).view(np.uint64), np.array(q, np.int64).view(np.uint64), SKETCH) >= similarity for p, q in zip(x, y)]
-            yield rows_out({"a": (pa.int64(), a), "b": (pa.int64(), c), "near": (pa.bool_(), near)})
-
-    tested = written(by_arrow(pairs.select("a", "b", "x", "y"), f, "a long, b long, near boolean"), "tested")
-    near, failed = tested.filter("near").select("a", "b"), tested.filter("not near")
-    if not failed.isEmpty():
-        # a link that fails may hide pairs that hold: all pairs of its part are tested
-        part = written(connected_components(tested), "parts")
-        again = part.join(part.join(failed.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("component").distinct(), "component", "left_semi")
-        again = again.join(again.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component").select(F.col("component").alias("part"), "n", F.col("node").alias("id"))
-        members = again.join(nodes, "id").join(sketch, "id")
-        near = near.union(_similar_links(members, distance, similarity))
-    groups = counted.join(connected_components(near).withColumnRenamed("node", "id"), "id", "left").select("text_key", "n", "first", "component")
+
+def _first_of_groups(docs: DataFrame, id_col: str, text_col: str, k: int, similarity: float, distance: int) -> DataFrame:
+    """(doc_id, raw, first) per row: the document that its group keeps, as a struct of ``FIRST``."""
+    signed = written(_prefixes(docs, id_col, text_col, k, similarity).withColumn("id", F.monotonically_increasing_id()), "signatures")
+    equal = written(signed.groupBy("text_key").agg(F.min(F.expr(FIRST)).alias("first"), F.min("id").alias("id"), F.min("size").alias("size"), F.count(F.lit(1)).alias("n")), "nodes")
+    # texts whose prefix shares too few hashes with those of other rows have no near copy
+    shared = _shared_keys(signed.select("id", F.explode("prefix").alias("key"))).groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+    least = F.floor(F.ceil(F.col("size") * similarity - 1e-9) / SLACK) + 1
+    some = equal.join(shared, "id").filter(F.col("common") >= least).select("id", F.col("first.doc_id").alias("i"), F.col("first.raw").alias("raw"))
+    some = written(some, "candidates")
+    text = docs[text_col].cast("string")
+    rows = docs.select(docs[id_col].cast("long").alias("i"), raw_key(text).alias("raw"), text.alias("text"))
+    if some.limit(PICKED + 1).count() <= PICKED:
+        rows = rows.join(F.broadcast(some.select("raw").distinct()), "raw", "left_semi")
+    texts = rows.join(some.withColumnRenamed("i", "of"), "raw").filter("i <=> of").groupBy("id").agg(F.first("text").alias("text"))
+    near = _similar_links(written(_shingle_sets(texts, k), "sets"), similarity, distance)
+    groups = equal.join(connected_components(near).withColumnRenamed("node", "id"), "id", "left").select("text_key", "n", "first", "component")
     groups = written(groups, "groups")
     heads = groups.filter("component is not null").groupBy("component").agg(F.min("first").alias("head"))
     of = groups.join(heads, "component", "left").select("text_key", "n", F.coalesce("head", "first").alias("first"))
@@ -270,12 +296,13 @@ def _first_of_groups(docs: DataFrame, id_col: str, text_col: str, k: int, simila
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8, distance: int = 26) -> DataFrame:
     """(doc_id, group_id) per row: groups of near copies, group_id being the least doc_id of the group.
 
-    Candidates come from 256-bit word-set signatures in eight segments: all pairs
-    within 15 bits, and those up to ``distance`` with the chance that one of
-    eight segments differs by at most one bit. Links of the spanning forest are
-    verified on k-word shingles (bottom sketches of 256 hashes, exact for texts
-    of at most that many shingles) against the similarity; where one fails, all
-    pairs within the distance of what the forest connects there are verified.
+    Two documents are linked if the Jaccard similarity of their sets of k-word
+    shingles (by 64-bit hashes) reaches the bound, and groups are what all such
+    links connect. Texts whose least hashes no other text shares are left out
+    first. Of the others, 256-bit word-set signatures within ``distance`` bits
+    give most links, and what they leave apart is compared wherever two sets
+    share one of their rarest shingles, as every similar pair does. All links
+    are verified on the whole sets.
     Equal texts always share a group; blank and null texts count as equal. Rows
     of one id with different texts are different documents. Null ids are
     documents like others; group_id is null where all of a group are.
