@@ -413,3 +413,17 @@ def test_table_of_personal_data(odd_docs, odd_texts, no_docs, spark):
     got = {r.doc_id: r for r in pii_table(spark.createDataFrame(rows(rows_of), SCHEMA)).collect()}
     assert (got[1].n_email, got[1].n_secret, got[1].n_spans, got[1].n_added) == (1, 1, 2, 1) and got[1].spans == "email:5:18,secret:32:42"
     assert got[3].n_spans == 0 and got[2].n_email == 0
+
+
+def test_agreeing_words_are_counted_as_one_by_one(spark):
+    from textmill.llm.line_dedup import AGREE
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choice(("a", "b", "é", "ß\n", "😀", " ")) for _ in range(r.randint(1, 3)))
+    lists = [([], ["a"]), (["a"], []), (["a"], ["a"]), (["a", "b"], ["a", "bc"]), (["é"], ["è"])]
+    for _ in range(300):
+        c = [word() for _ in range(r.randint(0, 70))]
+        lists.append((c, c[: r.randint(0, len(c))] + [word() for _ in range(r.randint(0, 4))]))
+    want = [next((i for i, (u, v) in enumerate(zip(c, f)) if u != v), min(len(c), len(f))) for c, f in lists]
+    rows = spark.createDataFrame([(i, " ".join(c), " ".join(f)) for i, (c, f) in enumerate(lists)], "i int, c string, fc string")
+    assert [x.n for x in rows.selectExpr("i", f"{AGREE} as n").orderBy("i").collect()] == want
