@@ -258,7 +258,7 @@ FIRST = "struct(doc_id is null as none, doc_id, raw)"
 
 
 def _similar_links(sets: DataFrame, similarity: float, distance: int) -> DataFrame:
-    """(a, b): links that connect what all pairs of sets that reach the similarity connect. SimHash finds most; what it leaves apart is compared by shared keys."""
+    """(a, b): links that connect what all pairs of sets that reach the similarity connect. SimHash comes first; what it leaves apart is compared by shared keys."""
     nodes = sets.select("id", "sig")
     # one node of each signature goes through the buckets; the others are linked to it
     first = nodes.groupBy("sig").agg(F.min("id").alias("id"))
@@ -300,7 +300,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shingles (by 64-bit hashes) reaches the bound, and groups are what all such
     links connect. Texts whose least hashes no other text shares are left out
     first. Of the others, 256-bit word-set signatures within ``distance`` bits
-    give most links, and what they leave apart is compared wherever two sets
+    give the first links, and what they leave apart is compared wherever two sets
     share one of their rarest shingles, as every similar pair does. All links
     are verified on the whole sets.
     Equal texts always share a group; blank and null texts count as equal. Rows
