@@ -427,3 +427,31 @@ def test_agreeing_words_are_counted_as_one_by_one(spark):
     want = [next((i for i, (u, v) in enumerate(zip(c, f)) if u != v), min(len(c), len(f))) for c, f in lists]
     rows = spark.createDataFrame([(i, " ".join(c), " ".join(f)) for i, (c, f) in enumerate(lists)], "i int, c string, fc string")
     assert [x.n for x in rows.selectExpr("i", f"{AGREE} as n").orderBy("i").collect()] == want
+
+
+def test_a_text_that_repeats_itself_is_looked_at_once(spark, monkeypatch):
+    """Words that are in matches are passed over, so what is asked of the texts doesn't grow with the square of the repetitions."""
+    import textmill.llm.line_dedup as module
+
+    r = random.Random(31)
+    once, asked = words(r, 31), {}
+    keep = module.written
+
+    def counted(df, name):
+        got = keep(df, name)
+        if name == "near":
+            asked[n] = asked.get(n, 0) + sum(len(x.c.split()) for x in got.select("c").collect())
+        return got
+
+    monkeypatch.setattr(module, "written", counted)
+    for n in (20, 80):
+        texts = [(1, words(r, 9) + "\n" + "\n".join([once] * n) + "\n" + words(r, 9)), (2, words(r, 12) + "\n" + words(r, 40))]
+        assert check_line_dedup(spark, texts)[1].removed_words == 31 * (n - 1)
+    assert asked[80] <= 5 * max(asked[20], 31)
+
+
+def test_kept_blanks_of_simple_and_odd_texts(spark):
+    r = random.Random(33)
+    run, other = words(r, 30), words(r, 27)
+    frames = ["{}", "{}\n", "x y {}", "x\n{}\ny z", "x\n{}", "x {}\n\ny", "x  {} y ", " {}\n", "\n{}\ty", "x\n{}\ny\n", "{}\n{}"]
+    check_line_dedup(spark, [(0, run + "\n" + other), *((1 + i, f.format(*[run, other][: f.count("{}")])) for i, f in enumerate(frames))])
