@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import duckdb
+import pytest
 
 from textmill.plans.catalog import ORACLES, QUERIES
 
@@ -34,3 +35,11 @@ def test_squeezed_text_of_odd_texts(spark, tmp_path):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got, want = both(spark, tmp_path, "squeezed_text", "documents", df)
     assert got == want
+
+
+@pytest.mark.parametrize("ids", [range(1, 45), [50, 51, 52, 101]])
+def test_cosine_pairs_takes_every_vector(spark, tmp_path, ids):
+    rows = [(i, [float((i * j) % 7 - 3) + 0.5 for j in range(1, 5)], i % 3) for i in ids]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got, want = both(spark, tmp_path, "cosine_pairs", "embeddings", df)
+    assert got == want and len({x.split(",")[0] for x in got}) == len(rows)

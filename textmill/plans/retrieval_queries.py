@@ -75,10 +75,10 @@ def ann_cells_topk(t: Tables) -> DataFrame:
     return t.vector_index.search(t.embeddings.filter("vec_id % 50 = 0"), 10).withColumnRenamed("id", "vec_id")
 
 
-@query("select q.vec_id as qid, v.label, round(max(list_cosine_similarity(q.embedding::double[], v.embedding::double[])), 6) as best from embeddings q, embeddings v where q.vec_id % 50 = 0 and v.vec_id <> q.vec_id group by all")
+@query("select q.vec_id as qid, v.label, round(max(list_cosine_similarity(q.embedding::double[], v.embedding::double[])), 6) as best from embeddings q, embeddings v where v.vec_id <> q.vec_id group by all")
 def cosine_pairs(t: Tables) -> DataFrame:
-    """Best cosine per label, as intents match prototypes."""
-    return dense.label_best(t.embeddings.filter("vec_id % 50 = 0"), t.embeddings).select("qid", "label", F.round("score", 6).alias("best"))
+    """Best cosine of every vector per label, as intents match prototypes."""
+    return dense.label_max(t.embeddings, t.embeddings).select("qid", "label", F.round("score", 6).alias("best"))
 
 
 TERMS = "item_id, doc_id, rnk, score"
