@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
 
@@ -43,3 +45,18 @@ def test_cosine_pairs_takes_every_vector(spark, tmp_path, ids):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
     got, want = both(spark, tmp_path, "cosine_pairs", "embeddings", df)
     assert got == want and len({x.split(",")[0] for x in got}) == len(rows)
+
+
+def test_mined_cases_of_odd_texts(spark, tmp_path):
+    """Chosen in one reading of a text: the tie, the penalty, inner words, and words beyond those that count are SQL's."""
+    words = "alpha alphabet beta_gamma delta-ray gammon 12345 epsilon zeta theta iotas kappa lambda omicron sigma upsilon omega random words without meaning are here again".split()
+    r = random.Random(5)
+    texts = [None, "", " ", "...", "alphabet soup for everyone here today.", "a b c d e f g h i j k l m n o p."]
+    for _ in range(150):
+        parts = [" ".join(r.choices(words, k=r.choice([2, 5, 8, 12, 20, 40, 110, 130]))) for _ in range(r.randint(1, 6))]
+        texts.append("".join(r.choice(["", "\x0b", " ", "\t", " "]) + p + r.choice([". ", "!", "？", "\n", ";\x0b", "\x01", ". ", ".\u0085"]) for p in parts))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, want = both(spark, tmp_path, "mined_cases", "documents", df)
+    assert got == want and len(got) > 100
+    plan = QUERIES["mined_cases"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "posexplode" not in plan

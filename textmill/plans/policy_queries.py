@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from textmill.config import DEFAULT
 from textmill.functions import text as tx
 from textmill.functions.tools import schema_problems
-from textmill.operators import lexical, split
+from textmill.operators import extract, lexical, split
 from textmill.plans.evaluation_queries import OBS, observations
 from textmill.plans.registry import Tables, query
 from textmill.plans.retrieval_queries import CLAIMS, FOCUS, INDEX, QW, RERANK, SENT, SSCORE, STOK, UNKNOWN, TOK, _hits_sql, evidence, extractive_answer, fused, grade_route, hits, overlap_channel, reranked, scored_sentences, verdicts, weighed_terms, with_text
@@ -251,9 +251,7 @@ b as (select *, row_number() over (partition by doc_id order by score desc, i) a
 @query(f"with {MINE} select min(doc_id) as doc_id, left(s, 40) as signature, count(*)::bigint as candidates, max(score) as score from b where rn <= 2 group by left(s, 40)")
 def mined_cases(t: Tables) -> DataFrame:
     """Evaluation cases mined from sentences: the two densest of each document, the first of every signature."""
-    s = t.documents.select("doc_id", F.posexplode(tx.sentences(F.col("text"), "。！？!?；;.\n")).alias("i", "s")).filter(F.length("s").between(26, LONGEST))
-    s = s.withColumn("ks", tx.outermost(F.array_distinct(F.regexp_extract_all(F.lower("s"), F.lit(r"[a-z][a-z0-9_\-]{4,}"), F.lit(0)))))
-    s = s.withColumn("score", F.round(tx.information(F.col("s"), F.size("ks")), 6)).filter("size(ks) > 0 and score > 0")
+    s = extract.densest(t.documents, 2, 26, LONGEST)
     w = Window.partitionBy("doc_id").orderBy(F.desc("score"), "i")
     best = s.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
     return best.groupBy(F.left("s", F.lit(40)).alias("signature")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("candidates"), F.max("score").alias("score"))
