@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from textmill.functions import text as tx
+from textmill.operators import dedup
 from textmill.plans.catalog import ORACLES, QUERIES
 
 
@@ -60,3 +65,24 @@ def test_mined_cases_of_odd_texts(spark, tmp_path):
     assert got == want and len(got) > 100
     plan = QUERIES["mined_cases"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "posexplode" not in plan
+
+
+def test_fingerprints_are_those_of_all_grams(spark, monkeypatch):
+    """Against a plain SimHash over ``tx.grams``: odd texts, several rows of an id, small runs; no row per gram is made."""
+    r = random.Random(3)
+    words = ["alpha", "Élan", "内存管理系统", "x", "é", "ab", "été", "a_b1", "😀", "Straße", "12", "naïve"]
+    rows = [(0, None), (1, ""), (2, "—"), (3, "a"), (4, "alpha " * 70_000)] + [(5 + i // 2, " ".join(r.choices(words, k=r.randint(1, 400)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sums = {}
+    for doc, g in df.select("doc_id", tx.grams(F.col("text"))).collect():
+        own = sums.setdefault(doc, [0] * 64)
+        for gram, times in Counter(g or []).items():
+            v = int(hashlib.md5(gram.encode()).hexdigest()[:16], 16)
+            for i in range(64):
+                own[i] += times if v >> i & 1 else -times
+    signed = lambda own: sum((x > 0) << i for i, x in enumerate(own)) - ((own[63] > 0) << 64)
+    got = dedup.md5_simhash(df)
+    assert {x.doc_id: x.fp for x in got.collect()} == {k: signed(v) for k, v in sums.items()}
+    assert "MapInArrow" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan
+    one = {x.doc_id: x.fp for x in dedup.row_simhash(df.filter("doc_id < 5"), "doc_id").collect()}
+    assert one == {k: signed(sums[k]) for k in range(5)}
