@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 from textmill.functions import text as tx
 from textmill.operators import dedup
+from textmill.operators.ingest import Corpus
 from textmill.plans.catalog import ORACLES, QUERIES
+from textmill.storage import Store
 
 
 def sql_rows(name, **tables):
@@ -86,3 +89,17 @@ def test_fingerprints_are_those_of_all_grams(spark, monkeypatch):
     assert "MapInArrow" in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Generate" not in plan
     one = {x.doc_id: x.fp for x in dedup.row_simhash(df.filter("doc_id < 5"), "doc_id").collect()}
     assert one == {k: signed(sums[k]) for k in range(5)}
+
+
+def test_ingest_leaves_no_copies_of_texts(spark, tmp_path):
+    """Texts are in the store once as texts and once as sections; what was between goes with the batch."""
+    size = lambda at: sum(f.stat().st_size for f in Path(at).rglob("*") if f.is_file()) if Path(at).exists() else 0
+    r = random.Random(8)
+    rows = [(i, "\n".join(f"{r.getrandbits(2000):x}." for _ in range(20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = spark.sparkContext.getCheckpointDir() or "/tmp/textmill-tests"
+    before = size(folder.removeprefix("file:"))
+    corpus = Corpus(Store(spark, str(tmp_path / "corpus")))
+    corpus.ingest("a", docs)
+    assert size(folder.removeprefix("file:")) - before < sum(len(t) for _, t in rows) // 2
+    assert size(tmp_path / "corpus" / "scratch") == 0 and corpus.documents().count() == 60
